@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 BASE = ("region nation customer supplier part orders lineitem events documents "
         "embeddings pages benchmark labels conversations").split()
 
+# seconds since the start of the recorded month, the one place the dialects differ
+_ONSET_SPARK = "cast(timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz)) as double) / 1e6"
+_ONSET_SQL = "cast(epoch_us(ts) - 1704067200000000 as double) / 1e6"
+
 _SUBJECT = "concat('sub-', lpad(cast({c} as string), cast(greatest(4, length(cast({c} as string))) as int), '0'))"
 
 ROLES: dict[str, str] = {
@@ -106,7 +110,7 @@ ROLES: dict[str, str] = {
       from documents d join labels l on d.doc_id = l.doc_id""",
     # event annotations
     "annotations": """
-      select user_id as rec, event_id, ts,
+      select user_id as rec, event_id, ts, @onset@ as onset_s,
              case event_type when 'click' then 'Stimulus/S  1' when 'view' then 'Stimulus/S  4'
                   when 'purchase' then 'Stimulus/S 10' when 'error' then 'Stimulus/S 11'
                   else 'Comment/no code' end as description, value
@@ -143,6 +147,7 @@ class Tables:
         """Spark SQL over the base tables and roles named in the text."""
         used = {n: getattr(self, n) for n in (*BASE, *ROLES)
                 if re.search(rf"(from|join)\s+{n}\b", text)}
+        text = text.replace("@onset@", _ONSET_SPARK)
         for n in used:
             text = re.sub(rf"((?:from|join)\s+){n}\b", rf"\1{{{n}}}", text)
         return self.spark.sql(text, **used) if used else self.spark.sql(text)
@@ -150,5 +155,5 @@ class Tables:
 
 def with_roles(body: str, *roles: str) -> str:
     """SQL text whose leading CTEs define the named roles."""
-    ctes = ",\n".join(f"{r} as ({ROLES[r]})" for r in roles)
+    ctes = ",\n".join(f"{r} as ({ROLES[r]})" for r in roles).replace("@onset@", _ONSET_SQL)
     return f"with {ctes} {body}" if not body.lstrip().startswith(",") else f"with {ctes}{body}"
