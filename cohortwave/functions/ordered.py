@@ -22,11 +22,12 @@ def value_splits(df: DataFrame, value: str, n_buckets: int) -> list[float]:
 
 
 def bucketed_counts(df: DataFrame, by: list[str], value: str,
-                    n_buckets: int | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
+                    n_buckets: int | None = None, sums: dict[str, Column] | None = None,
+                    weight: Column | None = None) -> DataFrame:
     """One row per (by, value) with its count `n_at`, the count of smaller
     values `n_below` and the group size `n_all`. Equal values are combined
     before anything is ordered. `sums` adds further summed columns, each with
-    a `<name>_below` running total."""
+    a `<name>_below` running total; `weight` counts a row more than once."""
     sums = sums or {}
     spark = df.sparkSession
     if n_buckets is None:
@@ -35,7 +36,7 @@ def bucketed_counts(df: DataFrame, by: list[str], value: str,
     d = d.withColumn("__v", F.col(value).cast("double"))
     splits = value_splits(d, "__v", n_buckets)
     counts = d.groupBy(*by, "__v").agg(
-        F.count(F.lit(1)).alias("n_at"),
+        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n_at"),
         *[F.sum(c).alias(name) for name, c in sums.items()])
     counts = Bucketizer(splits=splits, inputCol="__v", outputCol="__b").transform(counts)
     measures = ["n_at", *sums]
@@ -87,15 +88,19 @@ def percentiles_from_counts(c: DataFrame, by: list[str], value: str, probs: dict
     return g.select(*by, F.col("n_all").alias("n"), *out)
 
 
-def dense_index(df: DataFrame, by: list[str], key: Column, tie: str,
-                n_buckets: int | None = None, name: str = "idx") -> DataFrame:
+def dense_index(df: DataFrame, by: list[str], key: Column, tie: str, n_buckets: int | None = None,
+                name: str = "idx", hashed: bool = False) -> DataFrame:
     """Zero-based position of each row of a group in the order of a numeric
-    `key` (ties by column `tie`), kept on every row."""
+    `key` (ties by column `tie`), kept on every row. A `hashed` key is uniform
+    over 48 bits, so its buckets need no look at the data."""
     spark = df.sparkSession
     if n_buckets is None:
         n_buckets = max(4, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     d = df.withColumn("__k", key.cast("double"))
-    splits = value_splits(d, "__k", n_buckets)
+    if hashed:
+        splits = [-INF, *[2.0 ** 48 * i / n_buckets for i in range(1, n_buckets)], INF]
+    else:
+        splits = value_splits(d, "__k", n_buckets)
     d = Bucketizer(splits=splits, inputCol="__k", outputCol="__b").transform(d)
     totals = d.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__t"))
     prior = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
