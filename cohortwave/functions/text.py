@@ -47,6 +47,14 @@ def name_entities(path: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def name_entity(path: Column, key: str) -> Column:
+    """One entity of `name_entities` as a single pattern match, which is much
+    cheaper per row than building the whole map."""
+    name = file_name(path)
+    stem = F.when(name.endswith("."), name).otherwise(F.regexp_extract(name, r"^(\.*[^.]*)", 1))
+    return _match(stem, rf"(?i)^(?:.*_)?\s*{key}\s*-\s*([^_\s](?:[^_]*[^_\s])?)\s*(?:_.*)?$")
+
+
 def name_suffix(path: Column) -> Column:
     """Final chunk without a '-' ('eeg', 'bold'); NULL otherwise."""
     name = file_name(path)
@@ -58,7 +66,7 @@ def name_suffix(path: Column) -> Column:
 def path_subject(path: Column) -> Column:
     head = F.element_at(F.split(path, "/"), 1)
     from_dir = F.when(path.contains("/") & head.startswith("sub-"), head)
-    ent = name_entities(path)["sub"]
+    ent = name_entity(path, "sub")
     return F.coalesce(from_dir, F.concat(F.lit("sub-"), ent))
 
 

@@ -13,7 +13,7 @@ def parse_listing(listing: DataFrame, path: str = "rel_path") -> DataFrame:
     p = F.col(path)
     return listing.select(
         p.alias("path"), F.coalesce("bytes", F.lit(0)).alias("bytes"), tx.path_modality(p).alias("modality"),
-        tx.path_subject(p).alias("subject"), tx.name_entities(p)["task"].alias("task"))
+        tx.path_subject(p).alias("subject"), tx.name_entity(p, "task").alias("task"))
 
 
 def require_tasks(listing: DataFrame) -> DataFrame:

@@ -143,6 +143,18 @@ class Tables:
             return self.sql(ROLES[name])
         raise AttributeError(name)
 
+    def stream(self, role: str, per_trigger: int | None = None) -> DataFrame:
+        """Streaming form of a base table or of a role over one base table."""
+        if role in BASE:
+            r = self.spark.readStream.schema(getattr(self, role).schema).option("pathGlobFilter", f"{role}.parquet")
+            if per_trigger:
+                r = r.option("maxFilesPerTrigger", per_trigger)
+            return r.parquet(self.dir)
+        base = [n for n in BASE if re.search(rf"(from|join)\s+{n}\b", ROLES[role])]
+        if len(base) != 1:
+            raise ValueError(f"role {role} does not read exactly one table")
+        return _Streaming(self.spark, self.dir, base[0]).sql(ROLES[role])
+
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over the base tables and roles named in the text."""
         used = {n: getattr(self, n) for n in (*BASE, *ROLES)
@@ -153,6 +165,19 @@ class Tables:
         return self.spark.sql(text, **used) if used else self.spark.sql(text)
 
 
+class _Streaming(Tables):
+    """Tables whose one base table is read as a stream."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, base: str):
+        super().__init__(spark, sf_dir)
+        self.base = base
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name == self.base:
+            return Tables(self.spark, self.dir).stream(name)
+        return super().__getattr__(name)
+
+
 def with_roles(body: str, *roles: str) -> str:
     """SQL text whose leading CTEs define the named roles."""
     ctes = ",\n".join(f"{r} as ({ROLES[r]})" for r in roles).replace("@onset@", _ONSET_SQL)

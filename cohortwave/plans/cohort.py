@@ -22,8 +22,7 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
          regexp_extract(name, '(\..*)$', 1) as ext from n""", "listing"))
 def _(t):
     p = F.col("rel_path")
-    e = tx.name_entities(p)
-    return t.listing.select("rel_path", e["sub"].alias("sub"), e["task"].alias("task"), e["run"].alias("run"),
+    return t.listing.select("rel_path", *[tx.name_entity(p, k).alias(k) for k in ("sub", "task", "run")],
                             tx.name_suffix(p).alias("suffix"), tx.file_extension(p).alias("ext"))
 
 

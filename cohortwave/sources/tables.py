@@ -23,9 +23,11 @@ def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t")
     return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if ty in ("double", "float") else F.col(c) for c, ty in df.dtypes])
 
 
-def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
-    return (spark.read.schema(SIDECAR_DDL).option("multiLine", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*_desc-preproc_eeg.json").json(root))
+def read_sidecars(spark: SparkSession, root: str, glob: str = "*_desc-preproc_eeg.json", one_per_file: bool = True) -> DataFrame:
+    """Sidecar documents below a folder tree, one row each. `one_per_file` is
+    for pretty-printed single documents; otherwise one document per line."""
+    return (spark.read.schema(SIDECAR_DDL).option("multiLine", one_per_file).option("recursiveFileLookup", True)
+            .option("pathGlobFilter", glob).json(root))
 
 
 def read_listing(spark: SparkSession, root: str) -> DataFrame:
@@ -40,6 +42,11 @@ def fingerprints(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
             .select(tx.file_name(F.col("path")).alias("file"), "length", F.sha2("content", 256).alias("sha256")))
 
 
+def fingerprint_column(df: DataFrame, content: str) -> DataFrame:
+    """The same for contents held in a table."""
+    return df.withColumn("sha256", F.sha2(F.col(content).cast("binary"), 256))
+
+
 def required_window(sidecars: DataFrame, column: str = "IAFWindow") -> DataFrame:
     """tmin/tmax of the stored window; a document without one fails the job."""
     w = F.col(column)
