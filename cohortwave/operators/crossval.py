@@ -92,7 +92,7 @@ def _fit(x: np.ndarray, y: np.ndarray, cs: np.ndarray, steps: int = 50) -> np.nd
         mu = 1 / (1 + np.exp(-np.clip(beta @ a.T, -500, 500)))
         grad = (mu - y) @ a + ridge * beta
         w = mu * (1 - mu)
-        hess = np.einsum("cn,ni,nj->cij", w, a, a, optimize=True)
+        hess = (w[:, None, :] * a.T) @ a
         hess[:, np.arange(p), np.arange(p)] += ridge + 1e-12
         step = np.linalg.solve(hess, grad[:, :, None])[:, :, 0]
         t = np.ones(len(cs))
@@ -158,9 +158,18 @@ def _choose_c(x, y, inner, cs) -> float:
 # --- small-matrix layout ----------------------------------------------------
 
 
-def _cells(rows: DataFrame, by: list[str]) -> int:
-    """Largest number of matrix cells in one group: one number to the driver."""
-    return rows.groupBy(*by).agg((F.count(F.lit(1)) * F.max(F.size("x"))).alias("c")).agg(F.max("c")).first()[0] or 0
+def _shape(rows: DataFrame, by: list[str]) -> tuple[int, int]:
+    """(largest number of matrix cells in one group, number of groups)."""
+    r = rows.groupBy(*by).agg((F.count(F.lit(1)) * F.max(F.size("x"))).alias("c")).agg(F.max("c").alias("c"), F.count(F.lit(1)).alias("g")).first()   # one row
+    return r["c"] or 0, r["g"]
+
+
+def _spread(df: DataFrame, keys: list[str], n_groups: int) -> DataFrame:
+    """Groups of heavy fits spread over the cores. An explicit count keeps
+    adaptive execution from merging the (byte-wise tiny) partitions into one
+    task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(n_groups, 8 * cores)), *keys)
 
 
 def nested_cv(rows: DataFrame, by: list[str], n_splits: int = 5, inner: int = 3, n_repeats: int = 1, seed: int = 20260810,
@@ -169,13 +178,33 @@ def nested_cv(rows: DataFrame, by: list[str], n_splits: int = 5, inner: int = 3,
 
     predictions(by, rep, row_id, y, fold, proba) has every row once per repeat;
     fits(by, rep, fold, best_c, coef) has the refitted coefficients."""
-    if _cells(rows, by) > max_cells:
+    cells, n_groups = _shape(rows, by)
+    if cells > max_cells:
         return nested_cv_distributed(rows, by, n_splits, inner, n_repeats, seed, c_grid)
+    res = cut_lineage(_nested_groups(rows, by, n_splits, inner, n_repeats, seed, c_grid, n_groups, False), "cv")
+    pred = res.select(*by, "rep", "row_id", "y", "fold", "proba")
+    return pred, res.where("coef is not null").select(*by, "rep", "fold", "best_c", "coef")
+
+
+def nested_cv_auc(rows: DataFrame, by: list[str], shape: tuple[int, int], n_splits: int = 5, inner: int = 3, n_repeats: int = 1,
+                  seed: int = 20260810, c_grid: list[float] = C_GRID, max_cells: int = MAX_GROUP_CELLS) -> DataFrame:
+    """(by, rep, auc): the pooled AUC of every draw and nothing else. `shape`
+    is (cells per draw, number of draws), which the caller knows, so the drawn
+    rows are generated once and stream straight into the fits."""
+    if shape[0] > max_cells:
+        pred, _fits = nested_cv_distributed(rows, by, n_splits, inner, n_repeats, seed, c_grid)
+        return roc_auc(pred, [*by, "rep"], "y", "proba").select(*by, "rep", "auc")
+    return _nested_groups(rows, by, n_splits, inner, n_repeats, seed, c_grid, shape[1], True)
+
+
+def _nested_groups(rows, by, n_splits, inner, n_repeats, seed, c_grid, n_groups, auc_only) -> DataFrame:
     u = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
     keys = [F.col(c) for c in by]
     u = u.withColumn("h", hash_int(seed, "outer", *keys, F.col("rep"), F.col("grp"))).withColumn("hi", hash_int(seed, "inner", *keys, F.col("rep"), F.col("grp")))
     base = u.select(*by, "rep", "row_id", "y").schema
     schema = base.add("fold", T.IntegerType()).add("proba", T.DoubleType()).add("best_c", T.DoubleType()).add("coef", T.ArrayType(T.DoubleType()))
+    if auc_only:
+        schema = u.select(*by, "rep").schema.add("auc", T.DoubleType())
     cs = np.asarray(c_grid)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -200,13 +229,14 @@ def nested_cv(rows: DataFrame, by: list[str], n_splits: int = 5, inner: int = 3,
             proba[te] = 1 / (1 + np.exp(-np.clip(w[0] + b @ w[1:], -500, 500)))
             best[te] = c
             coef[int(np.nonzero(te)[0][0])] = list(w[1:])      # once per fold
+        if auc_only:
+            a = _auc(y, proba)
+            return pdf[[*by, "rep"]].head(1).assign(auc=None if np.isnan(a) else a)
         out = pdf[[*by, "rep", "row_id", "y"]].copy()
         return out.assign(fold=fold.astype("int32"), proba=proba, best_c=best, coef=coef)
 
-    res = cut_lineage(u.groupBy(*by, "rep").applyInPandas(run, schema), "cv")
-    pred = res.select(*by, "rep", "row_id", "y", "fold", "proba")
-    fits = res.where("coef is not null").select(*by, "rep", "fold", "best_c", "coef")
-    return pred, fits
+    u = _spread(u, [*by, "rep"], n_groups * n_repeats)
+    return u.groupBy(*by, "rep").applyInPandas(run, schema)
 
 
 def pooled_auc(pred: DataFrame, by: list[str]) -> DataFrame:
@@ -223,12 +253,14 @@ def fold_auc(pred: DataFrame, by: list[str], score: str = "proba") -> DataFrame:
 
 
 def simple_cv(rows: DataFrame, by: list[str], n_splits: int = 5, n_repeats: int = 1, seed: int = 42, c: float = 1.0,
-              select: bool = False, model: str = "logreg", alpha: float = 0.05, max_cells: int = MAX_GROUP_CELLS) -> DataFrame:
+              select: bool = False, model: str = "logreg", alpha: float = 0.05, max_cells: int = MAX_GROUP_CELLS,
+              shape: tuple[int, int] | None = None) -> DataFrame:
     """Plain stratified k-fold with one fixed C: (by, rep, row_id, y, fold,
     proba, n_selected). `select` keeps the features passing Welch t + BH on the
     training rows (all when none does); model 'svm' gives the margin of a linear
     squared-hinge machine instead of a probability."""
-    if _cells(rows, by) > max_cells:
+    cells, n_groups = shape or _shape(rows, by)
+    if cells > max_cells:
         if select or model != "logreg":
             raise ValueError("matrix above the per-group bound: use LinearSVC / train_statistics with explicit folds")
         p, _f = nested_cv_distributed(rows.withColumn("grp", F.col("row_id").cast("string")), by, n_splits, 2, n_repeats, seed, [c])
@@ -277,6 +309,7 @@ def simple_cv(rows: DataFrame, by: list[str], n_splits: int = 5, n_repeats: int
             nsel[te] = len(cols)
         return pdf[[*by, "rep", "row_id", "y"]].assign(fold=fold.astype("int32"), proba=proba, n_selected=nsel)
 
+    u = _spread(u, [*by, "rep"], n_groups * n_repeats)
     return cut_lineage(u.groupBy(*by, "rep").applyInPandas(run, schema), "cv").where(~F.isnan("proba"))
 
 

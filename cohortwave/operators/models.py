@@ -46,8 +46,9 @@ def run_analyses(rows: DataFrame, n_repeats: int = 10, n_permutations: int = 100
     boot = boot.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mult").cast("int")))).select(
         "analysis", F.lit("bootstrap").alias("kind"), "draw", F.concat_ws("#", "row_id", F.col("copy").cast("string")).alias("row_id"), "grp", "y", "x")
     by = ["analysis", "kind", "draw"]
-    dp, _ = cv.nested_cv(perm.unionByName(boot), by, n_repeats=1, seed=seed, c_grid=c_grid)
-    draws = cut_lineage(st.auc(dp, by, "y", "proba").select(*by, "auc"), "draws")
+    cells, n_analyses = cv._shape(rows, ["analysis"])
+    draws = cv.nested_cv_auc(perm.unionByName(boot), by, (cells, n_analyses * (n_permutations + n_bootstrap)), seed=seed, c_grid=c_grid)
+    draws = cut_lineage(draws.select(*by, "auc"), "draws")
     nulls = draws.where("kind = 'permutation'")
     p = st.permutation_p(nulls, observed, ["analysis"])
     ci = st.interval(draws.where("kind = 'bootstrap'"), ["analysis"], "auc").select("analysis", "ci_low", "ci_high")
@@ -106,7 +107,9 @@ def qc_gate(rows: DataFrame, n_repeats: int = 3, n_permutations: int = 1000, n_b
     rid = F.concat_ws("#", "row_id", F.col("copy").cast("string")) if legacy_bootstrap else F.col("row_id")
     boot = boot.select("analysis", F.lit("bootstrap").alias("kind"), "draw", rid.alias("row_id"), "y", "x")
     by = ["analysis", "kind", "draw"]
-    pred = cv.simple_cv(perm.unionByName(boot), by, n_repeats=1, seed=seed, select=select, model=model)
+    cells, n_analyses = cv._shape(rows, ["analysis"])
+    pred = cv.simple_cv(perm.unionByName(boot), by, n_repeats=1, seed=seed, select=select, model=model,
+                        shape=(cells, n_analyses * (n_permutations + n_bootstrap)))
     draws = cut_lineage(cv.fold_auc(pred, by), "draws")
     p = st.permutation_p(draws.where("kind = 'permutation'"), obs, ["analysis"])
     ci = st.interval(draws.where("kind = 'bootstrap'"), ["analysis"], "auc").select("analysis", "ci_low", "ci_high")

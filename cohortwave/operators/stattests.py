@@ -115,7 +115,8 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, min_pairs: int = 10)
     rho = (n * F.col("ab") - F.col("sa") * F.col("sb")) / F.sqrt((n * F.col("aa") - F.col("sa") * F.col("sa")) * (n * F.col("bb") - F.col("sb") * F.col("sb")))
     s = s.where(n >= min_pairs).select(*by, n.cast("bigint").alias("n"), rho.alias("rho"))
     t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.when(1 - F.col("rho") * F.col("rho") > 0, 1 - F.col("rho") * F.col("rho")))
-    return s.withColumn("p_value", tails.t_two_sided(t, F.col("n") - 2))
+    p = tails.t_two_sided(t, F.col("n") - 2)
+    return s.withColumn("p_value", F.when(F.col("rho") * F.col("rho") >= 1, F.lit(0.0)).otherwise(p))
 
 
 def welch_t(df: DataFrame, by: list[str], y: str, value: str) -> DataFrame:
