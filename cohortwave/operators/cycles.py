@@ -31,12 +31,11 @@ def crossings(blocks: DataFrame, keys: list[str], block_len: int) -> DataFrame:
     """Positive-slope zero crossings (previous < 0, current >= 0) as one
     sorted array per block; the sample before a block comes with its halo."""
     d = with_halo(blocks, keys, 1)
-    x = F.concat(F.coalesce(F.transform("before", lambda v: v.cast("double")), F.array(F.lit(0.0))),
-                 F.transform("samples", lambda v: v.cast("double")))
+    n = F.size("samples")
+    prev = F.concat(F.coalesce(F.col("before"), F.slice("samples", F.lit(1), F.lit(1))), F.slice("samples", F.lit(1), F.greatest(n - 1, F.lit(0))))
+    up = F.zip_with(prev, "samples", lambda a, b: (a < 0) & (b >= 0))
     base = F.col("block_id") * block_len
-    d = d.withColumn("x", x)
-    hits = F.filter(F.sequence(F.lit(1), F.size("samples")), lambda j: (F.get("x", j - 1) < 0) & (F.get("x", j) >= 0))
-    return d.select(*keys, "block_id", F.transform(hits, lambda j: base + j - 1).alias("cross"))
+    return d.select(*keys, "block_id", F.array_compact(F.transform(up, lambda u, i: F.when(u, base + i))).alias("cross"))
 
 
 def _follow(entry_t, entry_gaps, cross, after, more, window):

@@ -131,8 +131,7 @@ def bad_channel_counts(flags: DataFrame, rec: list[str], channel: str, occipital
 def average_reference(blocks: DataFrame, rec: list[str], channel: str) -> DataFrame:
     """Subtract the cross-channel mean of every sample, block by block."""
     m = _by_block(blocks, rec, channel)
-    arrays = F.map_values("m")
-    mean = F.transform(_sum_arrays(arrays), lambda v: v / F.size(arrays))
+    mean = F.transform(_sum_arrays(F.map_values("m")), lambda v: v / F.size("m"))
     d = m.select(*rec, "block_id", "m", mean.alias("mean")).select(*rec, "block_id", "mean", F.explode("m").alias(channel, "samples"))
     return d.select(*rec, channel, "block_id", F.zip_with("samples", "mean", lambda a, b: a.cast("double") - b).alias("samples"))
 
@@ -143,14 +142,15 @@ def interpolate_bad(blocks: DataFrame, flags: DataFrame, neighbours: DataFrame,
     bad = flags.where("bad").select(*rec, channel)
     good = flags.where(~F.col("bad")).select(*rec, F.col(channel).alias("neighbour"))
     w = (neighbours.join(bad, [*rec, channel], "left_semi").join(good, [*rec, "neighbour"], "left_semi")
-         .groupBy(*rec, channel).agg(F.array_sort(F.collect_list(F.struct("neighbour", (1 / (F.col("distance") * F.col("distance"))).alias("w")))).alias("ws")))
+         .withColumn("w", 1 / (F.col("distance") * F.col("distance")))
+         .groupBy(*rec, channel).agg(F.array_sort(F.collect_list(F.struct("neighbour", "w"))).alias("ws"), F.sum("w").alias("total"))
+         .select(*rec, channel, F.transform("ws", lambda n: F.struct(n.neighbour.alias("neighbour"), (n.w / F.col("total")).alias("w"))).alias("ws")))
     bad = bad.join(w, [*rec, channel], "left").groupBy(*rec).agg(F.map_from_entries(F.collect_list(F.struct(F.col(channel), "ws"))).alias("repair"))
     m = _by_block(blocks, rec, channel).join(bad, rec, "left")
     d = m.select(*rec, "block_id", "m", "repair", F.explode("m").alias(channel, "samples"))
     ws = F.col("repair")[F.col(channel)]
     scaled = F.transform(ws, lambda n: F.transform(F.col("m")[n.neighbour], lambda v: v.cast("double") * n.w))
-    total = F.aggregate(ws, F.lit(0.0), lambda s, n: s + n.w)
-    fixed = F.when(F.size(ws) > 0, F.transform(_sum_arrays(scaled), lambda v: v / total))
+    fixed = F.when(F.size(ws) > 0, _sum_arrays(scaled))
     is_bad = F.coalesce(F.map_contains_key("repair", F.col(channel)), F.lit(False))
     asis = F.transform("samples", lambda v: v.cast("double"))
     return d.select(*rec, channel, "block_id", F.when(is_bad, fixed).otherwise(asis).alias("samples"), is_bad.alias("repaired"))

@@ -186,7 +186,7 @@ def _(t):
     return t.sidecars.select("subject", task.alias("task")).select("subject", "task", rate.alias("rate_hz"))
 
 
-@query("sca20_column_roles")
+@query("sca20_column_roles", with_roles("select participant_id as subject_id, apoe, picalm from participants", "participants"))
 def _(t):
     """Rows projected through a resolved role map; a stale map would raise."""
     roles = co.resolve_roles(t.participants, {"subject_id": "participant_id", "apoe": "apoe", "picalm": "picalm"})

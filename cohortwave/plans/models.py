@@ -11,7 +11,7 @@ from ..operators import aggregates as ag, crossval as cv, models as md, quality
 from ..session import cut_lineage, scratch_path
 from ..streaming import stream as sm
 from .bindings import with_roles
-from .registry import query
+from .registry import ORACLE, query
 from .stats import AUC, hash_sql
 
 N_F = 6
@@ -303,7 +303,7 @@ def _(t):
     return of("good", good).unionByName(of("quarantine", bad))
 
 
-@query("str5_triplet_quarantine")
+@query("str5_triplet_quarantine", ORACLE["jn12_triplet_integrity"].rsplit("select dir, stem", 1)[0] + "select status, count(*) as n from s group by 1")
 def _(t):
     good, bad = sm.triplet_quarantine(t.stream("headers"), t.files, scratch_path(t.spark, "str5t"), "headers")
     return good.unionByName(bad).groupBy("status").agg(F.count(F.lit(1)).alias("n"))

@@ -1,6 +1,8 @@
 """Spectral queries over the vectors as recordings."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import events as ev, signal as sg, spectral as sp
@@ -18,6 +20,17 @@ PSD = """, x as (select rec, channel, block_id * 64 + i - 1 as i, samples[i]::do
   wn as (select sum((54e-2 - 46e-2 * cos(2 * pi() * j / 6.4e1)) ** 2) as ss from (select unnest(range(0, 64)) as j)),
   ft as (select rec, channel, w, k, sum(u * cos(2 * pi() * k * j / 6.4e1)) as re, sum(u * sin(2 * pi() * k * j / 6.4e1)) as im from z cross join (select unnest(range(0, 33)) as k) kk group by 1, 2, 3, 4),
   psd as (select rec, channel, k * 2e0 as f, avg((re * re + im * im) / (1.28e2 * ss) * case when k in (0, 32) then 1 else 2 end) as p from ft cross join wn group by 1, 2, 3)"""
+SRC = PSD.split(", x as (")[1].split("),\n  sg as")[0]
+
+
+def psd_of(suffix: str, source: str, step: int, extra: str = "") -> str:
+    """The PSD CTEs under suffixed names over another sample source."""
+    text = PSD.replace(SRC, source).format(step=step, extra=extra)
+    for name in ("psd", "sgm", "sg", "ft", "wn", "x", "z"):
+        text = re.sub(rf"\b{name}\b(?! =)", f"{name}_{suffix}", text)
+    return text
+
+
 PSD0 = PSD.format(step=64, extra="")
 PSD50 = PSD.format(step=32, extra="union all select rec, channel, floor(i / 32) - 1, cast(i % 32 + 32 as int), v from x where i >= 32")
 
@@ -64,10 +77,25 @@ def _(t):
     return d.select("rec", "channel", *[F.round(c, 6).alias(c) for c in ("aperiodic_offset", "aperiodic_slope")])
 
 
-@query("sig12_baseline_features")
+MEAN = "select {g}, -1 as channel, i, avg(v) as v from ({src}) y group by {g}, i"
+FIT = "select {g}, regr_intercept(log10(greatest(p, 1e-20)), log10(f)) as o, regr_slope(log10(greatest(p, 1e-20)), log10(f)) as s from psd_m where (f >= 1 and f < 8) or (f >= 13 and f <= 45) group by {g}"
+IAF_SQL = """ a_ as (select rec, f, avg(p) as p from psd_h where f between 2 and 30 group by 1, 2),
+  b_ as (select rec, regr_slope(log10(p), log10(f)) as s, regr_intercept(log10(p), log10(f)) as c from a_ where f < 7 or f > 13 group by 1),
+  pk as (select rec, first(f order by p desc, f) as f, max(log10(p)) as lp from a_ where f >= 7 and f <= 13 group by 1)"""
+SHARES = ", ".join(f"round(coalesce(max(a) filter (band = '{b}'), 0e0) / max(a) filter (band = 'total'), 9) as band_power_{b}" for b in sp.BANDS)
+HALF = "union all select rec, channel, floor(i / 32) - 1, cast(i % 32 + 32 as int), v from x where i >= 32"
+
+
+@query("sig12_baseline_features", with_roles(
+    PSD0 + AREA + psd_of("m", MEAN.format(g="rec", src=SRC), 64) + psd_of("h", SRC, 32, HALF) + ", fm as (" + FIT.format(g="rec") + ")," + IAF_SQL + f"""
+  select ar.rec, {SHARES}, round(max(o), 6) as aperiodic_offset, round(max(fm.s), 6) as aperiodic_slope, round(max(pk.f), 2) as iaf_hz,
+    round(1e1 * (max(lp) - (max(b_.s) * log10(max(pk.f)) + max(c))), 2) as peak_height_db, 1e1 * (max(lp) - (max(b_.s) * log10(max(pk.f)) + max(c))) >= 3e0 as present
+  from ar join fm on fm.rec = ar.rec join pk on pk.rec = ar.rec join b_ on b_.rec = ar.rec group by ar.rec""", "signal"))
 def _(t):
     peaks = sp.peak_frequency(psd(t, 0.5, 2, 30).groupBy("rec", "f").agg(F.avg("p").alias("p")), ["rec"])
-    return sp.baseline_features(t.signal, ["rec"], "channel", B, SFREQ, 64, peaks=peaks)
+    d = sp.baseline_features(t.signal, ["rec"], "channel", B, SFREQ, 64, peaks=peaks)
+    return d.select("rec", *[F.round(f"band_power_{b}", 9).alias(f"band_power_{b}") for b in sp.BANDS],
+                    *[F.round(c, 6).alias(c) for c in ("aperiodic_offset", "aperiodic_slope")], "iaf_hz", "peak_height_db", "present")
 
 
 @query("sig13_peak_frequency", with_roles(PSD50 + """, a as (select rec, f, avg(p) as p from psd where f between 2 and 30 group by 1, 2),
@@ -113,9 +141,25 @@ def _(t):
     return f.join(n, "rec", "left")
 
 
-@query("sig30_zone_features")
+ZONE = "case when channel in (0, 1) then 'frontal' when channel in (2, 3) then 'central' when channel in (4, 7) then 'parietal' when channel = 5 then 'occipital' else 'temporal' end"
+
+
+def by_zone(sql: str) -> str:
+    """The same CTEs keyed by (recording, zone)."""
+    return re.sub(r"\brec\b", "rz", sql)
+
+
+ZSRC = SRC.replace("select rec, channel, block_id * 64", f"select rec * 8 + ascii({ZONE}) % 8 as rz, channel, block_id * 64")
+
+
+@query("sig30_zone_features", with_roles(
+    by_zone(psd_of("z0", "@src@", 64)).replace("@src@", ZSRC) + by_zone(AREA).replace("from psd", "from psd_z0") + by_zone(psd_of("m", "@src@", 64)).replace("@src@", MEAN.format(g="rz", src=ZSRC)) + ", fm as (" + FIT.format(g="rz") + f""")
+  , nm as (select distinct rec * 8 + ascii({ZONE}) % 8 as rz, rec, {ZONE} as zone from signal)
+  select nm.rec, nm.zone, {SHARES}, round(max(o), 6) as aperiodic_offset, round(max(fm.s), 6) as aperiodic_slope from ar join fm on fm.rz = ar.rz join nm on nm.rz = ar.rz group by 1, 2""", "signal"))
 def _(t):
-    return sp.zone_features(t.signal, ["rec"], ch_name(F.col("channel")), B, SFREQ, 64)
+    d = sp.zone_features(t.signal, ["rec"], ch_name(F.col("channel")), B, SFREQ, 64)
+    return d.select("rec", "zone", *[F.round(f"band_power_{b}", 9).alias(f"band_power_{b}") for b in sp.BANDS],
+                    *[F.round(c, 6).alias(c) for c in ("aperiodic_offset", "aperiodic_slope")])
 
 
 PROBS = """, pr as (select vec_id as comp, i - 1 as c, exp(8e0 * embedding[i]::double) as e from (select vec_id, embedding, unnest(range(1, 8)) as i from embeddings) x),
