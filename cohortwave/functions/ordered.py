@@ -19,7 +19,7 @@ def value_splits(df: DataFrame, value: str, n_buckets: int) -> list[float]:
     row is used and results do not depend on them."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = df.select(value).sample(0.05, seed=1).approxQuantile(value, probs, 0.5 / n_buckets)
-    return [-INF] + sorted(set(qs)) + [INF]
+    return [-INF] + (sorted(set(qs)) or [0.0]) + [INF]
 
 
 def bucketed_counts(df: DataFrame, by: list[str], value: str,
@@ -113,44 +113,59 @@ def dense_index(df: DataFrame, by: list[str], key: Column, tie: str, n_buckets:
             .drop("__k", "__b", "__o"))
 
 
-def _following_first(edge: DataFrame, keys: list[str], direction: int) -> DataFrame:
+def _following_first(edge: DataFrame, keys: list[str], direction: int, levels: int) -> DataFrame:
+    """Each bucket's neighbouring bucket edge. With levels > 1 the (numeric)
+    bucket numbers are themselves cut into coarser buckets, so even the table
+    with one row per bucket is never sorted as one key."""
+    if levels > 1:
+        return neighbour(edge, keys, ["__b"], {"__edge": "__carry"}, F.floor(F.col("__b") / 4096), direction, levels - 1, "__c").select(*keys, "__b", "__carry")
     order = F.col("__b").asc() if direction > 0 else F.col("__b").desc()
     w = W.partitionBy(*keys).orderBy(order)
     return edge.select(*keys, "__b", F.lead("__edge").over(w).alias("__carry"))
 
 
 def neighbour(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, str],
-              bucket: Column, direction: int = 1) -> DataFrame:
+              bucket: Column, direction: int = 1, levels: int = 1, tag: str = "__b") -> DataFrame:
     """lead (direction=1) or lag (direction=-1) of several columns in the order
     of `order` within `keys`. `bucket` must be a monotone function of the first
     order column (an hour number, a sample-block number): only a bucket is ever
     sorted as a unit, and the edge row of each bucket is handed to its
     neighbour through a table with one row per (keys, bucket)."""
-    d = df.withColumn("__b", bucket)
+    near, carry_col = f"{tag}_near", f"{tag}_carry"
+    d = df.withColumn(tag, bucket)
     payload = F.struct(*[F.col(src) for src in cols])
     key = F.struct(*order)
     pick_edge = F.min_by(payload, key) if direction > 0 else F.max_by(payload, key)
-    edges = d.groupBy(*keys, "__b").agg(pick_edge.alias("__edge"))
-    carry = _following_first(edges, keys, direction)
+    edges = d.groupBy(*keys, tag).agg(pick_edge.alias("__edge_of")).withColumnRenamed(tag, "__bk")
+    edges = edges.select(*keys, F.col("__bk").alias("__b"), F.col("__edge_of").alias("__edge"))
+    carry = _following_first(edges, keys, direction, levels).select(*keys, F.col("__b").alias(tag), F.col("__carry").alias(carry_col))
     asc = [F.col(c).asc() for c in order]
-    w = W.partitionBy(*keys, "__b").orderBy(*asc)
+    w = W.partitionBy(*keys, tag).orderBy(*asc)
     move = (lambda c: F.lead(c).over(w)) if direction > 0 else (lambda c: F.lag(c).over(w))
-    d = d.join(carry, [*keys, "__b"])
-    d = d.withColumn("__near", move(F.struct(F.struct(*[F.col(s) for s in cols]).alias("p"))))
+    d = d.join(carry, [*keys, tag])
+    d = d.withColumn(near, move(F.struct(F.struct(*[F.col(s) for s in cols]).alias("p"))))
     for src, dst in cols.items():
-        d = d.withColumn(dst, F.when(F.col("__near").isNotNull(), F.col(f"__near.p.{src}"))
-                         .otherwise(F.col(f"__carry.{src}")))
-    return d.drop("__b", "__carry", "__near")
+        d = d.withColumn(dst, F.when(F.col(near).isNotNull(), F.col(f"{near}.p.{src}"))
+                         .otherwise(F.col(f"{carry_col}.{src}")))
+    return d.drop(tag, carry_col, near)
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str,
-                bucket: Column, name: str) -> DataFrame:
-    """Inclusive running total in order, with per-bucket offsets."""
-    d = df.withColumn("__b", bucket)
-    totals = d.groupBy(*keys, "__b").agg(F.sum(value).alias("__t"))
-    w = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__b", F.coalesce(F.sum("__t").over(w), F.lit(0)).alias("__o"))
-    inside = W.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return (d.join(offsets, [*keys, "__b"])
-            .withColumn(name, F.col("__o") + F.sum(value).over(inside))
-            .drop("__b", "__o"))
+                buckets: list[Column], name: str) -> DataFrame:
+    """Inclusive running total in order. `buckets` are monotone in the first
+    order column, coarse to fine; each level adds the total of the earlier
+    buckets within the level above, so no level sorts more than one bucket's
+    children."""
+    tags = [f"__b{i}" for i in range(len(buckets))]
+    d = df
+    for t, b in zip(tags, buckets):
+        d = d.withColumn(t, b)
+    offset = F.lit(0)
+    totals = d.groupBy(*keys, *tags).agg(F.sum(value).alias("__t"))
+    for i, t in enumerate(tags):
+        level = totals.groupBy(*keys, *tags[:i + 1]).agg(F.sum("__t").alias("__t")) if i < len(tags) - 1 else totals
+        w = W.partitionBy(*keys, *tags[:i]).orderBy(t).rowsBetween(W.unboundedPreceding, -1)
+        d = d.join(level.select(*keys, *tags[:i + 1], F.coalesce(F.sum("__t").over(w), F.lit(0)).alias(f"__o{i}")), [*keys, *tags[:i + 1]])
+        offset = offset + F.col(f"__o{i}")
+    inside = W.partitionBy(*keys, *tags).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return d.withColumn(name, offset + F.sum(value).over(inside)).drop(*tags, *[f"__o{i}" for i in range(len(tags))])

@@ -124,12 +124,12 @@ def recommend_scope(costs: DataFrame, derivative_gb: Column, preference: list[st
                      F.count_if(fits).alias("n_fitting"))
 
 
-def manifest(listing: DataFrame, tasks: list[str], scope: str, prefix: int = 16) -> DataFrame:
+def manifest(listing: DataFrame, tasks: list[str], scope: str, prefixes: tuple[int, ...] = (8, 16)) -> DataFrame:
     """Files of the scope with the running byte total in path order. The order
-    is cut at a path prefix long enough to split one subject's files, so no
-    task sorts the whole list or one whole directory."""
+    is cut at path prefixes, the longest long enough to split one subject's
+    files, so no task sorts the whole list or one whole directory."""
     m = listing.where((F.col("modality") == "eeg") & F.col("task").isin(tasks)).withColumn("scope", F.lit(scope))
-    return running_sum(m, ["scope"], ["path"], "bytes", F.substring("path", 1, prefix), "running_total_bytes")
+    return running_sum(m, ["scope"], ["path"], "bytes", [F.substring("path", 1, n) for n in prefixes], "running_total_bytes")
 
 
 def value_profile(df: DataFrame, columns: list[str], n_samples: int = 5) -> DataFrame:

@@ -131,7 +131,7 @@ def phase_locked_cycles(cross: DataFrame, keys: list[str], blocks_per_chunk: int
 def crossing_cycles(cross: DataFrame, keys: list[str], block_len: int) -> DataFrame:
     """Plain form: consecutive crossings bound a cycle."""
     long = cross.select(*keys, F.explode("cross").alias("start_i"))
-    d = neighbour(long, keys, ["start_i"], {"start_i": "end_i"}, F.floor(F.col("start_i") / (block_len * 64)), 1)
+    d = neighbour(long, keys, ["start_i"], {"start_i": "end_i"}, F.floor(F.col("start_i") / (block_len * 64)), 1, levels=2)
     return d.where("end_i is not null")
 
 

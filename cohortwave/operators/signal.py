@@ -254,3 +254,14 @@ def decimate(blocks: DataFrame, keys: list[str], block_len: int, ratio: int) ->
     anti-alias filter)."""
     base = F.col("block_id") * block_len
     return blocks.select(*keys, "block_id", F.filter("samples", lambda v, i: (base + i) % ratio == 0).alias("samples"))
+
+
+def resample(blocks: DataFrame, keys: list[str], block_len: int, sfreq: float, target: float, factor: float = 0.8) -> DataFrame:
+    """Low-pass at factor x target Nyquist, then keep every (sfreq/target)-th
+    sample; the ratio must be whole."""
+    ratio = sfreq / target
+    if ratio != int(ratio):
+        raise ValueError(f"{sfreq} -> {target} Hz is not a whole ratio")
+    cut = factor * target / 2
+    d = fir_filter(blocks, keys, fir_taps(sfreq, None, cut)) if cut < sfreq / 2 else blocks
+    return decimate(d, keys, block_len, int(ratio)) if ratio > 1 else d

@@ -176,6 +176,34 @@ def interval(draws: DataFrame, by: list[str], stat: str, min_draws: int = 1) ->
     return q.select(*by, F.col("n").alias("n_draws"), F.when(ok, F.col("ci_low")).alias("ci_low"), F.when(ok, F.col("ci_high")).alias("ci_high"))
 
 
+def effect_draws(long: DataFrame, by: list[str], row_id: str, cls: str, value: str, classes: list, n_boot: int, seed: int,
+                 categorical: bool = False, clip: bool = False) -> DataFrame:
+    """(by, draw, effect): the effect size on each stratified bootstrap draw;
+    draws on which it is undefined are left out."""
+    from .resample import bootstrap
+    d = long.select(*by, row_id, cls, value).where(F.col(value).isNotNull())
+    b = bootstrap(d.withColumn("__rid", F.concat_ws("|", *by, F.col(row_id).cast("string"))), "__rid", n_boot, seed, [*by, cls])
+    if categorical:
+        t = chi_square(contingency(b, [*by, "draw"], cls, value, weight=F.col("mult")), [*by, "draw"])
+        e = t.select(*by, "draw", F.when(F.col("test") == "Fisher's exact", F.col("phi")).otherwise(F.col("cramers_v")).alias("effect"))
+    else:
+        e = kruskal(b, [*by, "draw"], cls, value, classes, clip=clip, weight=F.col("mult")).select(*by, "draw", F.col("effect_size").alias("effect"))
+    return e.where(F.col("effect").isNotNull())
+
+
+def association_table(long: DataFrame, row_id: str, group: str, groups: list, n_boot: int = 2000, seed: int = 0) -> DataFrame:
+    """metric x group screen: H, p, BH q, clipped effect and its interval; a
+    metric with fewer than two groups gets p = 1 and effect 0."""
+    from ..session import cut_lineage
+    long = cut_lineage(long, "metrics")
+    k = kruskal(long, ["metric"], group, "value", groups, clip=True)
+    k = k.withColumn("p_value", F.coalesce("p_value", F.lit(1.0))).withColumn("effect_size", F.coalesce("effect_size", F.lit(0.0)))
+    k = cut_lineage(bh(cut_lineage(k.withColumn("__fam", F.lit(1)), "tests"), ["__fam"], "p_value", "p_fdr"), "q")
+    ci = interval(cut_lineage(effect_draws(long, ["metric"], row_id, group, "value", groups, n_boot, seed, clip=True), "effects"), ["metric"], "effect")
+    return k.join(ci, "metric", "left").select("metric", F.lit("kruskal-wallis").alias("test"), "statistic", "p_value", "p_fdr", "effect_size",
+                                               F.coalesce("ci_low", F.lit(0.0)).alias("ci_low"), F.coalesce("ci_high", F.lit(0.0)).alias("ci_high"))
+
+
 def verdict(p: Column, effect: Column) -> Column:
     e = F.abs(effect)
     return F.when((p < 0.05) & (e >= 0.5), "blocking").when((p < 0.10) | (e >= 0.3), "watch").otherwise("clear")
@@ -187,14 +215,15 @@ def mitigation(variable: Column, v: Column) -> Column:
 
 
 def screen(df: DataFrame, row_id: str, continuous: list[str], categorical: list[str], ordinal: dict[str, str],
-           framings: Column, classes: list[int]) -> DataFrame:
+           framings: Column, classes: list[int], n_boot: int = 0, seed: int = 20260805) -> DataFrame:
     """Every variable under every framing in one job, corrected within the
     framing. `framings` is an array<struct<framing,class>> column; `ordinal`
-    maps a variable to its ordered-group column."""
+    maps a variable to its ordered-group column. With n_boot > 0 the effects
+    get stratified bootstrap intervals (NULL under 50 usable draws)."""
     clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
     f = df.select(row_id, *[c for c in df.columns if c != row_id], F.explode(framings).alias("__f")).withColumn("framing", F.col("__f.framing")).withColumn("cls", F.col("__f.class"))
     f = f.where("cls is not null")
-    long = lambda cols: f.select("framing", "cls", F.explode(record_array(["variable", "value"], *[(c, clean(c)) for c in cols])).alias("u")).select("framing", "cls", "u.*").where("value is not null")
+    long = lambda cols: f.select(row_id, "framing", "cls", F.explode(record_array(["variable", "value"], *[(c, clean(c)) for c in cols])).alias("u")).select(row_id, "framing", "cls", "u.*").where("value is not null")
     by = ["framing", "variable"]
     kw = kruskal(long(continuous), by, "cls", "value", classes, min_per_group=1)
     kw = kw.select(*by, F.lit("continuous").alias("type"), F.lit("Kruskal-Wallis").alias("test"), F.round("statistic", 4).alias("statistic"),
@@ -216,4 +245,11 @@ def screen(df: DataFrame, row_id: str, continuous: list[str], categorical: list[
     v = verdict(F.col("p_value"), F.col("effect_size"))
     from ..session import cut_lineage
     out = cut_lineage(out.withColumn("verdict", v).withColumn("mitigation", mitigation(F.col("variable"), v)), "screen")
-    return bh(out, ["framing"], "p_value", "fdr_q", 4)
+    out = bh(out, ["framing"], "p_value", "fdr_q", 4)
+    if not n_boot:
+        return out
+    draws = effect_draws(long(continuous), by, row_id, "cls", "value", classes, n_boot, seed).withColumn("type", F.lit("continuous"))
+    if categorical:
+        draws = draws.unionByName(effect_draws(long(categorical), by, row_id, "cls", "value", classes, n_boot, seed, True).withColumn("type", F.lit("categorical")))
+    ci = interval(cut_lineage(draws, "effects"), [*by, "type"], "effect", 50)
+    return out.join(ci.select(*by, "type", F.round("ci_low", 4).alias("effect_ci_low"), F.round("ci_high", 4).alias("effect_ci_high")), [*by, "type"], "left")

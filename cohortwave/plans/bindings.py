@@ -92,14 +92,14 @@ ROLES: dict[str, str] = {
     "files": """
       select concat('rec/', cast(p_partkey % 50 as string), '/', 'p', cast(p_partkey as string), '_', replace(p_name, ' ', '-'), '.eeg') as path,
              case when p_partkey % 13 = 0 then cast(0 as bigint) else p_size * 1000 end as bytes, cast(null as string) as head
-      from part where p_partkey % 11 <> 0
+      from part where p_size <> 11
       union all
       select concat('rec/', cast(p_partkey % 50 as string), '/', 'p', cast(p_partkey as string), '_', replace(p_name, ' ', '-'), '.vmrk'),
              cast(200 as bigint),
              case when p_partkey % 4 < 2 and p_partkey % 5 = 1 then concat('[x]', chr(10), 'DataFile=old', cast(p_partkey as string), '.eeg')
                   when p_partkey % 23 = 0 then 'DataFile=other-recording.eeg'
                   else concat('DataFile=p', cast(p_partkey as string), '_', replace(p_name, ' ', '-'), '.eeg') end
-      from part where p_partkey % 7 <> 0""",
+      from part where p_size not between 40 and 45""",
     # which task data exists for which subject, with the subject's group
     "task_files": """
       select o.o_custkey as subject, c.c_mktsegment as grp, o.o_orderstatus as task, cast(floor(o.o_totalprice) as bigint) as bytes

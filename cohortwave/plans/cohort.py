@@ -360,9 +360,9 @@ def _(t):
 
 @query("jn16_transfer_plan", with_roles("""
   select s.path, s.bytes, case when p.have is null then 'fetch' when p.have = s.bytes then 'skip' else 'quarantine' end as action
-  from survey s left join (select path, case when bytes % 7 = 0 then bytes + 1 else bytes end as have from survey where bytes % 3 <> 0) p on s.path = p.path""", "survey"))
+  from survey s left join (select path, case when modality = 'beh' then bytes + 1 else bytes end as have from survey where task <> 'sternberg') p on s.path = p.path""", "survey"))
 def _(t):
-    have = t.survey.where("bytes % 3 <> 0").select("path", F.when(F.col("bytes") % 7 == 0, F.col("bytes") + 1).otherwise(F.col("bytes")).alias("bytes"))
+    have = t.survey.where("task <> 'sternberg'").select("path", F.when(F.col("modality") == "beh", F.col("bytes") + 1).otherwise(F.col("bytes")).alias("bytes"))
     return co.transfer_plan(t.survey.select("path", "bytes"), have)
 
 
@@ -521,10 +521,10 @@ def _(t):
     return t.customer.select(F.col("c_custkey").alias("id")).intersect(t.orders.select("o_custkey"))
 
 
-@query("set4_disjoint_split", "select (select count(*) from (select o_custkey from orders where o_orderkey % 2 = 0 intersect select o_custkey from orders where o_orderkey % 2 = 1)) as n_shared, false as ok")
+@query("set4_disjoint_split", "select (select count(*) from (select o_custkey from orders where o_orderstatus = 'F' intersect select o_custkey from orders where o_orderstatus <> 'F')) as n_shared, false as ok")
 def _(t):
     o = t.orders
-    return co.disjoint(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), ["o_custkey"])
+    return co.disjoint(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus <> 'F'"), ["o_custkey"])
 
 
 @query("set5_concat_missing_columns", "select c_custkey as id, c_acctbal as bal, null::bigint as items from customer union all select p_partkey, null, p_size from part")

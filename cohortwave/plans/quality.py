@@ -258,13 +258,13 @@ def _(t):
     return dq.within_budget(t.spark.read.schema(sk.LOG_DDL).parquet(path), 10 ** 18)
 
 
-REDERIVE = """select doc_id, case when doc_id % 3 = 0 then iaf_hz + 1e0 else iaf_hz end as iaf_hz, case when doc_id % 3 = 0 then 1 else 0 end::bigint as n_history,
-   case when doc_id % 3 = 0 then iaf_hz end as before_hz from sidecars"""
+REDERIVE = """select doc_id, case when task = 'rest' then iaf_hz + 1e0 else iaf_hz end as iaf_hz, case when task = 'rest' then 1 else 0 end::bigint as n_history,
+   case when task = 'rest' then iaf_hz end as before_hz from sidecars"""
 
 
 def rederived(t):
     docs = t.sidecars.select("doc_id", F.struct("iaf_hz", (F.col("iaf_hz") > 10).alias("present")).alias("IAF"))
-    fresh = t.sidecars.where("doc_id % 3 = 0").select("doc_id", F.struct((F.col("iaf_hz") + 1).alias("iaf_hz"), (F.col("iaf_hz") + 1 > 10).alias("present")).alias("IAF"))
+    fresh = t.sidecars.where("task = 'rest'").select("doc_id", F.struct((F.col("iaf_hz") + 1).alias("iaf_hz"), (F.col("iaf_hz") + 1 > 10).alias("present")).alias("IAF"))
     return sk.rederive(docs, fresh, ["doc_id"], "IAF", RUN)
 
 
@@ -273,15 +273,15 @@ def _(t):
     return rederived(t).select("doc_id", "IAF.iaf_hz", F.size("history").cast("bigint").alias("n_history"), F.get("history", F.lit(0))["before"]["iaf_hz"].alias("before_hz"))
 
 
-@query("snk7_gained_lost", with_roles("select count(*) filter (iaf_hz <= 10 and iaf_hz + 1 > 10) as gained, 0::bigint as lost, count(*) as n_rewritten from sidecars where doc_id % 3 = 0", "sidecars"))
+@query("snk7_gained_lost", with_roles("select count(*) filter (iaf_hz <= 10 and iaf_hz + 1 > 10) as gained, 0::bigint as lost, count(*) as n_rewritten from sidecars where task = 'rest'", "sidecars"))
 def _(t):
     return sk.gained_lost(rederived(t), "IAF", "present")
 
 
 @query("snk8_resume_pending", with_roles("""select m.subject, bool_and(d.subject is not null) as complete, count(*) filter (d.subject is null) as n_pending from (select distinct subject, task from survey) m
-  left join (select distinct subject, task from survey where bytes % 11 = 0) d on m.subject = d.subject and m.task = d.task group by 1""", "survey"))
+  left join (select distinct subject, task from survey where bytes > 22000000) d on m.subject = d.subject and m.task = d.task group by 1""", "survey"))
 def _(t):
-    return co.pending_subjects(t.survey, t.survey.where("bytes % 11 = 0"))
+    return co.pending_subjects(t.survey, t.survey.where("bytes > 22000000"))
 
 
 @query("snk9_provenance_document", with_roles("""select doc_id, '{"id":{"subject":"' || subject || '","task":"' || task || '"},"qc":{"n_bad_channels":' || n_bad_channels || ',"occipital_bads":' || occipital_bads || '}}' as document from sidecars""", "sidecars"))

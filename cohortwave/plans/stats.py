@@ -224,9 +224,27 @@ def _(t):
     d = t.participants.join(t.client_list.select(F.col("subject").alias("participant_key"), "grp"),
                             F.col("participant_key") == tx.subject_id(F.col("participant_id")), "inner").drop("participant_key")
     d = d.withColumn("grp_order", F.when(F.col("grp") == "N", 0).when(F.col("grp") == "A_P_minus", 1).otherwise(2)).withColumn("segment_code", F.length("segment"))
-    return st.screen(d, "c_custkey", ["age"], ["segment_code"], {"education": "grp_order"}, tx.target_framings(F.col("grp")), [0, 1, 2])
+    return st.screen(d, "c_custkey", ["age"], ["segment_code"], {"education": "grp_order"}, tx.target_framings(F.col("grp")), [0, 1, 2], n_boot=60)
 
 
 @query("resample_hook_mean", with_roles("," + BOOT("labelled", "doc_id", "", 17, 15) + " select draw, round(sum(mult * n_chars)::double / sum(mult), 6) as statistic from bs group by 1", "labelled"))
 def _(t):
     return rs.resampled(t.labelled, "doc_id", 15, 17, F.round(F.avg("n_chars"), 6))
+
+
+@query("st6_bootstrap_v_ci", with_roles("," + BOOT("labelled", "doc_id", "y", 18, 60) + """, c as (select draw, y as g, lang as l, sum(mult)::double as o from bs group by 1, 2, 3),
+  m as (select *, sum(o) over (partition by draw, g) as r, sum(o) over (partition by draw, l) as c from c), v as (select draw, sqrt(greatest(sum(o * o / (r * c)) - 1, 0)) as v from m group by 1)
+  select count(*) as n_draws, round(quantile_cont(v, 0.025), 6) as ci_low, round(quantile_cont(v, 0.975), 6) as ci_high from v""", "labelled"))
+def _(t):
+    b = rs.bootstrap(t.labelled, "doc_id", 60, 18, ["y"])
+    v = st.chi_square(st.contingency(b, ["draw"], "y", "lang", weight=F.col("mult")), ["draw"]).select("draw", F.col("cramers_v").alias("effect"))
+    d = st.interval(cut_lineage(v.withColumn("k", F.lit(1)), "v"), ["k"], "effect", 50)
+    return d.select("n_draws", F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"))
+
+
+@query("st1_association_table")
+def _(t):
+    """QC metrics of every document against its language group."""
+    s = t.sidecars.select("doc_id", "grp", F.explode(record_array(["metric", "value"], *[(m, F.col(m).cast("double")) for m in (
+        "n_bad_channels", "occipital_bads", "n_ica_removed", "line_before", "line_after", "artifact_frac", "iaf_hz", "alpha_peak_height_db")])).alias("u")).select("doc_id", "grp", "u.*")
+    return st.association_table(s, "doc_id", "grp", ["de", "en", "es", "fr"], n_boot=30)

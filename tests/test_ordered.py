@@ -31,9 +31,11 @@ def test_neighbour_and_running_sum(spark):
     b = F.floor(F.col("i") / 50)
     got = od.neighbour(df, ["k"], ["i"], {"v": "nx"}, b, 1)
     got = od.neighbour(got, ["k"], ["i"], {"v": "pv"}, b, -1)
-    got = od.running_sum(got, ["k"], ["i"], "v", b, "cs").toPandas().sort_values(["k", "i"])
+    got = od.neighbour(got, ["k"], ["i"], {"v": "n2"}, F.floor(F.col("i") / 2), 1, levels=2)
+    got = od.running_sum(got, ["k"], ["i"], "v", [F.floor(F.col("i") / 400), b], "cs").toPandas().sort_values(["k", "i"])
     g = pdf.groupby("k")["v"]
     assert np.allclose(got["nx"].to_numpy(), g.shift(-1).to_numpy(), equal_nan=True)
+    assert np.allclose(got["n2"].to_numpy(), g.shift(-1).to_numpy(), equal_nan=True)
     assert np.allclose(got["pv"].to_numpy(), g.shift(1).to_numpy(), equal_nan=True)
     assert np.allclose(got["cs"].to_numpy(), g.cumsum().to_numpy())
 

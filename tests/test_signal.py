@@ -250,3 +250,24 @@ def test_subject_features(spark):
     assert rows[0]["harmonic_amplitude_profile_h5_median"] is None and rows[0]["rise_decay_ratio_median"] > 0
     why = {r["rec"]: r["excluded_reason"] for r in status.collect()}
     assert why[1] is None and "too few" in why[2]
+
+
+def test_preprocess_chain(spark):
+    """Mains removed, the broken channel repaired, the rate reduced."""
+    from cohortwave.operators.workflow import preprocess
+    r = np.random.default_rng(2)
+    t = np.arange(8000) / 500
+    shared = np.convolve(r.normal(size=8000), np.ones(5) / 5, "same")
+    d = None
+    for c in range(6):
+        y = shared * (1 + 0.02 * c) + 0.3 * r.normal(size=8000) + (1 + c) * np.sin(2 * np.pi * 50 * t)
+        if c == 4:
+            y = np.zeros(8000)
+        b = blocks(spark, y, 4000, channel=f"c{c}")
+        d = b if d is None else d.unionByName(b)
+    pos = spark.createDataFrame([(1, f"c{c}", float(c), 0.0, 0.0) for c in range(6)], "rec int, channel string, x double, y double, z double")
+    out = preprocess(d, pos, ["rec"], "channel", 4000, 500.0, 250.0, occipital=["c4"], peak=1e9)
+    q = out["qc_facts"].first()
+    assert q["n_bad_channels"] >= 1 and q["occipital_bads"] == 1 and q["artifact_frac"] == 0.0
+    assert q["line_before"] > 3 and q["line_after"] < 1.5
+    assert len(joined(out["blocks"].where("channel = 'c0'"))) == 4000
