@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
+
 INF = float("inf")
 
 
@@ -35,11 +37,12 @@ def bucketed_counts(df: DataFrame, by: list[str], value: str,
         n_buckets = max(4, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     d = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     d = d.withColumn("__v", F.col(value).cast("double"))
-    splits = value_splits(d, "__v", n_buckets)
     counts = d.groupBy(*by, "__v").agg(
         (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n_at"),
         *[F.sum(c).alias(name) for name, c in sums.items()])
-    counts = Bucketizer(splits=splits, inputCol="__v", outputCol="__b").transform(counts)
+    # read three times below: cut points, bucket totals, running counts
+    counts = cut_lineage(counts, "counts")
+    counts = Bucketizer(splits=value_splits(counts, "__v", n_buckets), inputCol="__v", outputCol="__b").transform(counts)
     measures = ["n_at", *sums]
     totals = counts.groupBy(*by, "__b").agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
     prior = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
@@ -50,7 +53,8 @@ def bucketed_counts(df: DataFrame, by: list[str], value: str,
         *[F.coalesce(F.sum(f"__t_{m}").over(prior), F.lit(0)).alias(f"__o_{m}") for m in measures],
         F.sum("__t_n_at").over(whole).alias("n_all"))
     inside = W.partitionBy(*by, "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)
-    out = counts.join(offsets, [*by, "__b"]) if by else counts.join(offsets, "__b")
+    # a shuffled join on the window's own keys: the window needs no further shuffle
+    out = counts.join(offsets.hint("shuffle_hash"), [*by, "__b"])
     below = {m: F.col(f"__o_{m}") + F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures}
     return out.select(
         *by, F.col("__v").alias(value), "n_at", *sums,
@@ -108,7 +112,7 @@ def dense_index(df: DataFrame, by: list[str], key: Column, tie: str, n_buckets:
     offsets = totals.select(*by, "__b", F.coalesce(F.sum("__t").over(prior), F.lit(0)).alias("__o"),
                             F.sum("__t").over(W.partitionBy(*by)).alias(f"{name}_n"))
     inside = W.partitionBy(*by, "__b").orderBy("__k", tie)
-    return (d.join(offsets, [*by, "__b"])
+    return (d.join(offsets.hint("shuffle_hash"), [*by, "__b"])
             .withColumn(name, F.col("__o") + F.row_number().over(inside) - 1)
             .drop("__k", "__b", "__o"))
 
@@ -142,7 +146,7 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], cols: dict[str,
     asc = [F.col(c).asc() for c in order]
     w = W.partitionBy(*keys, tag).orderBy(*asc)
     move = (lambda c: F.lead(c).over(w)) if direction > 0 else (lambda c: F.lag(c).over(w))
-    d = d.join(carry, [*keys, tag])
+    d = d.join(carry.hint("shuffle_hash"), [*keys, tag])
     d = d.withColumn(near, move(F.struct(F.struct(*[F.col(s) for s in cols]).alias("p"))))
     for src, dst in cols.items():
         d = d.withColumn(dst, F.when(F.col(near).isNotNull(), F.col(f"{near}.p.{src}"))

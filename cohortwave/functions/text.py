@@ -52,7 +52,7 @@ def name_entity(path: Column, key: str) -> Column:
     cheaper per row than building the whole map."""
     name = file_name(path)
     stem = F.when(name.endswith("."), name).otherwise(F.regexp_extract(name, r"^(\.*[^.]*)", 1))
-    return _match(stem, rf"(?i)^(?:.*_)?\s*{key}\s*-\s*([^_\s](?:[^_]*[^_\s])?)\s*(?:_.*)?$")
+    return F.nullif(F.regexp_extract(stem, rf"(?i)^(?:.*_)?\s*{key}\s*-\s*([^_\s](?:[^_]*[^_\s])?)\s*(?:_.*)?$", 1), F.lit(""))
 
 
 def name_suffix(path: Column) -> Column:
