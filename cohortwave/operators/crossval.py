@@ -12,9 +12,11 @@ Two layouts of the same analysis:
 """
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.ordered import dense_index, exact_percentiles
 from ..functions.rng import hash_int
@@ -445,8 +447,7 @@ def nested_cv_distributed(rows: DataFrame, by: list[str], n_splits: int, inner:
                 z = F.lit(float(w[0])) + sum((F.col("x")[i] * float(w[i + 1]) for i in range(p)), F.lit(0.0))
                 outs.append(m.where(F.col("fold") == f).select(*by, "rep", "row_id", F.col("y").cast(rows.schema["y"].dataType).alias("y"), "fold", (1 / (1 + F.exp(-z))).alias("proba")))
                 fits.append(spark.range(1).select(*[F.lit(key[c]).alias(c) for c in by], F.lit(rep).alias("rep"), F.lit(f).alias("fold"), F.lit(best).alias("best_c"), F.array(*[F.lit(float(v)) for v in w[1:]]).alias("coef")))
-    union = lambda dfs: __import__("functools").reduce(lambda a, b: a.unionByName(b), dfs)
-    return union(outs), union(fits)
+    return reduce(DataFrame.unionByName, outs), reduce(DataFrame.unionByName, fits)
 
 
 def _inner_folds(tr: DataFrame, by: list[str], inner: int, seed: int) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fm, text as tx
-from ..functions.ordered import bucketed_counts  # noqa: F401
 from ..operators import aggregates as ag, cohort as co
 from .bindings import with_roles
 from .registry import query

@@ -9,7 +9,6 @@ from .bindings import with_roles
 from .registry import query
 
 B = 64            # samples per stored block
-LAST = "(select rec, max(onset_s) as tmax from annotations group by rec)"
 
 GAP = """, g as (select *, lead(onset_s) over (partition by rec order by onset_s, event_id) as nx from annotations),
   m as (select *, coalesce(nx - onset_s >= 1.2e4, false) as kept from g where regexp_matches(description, 'S\\s*4\\s*$'))"""
@@ -291,7 +290,6 @@ def _(t):
 
 # names for the eight channels of a recording
 CHANNEL_NAMES = ["Fp1", "Fz", "Cz", "C3", "P7", "Oz", "T8", "POz"]
-CHANNELS_SQL = "case channel " + " ".join(f"when {i} then '{c}'" for i, c in enumerate(CHANNEL_NAMES)) + " end"
 
 
 def ch_name(channel):

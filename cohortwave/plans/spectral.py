@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as ev, signal as sg, spectral as sp
 from .bindings import with_roles
-from .events import CHANNELS_SQL, B, epochs_of, ch_name
+from .events import B, ch_name
 from .registry import query
 
 # Welch over 64-sample segments with half overlap, written out as a plain DFT.
