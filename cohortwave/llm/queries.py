@@ -1,7 +1,8 @@
 """The queries of this package and, where SQL can say it, their counterparts."""
 from __future__ import annotations
 
+from .jaccard import op10_ngram_jaccard
 from .quality import op7_quality_rules
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op7_quality_rules, op10_ngram_jaccard)}
 ORACLE: dict[str, str] = {}
