@@ -1,8 +1,9 @@
 """The queries of this package and, where SQL can say it, their counterparts."""
 from __future__ import annotations
 
+from .decontaminate import op9_benchmark_decontamination
 from .jaccard import op10_ngram_jaccard
 from .quality import op7_quality_rules
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op7_quality_rules, op9_benchmark_decontamination, op10_ngram_jaccard)}
 ORACLE: dict[str, str] = {}
