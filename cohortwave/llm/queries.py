@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from .decontaminate import op9_benchmark_decontamination
 from .jaccard import op10_ngram_jaccard
+from .packing import op3_packing
 from .pii import op1_pii
 from .quality import op7_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_pii, op7_quality_rules, op9_benchmark_decontamination, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_packing, op7_quality_rules, op9_benchmark_decontamination, op10_ngram_jaccard)}
 ORACLE: dict[str, str] = {}
