@@ -10,7 +10,8 @@ when `percent`% of their union is shared; classes are the components of links.
    Buckets answer with the corpus frequency of shared shingles. A document whose
    shared shingles are below `percent`% of its set cannot link and leaves here.
 3. Copies are linked first: documents with an equal minimum hash are compared
-   with one of them. This only shortens the work of the next step.
+   with the most typical of them (highest mean log frequency of its shingles, as an
+   original has among its copies). This only shortens the work of the next step.
 4. Exact step: with shingles in the order (frequency, hash), two linked documents
    share one within their first n - ceil(n * percent / 100) + 1. Documents that
    share such a shingle and are not yet in one class meet in a signature tree:
@@ -165,7 +166,7 @@ def _gather(percent: int):
         tok = np.concatenate([join("toks", "<u8"), np.repeat(mt, mc)])
         df = np.concatenate([join("dfs", "<u4"), np.repeat(join("mdfs", "<u4"), mc)])
         order = np.lexsort((tok, df, doc))
-        doc, tok = doc[order], tok[order]
+        doc, tok, df = doc[order], tok[order], df[order]
         lo, hi = np.searchsorted(doc, np.arange(len(sizes))), np.searchsorted(doc, np.arange(len(sizes)), "right")
         out = []
         for i, n in enumerate(sizes.tolist()):
@@ -174,10 +175,11 @@ def _gather(percent: int):
                 bits = np.zeros(BITS, np.uint8)
                 bits[(mix(t, MIX[2]) >> np.uint64(54)).astype(int)] = 1
                 posted = max(0, n - need + 1 - (n - len(t)))
-                out.append((nodes[16 * i:16 * i + 16], n, t.astype(np.int64), posted, [int(mix(t, m).min().astype(np.int64)) for m in MIX], np.packbits(bits).tobytes()))
+                out.append((nodes[16 * i:16 * i + 16], n, t.astype(np.int64), posted, [int(mix(t, m).min().astype(np.int64)) for m in MIX],
+                            np.packbits(bits).tobytes(), round(float(np.log2(df[lo[i]:hi[i]]).sum()) / n, 6)))
             else:
-                out.append((nodes[16 * i:16 * i + 16], n, None, 0, None, None))
-        return pd.DataFrame(out, columns=["node", "n", "toks", "posted", "mins", "bits"])
+                out.append((nodes[16 * i:16 * i + 16], n, None, 0, None, None, None))
+        return pd.DataFrame(out, columns=["node", "n", "toks", "posted", "mins", "bits", "typical"])
     return run
 
 
@@ -198,7 +200,7 @@ class Tree:
         a, b = [x[i] for x in self.levels[level]], [x[j] for x in other.levels[level]]
         common = np.bitwise_count(a[4] & b[4]).sum(1).astype(np.int64)
         most = np.minimum(*(x[2] - np.maximum(0, x[3].astype(np.int64) - common) for x in (a, b)))
-        need = -(-np.maximum(a[0], b[0]) * percent // 100)
+        need = np.maximum(-(-np.maximum(a[0], b[0]) * percent // 100), -(-(a[0] + b[0]) * percent // (100 + percent)))
         one = (a[5] == a[6]) & (b[5] == b[6]) & (a[5] == b[5])
         return ~one & (most >= need) & (100 * a[1] >= percent * b[0]) & (100 * b[1] >= percent * a[0])
 
@@ -286,14 +288,15 @@ def shared_sets(texts: DataFrame, chars: int, k: int = K, percent: int = PERCENT
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8, math.ceil(chars / 6 / bucket_tokens))
     sent = texts.mapInPandas(_send(k, buckets), SENT)
     counted = sent.groupBy("bucket").applyInPandas(_count, SENT + ", dfs binary, mdfs binary")
-    return counted.groupBy("chunk").applyInPandas(_gather(percent), "node binary, n long, toks array<long>, posted int, mins array<long>, bits binary")
+    return counted.groupBy("chunk").applyInPandas(_gather(percent), "node binary, n long, toks array<long>, posted int, mins array<long>, bits binary, typical double")
 
 
 def links(sets: DataFrame, percent: int = PERCENT, block: int = 4096) -> DataFrame:
-    """Links (a, b) between nid of `sets` (nid, n, toks, posted, mins, bits) that have the components of all links."""
-    keys = sets.select("nid", F.posexplode("mins"))
-    centre = keys.groupBy("pos", "col").agg(F.min("nid").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
-    first = keys.join(centre, ["pos", "col"]).where("nid <> b").select(F.col("nid").alias("a"), "b").distinct()
+    """Links (a, b) between nid of `sets` (nid, n, toks, posted, mins, bits, typical) that have the components of all links."""
+    keys = sets.select("nid", "typical", F.posexplode("mins"))
+    centre = keys.groupBy("pos", "col").agg(F.max_by("nid", F.struct("typical", -F.col("nid"))).alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
+    first = keys.join(centre, ["pos", "col"]).where("nid <> b")
+    first = first.select(F.least("nid", "b").alias("a"), F.greatest("nid", "b").alias("b")).distinct()
     first = cut_lineage(verify(first, sets, percent), "near")
     comp = components(first)
     posts = (sets.join(comp, sets.nid == comp.node, "left").select("nid", "n", F.size("toks").cast("long").alias("held"), F.coalesce("root", "nid").alias("comp"), "bits",
