@@ -78,10 +78,12 @@ def path_modality(path: Column) -> Column:
 def subject_id(raw: Column) -> Column:
     """'7', '007' or 'P7x' -> 'sub-07'; 'sub-...' passes; no digits -> unchanged."""
     s = F.trim(raw.cast("string"))
-    number = F.try_to_number(F.regexp_extract(s, r"(\d+)", 1), F.lit("9" * 18)).cast("bigint")
-    signed = F.when(F.regexp_like(s, F.lit(r"^[+-]?\d+$")), s.try_cast("bigint")).otherwise(number)
+    # digits stay text, so ids of any length keep their own subject
+    digits = F.regexp_replace(F.regexp_extract(s, r"(\d+)", 1), r"^0+(?=\d)", "")
+    minus = F.when(F.regexp_like(s, F.lit(r"^-\d+$")) & (digits != "0"), F.lit("-")).otherwise(F.lit(""))
+    padded = F.when((F.length(digits) < 2) & (minus == ""), F.concat(F.lit("0"), digits)).otherwise(digits)
     return (F.when(s.startswith("sub-"), s)
-            .when(F.regexp_like(s, F.lit(r"\d")), F.concat(F.lit("sub-"), F.format_string("%02d", signed)))
+            .when(F.regexp_like(s, F.lit(r"\d")), F.concat(F.lit("sub-"), minus, padded))
             .otherwise(s))
 
 
@@ -93,8 +95,8 @@ def allele_pair(raw: Column) -> Column:
              r"^0*([1-4])\s*[/_-]\s*0*([1-4])$", r"^0*([1-4]) 0*([1-4])$", r"^e([1-4])e([1-4])$"]
     a1 = F.coalesce(*[_match(s, p, 1) for p in forms]).cast("int")
     a2 = F.coalesce(*[_match(s, p, 2) for p in forms]).cast("int")
-    error = (F.when(raw.isNull() | text.isin(MISSING_MARKS), F.lit("Missing APOE value"))
-             .when(a1.isNull(), F.concat(F.lit("Unrecognised APOE format: '"), raw.cast("string"), F.lit("'"))))
+    error = (F.when(raw.isNull() | text.isin(MISSING_MARKS), F.lit("no first genotype"))
+             .when(a1.isNull(), F.concat(F.lit("first genotype not understood: '"), raw.cast("string"), F.lit("'"))))
     return F.struct(a1.alias("a1"), a2.alias("a2"), error.alias("error"))
 
 
@@ -106,8 +108,8 @@ def snp_pair(raw: Column) -> Column:
     slashed = F.when(F.regexp_like(s, F.lit("^[AG]/[AG]$")), F.regexp_replace(s, "/", ""))
     letters = F.coalesce(plain, slashed)
     value = F.array_join(F.array_sort(F.split(letters, "")), "")
-    error = (F.when(raw.isNull() | s.isin(MISSING_MARKS), F.lit("Missing PICALM value"))
-             .when(letters.isNull(), F.concat(F.lit("Unrecognised PICALM format: '"), raw.cast("string"), F.lit("'"))))
+    error = (F.when(raw.isNull() | s.isin(MISSING_MARKS), F.lit("no second genotype"))
+             .when(letters.isNull(), F.concat(F.lit("second genotype not understood: '"), raw.cast("string"), F.lit("'"))))
     return F.struct(value.alias("value"), error.alias("error"))
 
 

@@ -124,12 +124,16 @@ def recommend_scope(costs: DataFrame, derivative_gb: Column, preference: list[st
                      F.count_if(fits).alias("n_fitting"))
 
 
-def manifest(listing: DataFrame, tasks: list[str], scope: str, prefixes: tuple[int, ...] = (8, 16)) -> DataFrame:
+def manifest(listing: DataFrame, tasks: list[str], scope: str, cuts: int = 64) -> DataFrame:
     """Files of the scope with the running byte total in path order. The order
-    is cut at path prefixes, the longest long enough to split one subject's
-    files, so no task sorts the whole list or one whole directory."""
+    is cut at a sample of the paths themselves, in two levels, so no task sorts
+    the whole list whatever the paths have in common. The sample only steers
+    the division of work."""
     m = listing.where((F.col("modality") == "eeg") & F.col("task").isin(tasks)).withColumn("scope", F.lit(scope))
-    return running_sum(m, ["scope"], ["path"], "bytes", [F.substring("path", 1, n) for n in prefixes], "running_total_bytes")
+    points = sorted(r["path"] for r in m.select("path").where("path is not null").distinct().orderBy(F.xxhash64("path"), "path").limit(cuts).collect())
+    fine = F.size(F.filter(F.array(*map(F.lit, points)), lambda c: c <= F.col("path"))) if points else F.lit(0)
+    fine = F.coalesce(fine, F.lit(0))
+    return running_sum(m, ["scope"], ["path"], "bytes", [F.floor(fine / 8), fine], "running_total_bytes")
 
 
 def value_profile(df: DataFrame, columns: list[str], n_samples: int = 5) -> DataFrame:

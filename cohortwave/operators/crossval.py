@@ -76,7 +76,7 @@ def train_statistics(rows: DataFrame, folds: DataFrame, by: list[str], group: st
 # --- kernels used inside tasks ----------------------------------------------
 
 
-def _fit(x: np.ndarray, y: np.ndarray, cs: np.ndarray, steps: int = 50) -> np.ndarray:
+def _fit(x: np.ndarray, y: np.ndarray, cs: np.ndarray, steps: int = 200) -> np.ndarray:
     """Ridge logistic coefficients (intercept first, unpenalised) for every C
     at once: damped Newton on 0.5|w|^2/C + log-loss."""
     a = np.column_stack([np.ones(len(x)), x])
@@ -105,10 +105,10 @@ def _fit(x: np.ndarray, y: np.ndarray, cs: np.ndarray, steps: int = 50) -> np.nd
                 break
             t[worse] *= 0.5
         beta = beta - t[:, None] * step
-        cur = loss(beta)
-        if np.abs(t[:, None] * step).max() < 1e-9:
-            break
-    return beta
+        last, cur = cur, loss(beta)
+        if np.abs(t[:, None] * step).max() < 1e-9 or (np.abs(last - cur) <= 1e-14 * np.abs(cur)).all():
+            return beta
+    raise ArithmeticError(f"logistic fit did not converge in {steps} steps")
 
 
 def _auc(y: np.ndarray, s: np.ndarray) -> float:
@@ -258,17 +258,20 @@ def simple_cv(rows: DataFrame, by: list[str], n_splits: int = 5, n_repeats: int
               select: bool = False, model: str = "logreg", alpha: float = 0.05, max_cells: int = MAX_GROUP_CELLS,
               shape: tuple[int, int] | None = None) -> DataFrame:
     """Plain stratified k-fold with one fixed C: (by, rep, row_id, y, fold,
-    proba, n_selected). `select` keeps the features passing Welch t + BH on the
+    proba, n_selected). Folds are dealt by `grp` where the rows have one, so
+    copies of a row stay together; else by row. `select` keeps the features passing Welch t + BH on the
     training rows (all when none does); model 'svm' gives the margin of a linear
     squared-hinge machine instead of a probability."""
     cells, n_groups = shape or _shape(rows, by)
+    if "grp" not in rows.columns:
+        rows = rows.withColumn("grp", F.col("row_id").cast("string"))
     if cells > max_cells:
         if select or model != "logreg":
             raise ValueError("matrix above the per-group bound: use LinearSVC / train_statistics with explicit folds")
-        p, _f = nested_cv_distributed(rows.withColumn("grp", F.col("row_id").cast("string")), by, n_splits, 2, n_repeats, seed, [c])
+        p, _f = nested_cv_distributed(rows, by, n_splits, 2, n_repeats, seed, [c], "plain")
         return p.withColumn("n_selected", F.lit(None).cast("int"))
     u = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
-    u = u.withColumn("h", hash_int(seed, "plain", *[F.col(k) for k in by], F.col("rep"), F.col("row_id")))
+    u = u.withColumn("h", hash_int(seed, "plain", *[F.col(k) for k in by], F.col("rep"), F.col("grp")))
     schema = u.select(*by, "rep", "row_id", "y").schema.add("fold", T.IntegerType()).add("proba", T.DoubleType()).add("n_selected", T.IntegerType())
     from ..functions.tails import _beta_i
 
@@ -293,7 +296,7 @@ def simple_cv(rows: DataFrame, by: list[str], n_splits: int = 5, n_repeats: int
         pdf = pdf.sort_values(["h", "row_id"], kind="stable").reset_index(drop=True)
         x = np.stack([np.asarray(v, float) for v in pdf["x"]])
         y = pdf["y"].to_numpy().astype(float)
-        fold = _deal(pdf["h"].to_numpy(), np.arange(len(y)), y, n_splits)
+        fold = _deal(pdf["h"].to_numpy(), pdf["grp"].to_numpy(), y, n_splits)
         proba, nsel = np.full(len(y), np.nan), np.zeros(len(y), dtype="int32")
         for f in range(n_splits):
             te = fold == f
@@ -315,29 +318,33 @@ def simple_cv(rows: DataFrame, by: list[str], n_splits: int = 5, n_repeats: int
     return cut_lineage(u.groupBy(*by, "rep").applyInPandas(run, schema), "cv").where(~F.isnan("proba"))
 
 
-def _fit_svm(x: np.ndarray, y: np.ndarray, c: float, steps: int = 60) -> np.ndarray:
-    """Linear machine with squared hinge loss by Newton on the active set."""
+def _fit_svm(x: np.ndarray, y: np.ndarray, c: float, steps: int = 500) -> np.ndarray:
+    """Linear machine with squared hinge loss by damped Newton on the active set."""
     a = np.column_stack([np.ones(len(x)), x])
     s = 2 * y - 1
     ridge = np.ones(a.shape[1])
     ridge[0] = 1e-8
     b = np.zeros(a.shape[1])
+    loss = lambda v: 0.5 * (ridge * v * v).sum() + c * (np.maximum(0, 1 - s * (a @ v)) ** 2).sum()
     for _ in range(steps):
         m = 1 - s * (a @ b)
         act = m > 0
         grad = ridge * b - 2 * c * (a[act] * (s[act] * m[act])[:, None]).sum(axis=0)
         hess = np.diag(ridge) + 2 * c * a[act].T @ a[act]
         step = np.linalg.solve(hess, grad)
+        cur = loss(b)
+        while np.abs(step).max() >= 1e-10 and loss(b - step) > cur:
+            step = step / 2
         b = b - step
         if np.abs(step).max() < 1e-10:
-            break
-    return b
+            return b
+    raise ArithmeticError(f"linear machine did not converge in {steps} steps")
 
 
 # --- distributed layout -----------------------------------------------------
 
 
-def fit_distributed(rows: DataFrame, sets: list[str], c_grid: list[float], n_features: int, steps: int = 25, tol: float = 1e-8) -> dict:
+def fit_distributed(rows: DataFrame, sets: list[str], c_grid: list[float], n_features: int, steps: int = 200, tol: float = 1e-8) -> dict:
     """Coefficients of every (training set, C) pair over distributed rows.
 
     rows(y double, x array<double> scaled, member array<string>): `member`
@@ -405,13 +412,14 @@ def fit_distributed(rows: DataFrame, sets: list[str], c_grid: list[float], n_fea
                 live[si, ci] = False
             else:
                 done = False
+        b.destroy()
         if done:
-            break
-    return {s: beta[i] for s, i in pos.items()}
+            return {s: beta[i] for s, i in pos.items()}
+    raise ArithmeticError(f"distributed fit did not converge in {steps} passes")
 
 
 def nested_cv_distributed(rows: DataFrame, by: list[str], n_splits: int, inner: int, n_repeats: int, seed: int,
-                          c_grid: list[float]) -> tuple[DataFrame, DataFrame]:
+                          c_grid: list[float], salt: str = "outer") -> tuple[DataFrame, DataFrame]:
     """`nested_cv` without gathering a draw's rows anywhere: folds by rank,
     statistics as aggregates, fits by summed gradients, AUC by rank sums. The
     draws (`by`) are handled one after the other, as their number is small when
@@ -425,7 +433,7 @@ def nested_cv_distributed(rows: DataFrame, by: list[str], n_splits: int, inner:
         for c in by:
             d = d.where(F.col(c).eqNullSafe(F.lit(key[c])))
         d = cut_lineage(d.select(*by, "row_id", "grp", "y", *[F.col("x")[i].alias(f) for i, f in enumerate(feats)]), "rows")
-        outer = group_folds(d, by, "grp", "y", n_splits, seed, n_repeats, "outer")
+        outer = group_folds(d, by, "grp", "y", n_splits, seed, n_repeats, salt)
         outer = cut_lineage(outer, "folds")
         stats = train_statistics(d, outer, by, "grp", feats, n_splits)
         st = {(r["rep"], r["fold"], r["feature"]): (r["median"] or 0.0, r["mean"] or 0.0, r["std"] or 1.0) for r in stats.collect()}   # folds x features
@@ -439,6 +447,10 @@ def nested_cv_distributed(rows: DataFrame, by: list[str], n_splits: int, inner:
                 inn = _inner_folds(tr, by, inner, seed)
                 tr = cut_lineage(tr.join(inn, [*by, "grp"]).withColumn("member", F.concat(F.array(F.lit("all")), F.transform(
                     F.filter(F.sequence(F.lit(0), F.lit(inner - 1)), lambda g: g != F.col("ifold")), lambda g: F.concat(F.lit("in"), g.cast("string"))))), "train")
+                one = tr.agg(F.min("y").alias("lo"), F.max("y").alias("hi")).first()          # one row
+                if one["lo"] == one["hi"]:       # a single class: its mean, as in the other layout
+                    outs.append(m.where(F.col("fold") == f).select(*by, "rep", "row_id", F.col("y").cast(rows.schema["y"].dataType).alias("y"), "fold", F.lit(0.5 if one["lo"] is None else one["lo"]).alias("proba")))
+                    continue
                 best = float(c_grid[0])
                 if len(c_grid) > 1:
                     b = fit_distributed(tr, [f"in{g}" for g in range(inner)], c_grid, p)
@@ -447,7 +459,12 @@ def nested_cv_distributed(rows: DataFrame, by: list[str], n_splits: int, inner:
                 z = F.lit(float(w[0])) + sum((F.col("x")[i] * float(w[i + 1]) for i in range(p)), F.lit(0.0))
                 outs.append(m.where(F.col("fold") == f).select(*by, "rep", "row_id", F.col("y").cast(rows.schema["y"].dataType).alias("y"), "fold", (1 / (1 + F.exp(-z))).alias("proba")))
                 fits.append(spark.range(1).select(*[F.lit(key[c]).alias(c) for c in by], F.lit(rep).alias("rep"), F.lit(f).alias("fold"), F.lit(best).alias("best_c"), F.array(*[F.lit(float(v)) for v in w[1:]]).alias("coef")))
-    return reduce(DataFrame.unionByName, outs), reduce(DataFrame.unionByName, fits)
+    return reduce(DataFrame.unionByName, outs), reduce(DataFrame.unionByName, fits) if fits else _no_fits(rows, by)
+
+
+def _no_fits(rows: DataFrame, by: list[str]) -> DataFrame:
+    none = lambda t: F.lit(None).cast(t)
+    return rows.limit(0).select(*by, none("int").alias("rep"), none("int").alias("fold"), none("double").alias("best_c"), none("array<double>").alias("coef"))
 
 
 def _inner_folds(tr: DataFrame, by: list[str], inner: int, seed: int) -> DataFrame:

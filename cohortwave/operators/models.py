@@ -6,13 +6,13 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.rng import hash_int
 from ..functions.shape import record_array
 from ..session import cut_lineage
 from . import crossval as cv, resample as rs, stattests as st
 
 ALLOWED_CONTROL_TARGETS = {"sex"}
 # Reference lines and floors.
+DISCLAIMER = "Research output of an unvalidated model; not for use in care or screening."
 REFERENCE = {"chance": 0.5, "qc_only_auc": 0.545, "published_benchmark_auc": 0.58}
 FLOORS = {"cross_subject": 0.65, "within_subject": 0.80}
 
@@ -101,11 +101,11 @@ def qc_gate(rows: DataFrame, n_repeats: int = 3, n_permutations: int = 1000, n_b
     rows = cut_lineage(rows, "matrix")
     obs = cv.fold_auc(cv.simple_cv(rows, ["analysis"], n_repeats=n_repeats, seed=seed, select=select, model=model), ["analysis"])
     obs = cut_lineage(obs, "observed")
-    perm = rs.permute_labels(rows, "row_id", "y", n_permutations, seed, ["analysis"]).select("analysis", F.lit("permutation").alias("kind"), "draw", "row_id", "y", "x")
+    perm = rs.permute_labels(rows, "row_id", "y", n_permutations, seed, ["analysis"]).select("analysis", F.lit("permutation").alias("kind"), "draw", "row_id", "grp", "y", "x")
     boot = rs.both_classes(rs.bootstrap(rows, "row_id", n_bootstrap, seed + 1, ["analysis"]), ["analysis", "draw"], "y")
     boot = boot.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mult").cast("int"))))
-    rid = F.concat_ws("#", "row_id", F.col("copy").cast("string")) if legacy_bootstrap else F.col("row_id")
-    boot = boot.select("analysis", F.lit("bootstrap").alias("kind"), "draw", rid.alias("row_id"), "y", "x")
+    rid = F.concat_ws("#", "row_id", F.col("copy").cast("string"))
+    boot = boot.select("analysis", F.lit("bootstrap").alias("kind"), "draw", rid.alias("row_id"), (rid if legacy_bootstrap else F.col("grp")).alias("grp"), "y", "x")
     by = ["analysis", "kind", "draw"]
     cells, n_analyses = cv._shape(rows, ["analysis"])
     pred = cv.simple_cv(perm.unionByName(boot), by, n_repeats=1, seed=seed, select=select, model=model,
@@ -154,10 +154,9 @@ def train_final(rows: DataFrame, features: list[str], n_splits: int = 5, inner:
     mean = [float(ms[f"m{i}"]) for i in range(p)]
     std = [float(ms[f"s{i}"] or 1.0) or 1.0 for i in range(p)]
     m = d.select("row_id", "grp", "y", F.array(*[(c - mean[i]) / std[i] for i, c in enumerate(fill)]).alias("x"))
-    from ..functions.ordered import dense_index
-    m = dense_index(m, ["y"], hash_int(seed, "final", F.col("grp")), "row_id", hashed=True, name="a").drop("a_n")
-    m = dense_index(m, ["y"], hash_int(seed, "calibrate", F.col("grp")), "row_id", hashed=True, name="b").drop("b_n")
-    m = m.withColumn("ifold", (F.col("a") % inner).cast("int")).withColumn("cfold", (F.col("b") % n_splits).cast("int"))
+    m = cut_lineage(m, "scaled")
+    folds = lambda k, salt, name: cv.group_folds(m, [], "grp", "y", k, seed, 1, salt).select("grp", F.col("fold").alias(name))
+    m = m.join(folds(inner, "final", "ifold"), "grp").join(folds(n_splits, "calibrate", "cfold"), "grp")
     skip = lambda n, c, tag: F.transform(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda g: g != F.col(c)), lambda g: F.concat(F.lit(tag), g.cast("string")))
     m = cut_lineage(m.withColumn("member", F.concat(skip(inner, "ifold", "in"), skip(n_splits, "cfold", "cal"))), "member")
     b = cv.fit_distributed(m, [f"in{g}" for g in range(inner)], c_grid, p)
@@ -203,7 +202,7 @@ def score(rows: DataFrame, model: DataFrame, features: list[str], ranges: DataFr
     prob = F.aggregate(sig, F.lit(0.0), lambda t, v: t + v) / F.size("parts")
     ok = F.col("reason").isNull()
     return s.select(*keep, F.when(ok, "scored").otherwise("cannot_score").alias("status"), "reason", F.when(ok, prob).alias("probability"),
-                    F.when(ok, F.lit(False)).alias("actionable"), F.when(ok, F.lit(True)).alias("not_validated"))
+                    F.when(ok, F.lit(False)).alias("actionable"), F.when(ok, F.lit(True)).alias("not_validated"), F.when(ok, F.lit(DISCLAIMER)).alias("disclaimer"))
 
 
 REQUIRED_CARD_FIELDS = ["run_id", "cv_estimated_auc", "cv_estimated_ci", "training_qc_ranges", "inputs_sha256"]

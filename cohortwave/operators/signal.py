@@ -68,8 +68,13 @@ def mask_samples(blocks: DataFrame, segments: DataFrame, rec: list[str], channel
 
 
 def channel_spread(blocks: DataFrame, rec: list[str], channel: str) -> DataFrame:
-    v = blocks.select(*rec, channel, F.explode("samples").alias("v"))
-    return v.groupBy(*rec, channel).agg(F.var_pop(F.col("v").cast("double")).alias("var"))
+    """Population variance, combined from each block's own mean and squares."""
+    x = F.transform("samples", lambda v: v.cast("double"))
+    tot = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    b = blocks.where(F.size("samples") > 0).select(*rec, channel, F.size("samples").alias("n"), x.alias("x")).withColumn("m", tot(F.col("x")) / F.col("n"))
+    b = b.withColumn("q", tot(F.transform("x", lambda v: (v - F.col("m")) * (v - F.col("m")))))
+    c = b.groupBy(*rec, channel).agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum(F.col("n") * F.col("m")).alias("nm"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("nmm"))
+    return c.select(*rec, channel, ((F.col("q") + F.greatest(F.col("nmm") - F.col("nm") * F.col("nm") / F.col("n"), F.lit(0.0))) / F.col("n")).alias("var"))
 
 
 def _by_block(blocks: DataFrame, rec: list[str], channel: str) -> DataFrame:
@@ -173,20 +178,25 @@ def reblock(blocks: DataFrame, keys: list[str], factor: int) -> DataFrame:
     return g.select(*keys, "block_id", F.flatten(F.transform("s", lambda x: x.samples)).alias("samples"))
 
 
-def with_halo(blocks: DataFrame, keys: list[str], halo: int) -> DataFrame:
-    """`before` and `after` arrays of up to `halo` neighbouring samples. Only
-    the edges travel, keyed by the block that needs them: one shuffle on
-    (keys, block), however long the recording is."""
+def with_halo(blocks: DataFrame, keys: list[str], halo: int, reach: int = 1) -> DataFrame:
+    """`before` and `after` arrays of up to `halo` samples of the `reach`
+    nearest blocks on each side; NULL where there is no neighbour. Only the
+    edges travel, keyed by the block that needs them: one shuffle on (keys,
+    block), however long the recording is."""
     n = F.size("samples")
     k = F.least(F.lit(halo), n)
-    send = blocks.select(*keys, F.explode(record_array(
-        ["block_id", "own", "before", "after"],
-        (F.col("block_id"), F.col("samples"), None, None),
-        (F.col("block_id") + 1, None, F.slice("samples", n - k + 1, k), None),
-        (F.col("block_id") - 1, None, None, F.slice("samples", F.lit(1), k)))).alias("r")).select(*keys, "r.*")
-    # each of the three arrays has at most one non-NULL value per group
-    g = send.groupBy(*keys, "block_id").agg(F.max("own").alias("samples"), F.max("before").alias("before"), F.max("after").alias("after"))
-    return g.where("samples is not null")
+    own = (F.col("block_id"), F.lit(0), F.col("samples"))
+    near = [e for d in range(1, reach + 1) for e in ((F.col("block_id") + d, F.lit(-d), F.slice("samples", n - k + 1, k)),
+                                                     (F.col("block_id") - d, F.lit(d), F.slice("samples", F.lit(1), k)))]
+    send = blocks.select(*keys, F.explode(record_array(["block_id", "at", "s"], own, *near)).alias("r")).select(*keys, "r.*")
+    g = send.groupBy(*keys, "block_id").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("l"))       # at most 2 reach + 1 pieces
+    side = lambda f: F.flatten(F.transform(F.filter("l", f), lambda x: x["s"]))
+    g = g.select(
+        *keys, "block_id", F.try_element_at(F.transform(F.filter("l", lambda x: x["at"] == 0), lambda x: x["s"]), F.lit(1)).alias("samples"),
+        side(lambda x: x["at"] < 0).alias("b"), side(lambda x: x["at"] > 0).alias("a"))
+    kb = F.least(F.lit(halo), F.size("b"))
+    return g.where("samples is not null").select(*keys, "block_id", "samples", F.when(F.size("b") > 0, F.slice("b", F.size("b") - kb + 1, kb)).alias("before"),
+                                                 F.when(F.size("a") > 0, F.slice("a", F.lit(1), F.lit(halo))).alias("after"))
 
 
 def fir_taps(sfreq: float, low: float | None, high: float | None, stop: bool = False, transition: float | None = None) -> np.ndarray:
@@ -216,30 +226,35 @@ def fir_taps(sfreq: float, low: float | None, high: float | None, stop: bool = F
 
 def fir_filter(blocks: DataFrame, keys: list[str], taps: np.ndarray) -> DataFrame:
     """Zero-phase FIR. The taps travel with the task; a block is convolved with
-    its halo, and only a recording's own ends see edge padding (odd
-    reflection). Blocks must be at least half the taps long."""
+    its halo, taken from as many blocks as half the taps span, and only a
+    recording's own ends see edge padding (odd reflection). Blocks have one
+    length, but for a recording's last one."""
     half = len(taps) // 2
-    d = with_halo(blocks, keys, half)
+    size = blocks.agg(F.max(F.size("samples"))).first()[0] or 1          # one row
+    reach = max(1, -(-half // size))
+    d = with_halo(blocks, keys, half, reach)
     names = [*keys, "block_id"]
     schema = d.select(*names).schema.add("samples", T.ArrayType(T.DoubleType()))
 
+    def padded(z, k):
+        """k samples before z by odd reflection, constant where z is too short."""
+        r = 2 * z[0] - z[1:k + 1][::-1]
+        return np.concatenate([np.full(k - len(r), r[0] if len(r) else z[0]), r])
+
+    spectra = {}
+
     def run(batches):
         for pdf in batches:
             out = []
             for own, b, a in zip(pdf["samples"], pdf["before"], pdf["after"]):
                 x = np.asarray(own, float)
-                if (b is not None and len(b) < half) or (a is not None and len(x) < half):
-                    raise ValueError("blocks shorter than half the filter; re-block first")
-                left = np.asarray(b, float) if b is not None else 2 * x[0] - x[1:half + 1][::-1]
-                right = np.asarray(a, float) if a is not None else 2 * x[-1] - x[-half - 1:-1][::-1]
-                if len(left) < half:
-                    left = np.concatenate([np.full(half - len(left), left[0] if len(left) else x[0]), left])
-                if len(right) < half:
-                    right = np.concatenate([right, np.full(half - len(right), right[-1] if len(right) else x[-1])])
+                left, right = (np.asarray(v, float) if v is not None else x[:0] for v in (b, a))
                 z = np.concatenate([left, x, right])
+                z = np.concatenate([padded(z, half - len(left)), z, padded(z[::-1], half - len(right))[::-1]])
                 n = 1 << int(np.ceil(np.log2(len(z) + len(taps))))
-                y = np.fft.irfft(np.fft.rfft(z, n) * np.fft.rfft(taps, n), n)[2 * half:2 * half + len(x)]
-                out.append(y)
+                if n not in spectra:
+                    spectra[n] = np.fft.rfft(taps, n)
+                out.append(np.fft.irfft(np.fft.rfft(z, n) * spectra[n], n)[2 * half:2 * half + len(x)])
             yield pdf[names].assign(samples=out)
 
     return d.mapInPandas(run, schema)

@@ -210,8 +210,8 @@ def verdict(p: Column, effect: Column) -> Column:
 
 
 def mitigation(variable: Column, v: Column) -> Column:
-    return (F.when(v == "blocking", F.concat(F.lit("Must include "), variable, F.lit(" as covariate or use matched subsampling")))
-            .when(v == "watch", F.concat(F.lit("Consider including "), variable, F.lit(" as covariate in Phase 3 models"))).otherwise(""))
+    return (F.when(v == "blocking", F.concat(variable, F.lit(": adjust for it in every model, or match the groups on it")))
+            .when(v == "watch", F.concat(variable, F.lit(": report results with and without adjusting for it"))).otherwise(""))
 
 
 def screen(df: DataFrame, row_id: str, continuous: list[str], categorical: list[str], ordinal: dict[str, str],

@@ -47,8 +47,8 @@ GENO = """, g as (select *, lower(trim(apoe)) as s, trim(picalm) as q from parti
      case when q in ('GG','G/G') or lower(q) = 'gg' then 'GG' when q in ('G/A','A/G') or lower(q) in ('ga','ag') then 'AG' when lower(q) = 'aa' then 'AA' end as pic
      from g),
   geno as (select *, cast(floor(al / 10) as int) as a1, cast(al % 10 as int) as a2,
-     case when trim(apoe) in ('', 'NA') then 'Missing APOE value' when al is null then concat('Unrecognised APOE format: ''', apoe, '''') end as apoe_error,
-     case when q = '' then 'Missing PICALM value' when pic is null then concat('Unrecognised PICALM format: ''', picalm, '''') end as snp_error,
+     case when trim(apoe) in ('', 'NA') then 'no first genotype' when al is null then concat('first genotype not understood: ''', apoe, '''') end as apoe_error,
+     case when q = '' then 'no second genotype' when pic is null then concat('second genotype not understood: ''', picalm, '''') end as snp_error,
      case when al = 33 and pic <> 'GG' then 'N' when (al % 10 = 4 or floor(al / 10) = 4) and pic <> 'GG' then 'A_P_minus'
           when (al % 10 = 4 or floor(al / 10) = 4) and pic = 'GG' then 'A_P_plus' else 'UNRESOLVABLE' end as group_derived from k)"""
 

@@ -14,7 +14,7 @@ from .bindings import with_roles
 from .registry import ORACLE, query
 from .stats import AUC, hash_sql
 
-N_F = 6
+N_F = 64
 FEATS = [f"f{i}" for i in range(N_F)]
 GRID = [0.01, 0.1, 1.0, 10.0]
 SMALL = dict(n_repeats=2, n_permutations=12, n_bootstrap=12, c_grid=GRID)
@@ -103,11 +103,11 @@ def _(t):
     return ag.feature_stability(fits.withColumn("names", F.array(*[F.lit(f) for f in FEATS])), ["analysis"])
 
 
-@query("agg19_stability_of_signs", """with e as (select label, unnest(range(0, 4)) as k, unnest(embedding[1:4])::double as c from embeddings),
+@query("agg19_stability_of_signs", """with e as (select label, unnest(range(0, 64)) as k, unnest(embedding)::double as c from embeddings),
   g as (select label, 'f' || k as feature, count(*) as n, count(*) filter (abs(c) > 5e-2) as s, count(*) filter (c > 5e-2) as p, count(*) filter (c < -5e-2) as m from e group by 1, 2)
   select label, feature, round(s / n::double, 9) as selection_frequency, round(greatest(p, m) / s::double, 9) as sign_consistency, s / n::double > 8e-1 as stable from g""")
 def _(t):
-    c = t.embeddings.select("label", F.array(*[F.lit(f"f{i}") for i in range(4)]).alias("names"), F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("coef"))
+    c = t.embeddings.select("label", F.array(*[F.lit(f"f{i}") for i in range(N_F)]).alias("names"), F.transform("embedding", lambda v: v.cast("double")).alias("coef"))
     d = ag.feature_stability(c, ["label"], 5e-2)
     return d.select("label", "feature", F.round("selection_frequency", 9).alias("selection_frequency"), F.round("sign_consistency", 9).alias("sign_consistency"), "stable")
 
@@ -124,7 +124,7 @@ def _(t):
     d = wide(t).select("doc_id", "y", F.col("cell").alias("g"))
     leak = cv.fold_leakage(cv.group_folds(d, [], "g", "y", 5, 7, 2), d, [], "g").withColumn("analysis", F.lit("features"))
     nulls = md.qc_gate(rows_of(t), n_repeats=1, n_permutations=12, n_bootstrap=4).select("analysis", "null_mean")
-    return dq.leakage_checklist(leak, nulls, ["analysis"], 0.15)
+    return dq.leakage_checklist(leak, nulls, ["analysis"])
 
 
 @query("md1_qc_only_gate")
@@ -220,7 +220,7 @@ def _(t):
 
 
 SC_METRICS = ["n_chars", "toxic_rate"]
-MODEL = """, tr as (select d.doc_id, d.n_chars::double as n_chars, (d.doc_id % 10)::double as toxic_rate from documents d join labels l on d.doc_id = l.doc_id where l.quality = 1 and d.n_chars < 2500),
+MODEL = """, tr as (select d.doc_id, d.n_chars::double as n_chars, (d.doc_id % 10)::double as toxic_rate from documents d join labels l on d.doc_id = l.doc_id where l.quality = 1),
   rg as (select min(n_chars) as l1, max(n_chars) as h1, min(toxic_rate) as l2, max(toxic_rate) as h2, avg(n_chars) as m, stddev_pop(n_chars) as s from tr)"""
 SCORED = MODEL + """ select doc_id, case when n_chars < l1 or n_chars > h1 or (doc_id % 12) > h2 then 'cannot_score' else 'scored' end as status,
    case when n_chars < l1 or n_chars > h1 then 'n_chars=' || n_chars::double || ' outside training range [' || l1 || ', ' || h1 || ']'
@@ -229,7 +229,7 @@ SCORED = MODEL + """ select doc_id, case when n_chars < l1 or n_chars > h1 or (d
 
 
 def scoring_parts(t):
-    tr = t.documents.join(t.labels.where("quality = 1").select("doc_id"), "doc_id").where("n_chars < 2500").select(F.col("n_chars").cast("double").alias("n_chars"), (F.col("doc_id") % 10).cast("double").alias("toxic_rate"))
+    tr = t.documents.join(t.labels.where("quality = 1").select("doc_id"), "doc_id").select(F.col("n_chars").cast("double").alias("n_chars"), (F.col("doc_id") % 10).cast("double").alias("toxic_rate"))
     part = F.struct(F.lit(0.1).alias("intercept"), F.array(F.lit(0.5)).alias("coef"), F.lit(2.0).alias("slope"), F.lit(-0.3).alias("offset"))
     model = tr.agg(F.avg("n_chars").alias("m"), F.stddev_pop("n_chars").alias("s")).select(
         F.array(F.lit("n_chars")).alias("features"), F.array("m").alias("median"), F.array("m").alias("mean"), F.array("s").alias("std"), F.array(part).alias("parts"))

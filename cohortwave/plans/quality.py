@@ -105,7 +105,7 @@ def _(t):
 
 @query("dq8_declared_features", "select vec_id, embedding[1]::double as f0, embedding[2]::double as f1 from embeddings")
 def _(t):
-    d = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(4)])
+    d = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
     return dq.check_declared_features(d, ["f0", "f1"], ["vec_id"])
 
 

@@ -163,8 +163,7 @@ def _(t):
     return d.select("seg", "n", F.round("rho", 6).alias("rho"))
 
 
-@query("st10_welch_t", """with l as (select quality as y, 'f0' as f, embedding[1]::double as v from embeddings join labels on vec_id = doc_id union all select quality, 'f1', embedding[2]::double from embeddings join labels on vec_id = doc_id
-   union all select quality, 'f2', embedding[3]::double from embeddings join labels on vec_id = doc_id),
+@query("st10_welch_t", """with l as (select quality as y, 'f' || k as f, embedding[k + 1]::double as v from embeddings join labels on vec_id = doc_id cross join (select unnest(range(0, 64)) as k) z),
   g as (select f, avg(v) filter (y = 1) as m1, avg(v) filter (y = 0) as m0, var_samp(v) filter (y = 1) / count(*) filter (y = 1) as e1, var_samp(v) filter (y = 0) / count(*) filter (y = 0) as e0, count(*) filter (y = 1) as n1, count(*) filter (y = 0) as n0 from l group by 1)
   select f, round((m1 - m0) / sqrt(e1 + e0), 6) as t, round((e1 + e0) ** 2 / (e1 ** 2 / (n1 - 1) + e0 ** 2 / (n0 - 1)), 6) as df from g""")
 def _(t):
@@ -172,7 +171,7 @@ def _(t):
     return d.select("f", F.round("t", 6).alias("t"), F.round("df", 6).alias("df"))
 
 
-def vector_features(t, n=3):
+def vector_features(t, n=64):
     j = t.embeddings.join(t.labels.select(F.col("doc_id").alias("vec_id"), F.col("quality").alias("y")), "vec_id")
     return j.select("y", F.explode(record_array(["f", "v"], *[(f"f{i}", F.col("embedding")[i].cast("double")) for i in range(n)])).alias("u")).select("y", "u.*")
 
@@ -180,7 +179,7 @@ def vector_features(t, n=3):
 @query("st10_selected_features")
 def _(t):
     """Welch t -> BH within the family -> q < .05, every feature when none."""
-    d = cut_lineage(st.welch_t(vector_features(t, 16).withColumn("fam", F.lit(1)), ["fam", "f"], "y", "v"))
+    d = cut_lineage(st.welch_t(vector_features(t).withColumn("fam", F.lit(1)), ["fam", "f"], "y", "v"))
     q = st.bh(d.withColumn("p_value", F.coalesce("p_value", F.lit(1.0))), ["fam"], "p_value")
     any_hit = q.groupBy("fam").agg(F.bool_or(F.col("q_value") < 0.05).alias("any"))
     return q.join(any_hit, "fam").select("f", "t", "p_value", "q_value", ((F.col("q_value") < 0.05) | ~F.col("any")).alias("selected"))

@@ -21,12 +21,29 @@ def write_table(df: DataFrame, path: str, run_id: str, fmt: str = "parquet", fea
 
 
 def _published(spark: SparkSession, root: str) -> DataFrame | None:
+    return _table(spark, MANIFEST_DDL, f"{root}/_published")
+
+
+def _table(spark: SparkSession, ddl: str, path: str) -> DataFrame | None:
+    """The table, or None where its folder does not exist; any other failure is raised."""
     try:
-        return spark.read.schema(MANIFEST_DDL).parquet(f"{root}/_published")
-    except AnalysisException:
+        return spark.read.schema(ddl).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
+def _claim(spark: SparkSession, path: str, run_id: str) -> None:
+    """One writer per path: creating the folder is the claim, and the second one fails."""
+    try:
+        spark.range(1).select(F.lit(run_id).alias("run_id")).coalesce(1).write.mode("errorifexists").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_ALREADY_EXISTS":
+            raise FileExistsError(f"{path} is claimed by another run") from e
+        raise
+
+
 def latest(spark: SparkSession, root: str, name: str):
     """Newest manifest row of a name, or None (a handful of rows per name)."""
     m = _published(spark, root)
@@ -36,12 +53,14 @@ def latest(spark: SparkSession, root: str, name: str):
 def publish(df: DataFrame, root: str, name: str, run_id: str, allow_overwrite: bool = False) -> str:
     """Write once, stage first: the data is complete before its manifest row
     exists. A second publish of the same name needs allow_overwrite and becomes
-    the next version; the earlier one stays readable."""
+    the next version; the earlier one stays readable. A version belongs to the
+    run that created its claim folder, so two runs cannot both publish it."""
     spark = df.sparkSession
     prev = latest(spark, root, name)
     if prev is not None and not allow_overwrite:
         raise FileExistsError(f"{name} is already published as version {prev['version']}")
     version = 1 if prev is None else prev["version"] + 1
+    _claim(spark, f"{root}/_claims/{name}-version={version}", run_id)
     path = f"{root}/{name}/version={version}-run={run_id}"
     write_table(df, path, run_id)
     row = spark.range(1).select(F.lit(name).alias("name"), F.lit(run_id).alias("run_id"), F.lit(version).alias("version"), F.lit(path).alias("path"), F.current_timestamp().alias("published_at"))
@@ -72,13 +91,12 @@ def append_log(entries: DataFrame, path: str, limit: int) -> int:
     """Append transfer outcomes and return the total; an append that would
     pass the byte limit is refused before anything is written."""
     spark = entries.sparkSession
-    try:
-        before = spark.read.schema(LOG_DDL).parquet(path).agg(F.sum("bytes")).first()[0] or 0
-    except AnalysisException:
-        before = 0
+    log = _table(spark, LOG_DDL, path)
+    n, before = (0, 0) if log is None else tuple(v or 0 for v in log.agg(F.count(F.lit(1)), F.sum("bytes")).first())
     add = entries.agg(F.sum("bytes")).first()[0] or 0
     if before + add > limit:
         raise ValueError(f"byte budget exceeded: {before + add} > {limit}")
+    _claim(spark, f"{path.rstrip('/')}_claims/after-{n}", "append")       # of two runs that saw the same log one goes on
     entries.select("path", "bytes", "outcome", "run_id").write.mode("append").parquet(path)
     return before + add
 

@@ -32,8 +32,10 @@ def read_sidecars(spark: SparkSession, root: str, glob: str = "*_desc-preproc_ee
 
 def read_listing(spark: SparkSession, root: str) -> DataFrame:
     """Paths relative to `root` and sizes; file contents are not read."""
+    plain = "/" + root.rstrip("/").split(":", 1)[-1].lstrip("/")
+    quoted = plain.replace("\\", "\\\\").replace("'", "\\'")
     return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-            .select(F.regexp_replace("path", ".*" + root.rstrip("/").replace(".", r"\.") + "/", "").alias("rel_path"),
+            .select(F.expr(f"substring(path, instr(path, '{quoted}/') + {len(plain) + 1})").alias("rel_path"),
                     F.col("length").alias("bytes")))
 
 

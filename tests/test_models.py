@@ -127,3 +127,25 @@ def test_screen(spark):
     assert len(s) == 9
     age = {x["framing"]: x for x in s if x["variable"] == "age"}
     assert age["multiclass_3"]["verdict"] == "blocking" and all(x["fdr_q"] >= x["p_value"] - 1e-4 for x in s)
+
+
+def test_bootstrap_copies_stay_in_their_originals_fold(spark):
+    rows = xy(spark).withColumn("draw", F.lit(0))
+    copies = rows.unionByName(rows.withColumn("row_id", F.concat("row_id", F.lit("#2")))).withColumn("grp", F.split("row_id", "#")[0])
+    p = cv.simple_cv(copies, ["analysis"])
+    spread = p.groupBy(F.split("row_id", "#")[0].alias("o")).agg(F.countDistinct("fold").alias("k"), F.count(F.lit(1)).alias("n"))
+    assert {(r["k"], r["n"]) for r in spread.collect()} == {(1, 2)}
+
+
+def test_both_layouts_of_the_plain_analysis_agree(spark):
+    rows = xy(spark)
+    a = cv.simple_cv(rows, ["analysis"], n_splits=3)
+    b = cv.simple_cv(rows.repartition(7), ["analysis"], n_splits=3, max_cells=1)
+    j = a.join(b.select("row_id", F.col("fold").alias("f2"), F.col("proba").alias("p2")), "row_id")
+    assert j.count() == rows.count() and j.where((F.col("fold") != F.col("f2")) | (F.abs(F.col("proba") - F.col("p2")) > 1e-6)).isEmpty()
+
+
+def test_fits_that_do_not_converge_are_reported():
+    x = np.random.default_rng(0).normal(size=(30, 3))
+    with pytest.raises(ArithmeticError):
+        cv._fit(x, (x[:, 0] > 0).astype(float), np.array([1.0]), steps=1)

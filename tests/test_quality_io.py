@@ -172,3 +172,22 @@ def test_live_boundaries_equal_batch(spark, tmp_path):
     want = sequential(cross)
     pairs = list(zip(want[:-1], want[1:]))
     assert list(zip(got.start_i, got.end_i)) == pairs[:len(got)] and len(got) >= len(pairs) - 1
+
+
+def test_a_version_has_one_writer_and_a_broken_manifest_is_an_error(spark, tmp_path):
+    from cohortwave.sources import sinks as sk
+    df = spark.range(3)
+    root = str(tmp_path / "out")
+    sk._claim(spark, f"{root}/_claims/t-version=1", "other")           # another run is at it
+    with pytest.raises(FileExistsError):
+        sk.publish(df, root, "t", "mine")
+    assert sk.latest(spark, root, "t") is None
+    (tmp_path / "bad" / "_published").mkdir(parents=True)
+    (tmp_path / "bad" / "_published" / "part-0.parquet").write_bytes(b"not a table")
+    with pytest.raises(Exception):
+        sk.publish(df, str(tmp_path / "bad"), "t", "mine")
+    log = spark.createDataFrame([("a", 5, "ok", "r")], sk.LOG_DDL)
+    assert sk.append_log(log, f"{root}/log", 10) == 5
+    sk._claim(spark, f"{root}/log_claims/after-1", "other")
+    with pytest.raises(FileExistsError):
+        sk.append_log(log, f"{root}/log", 100)

@@ -36,9 +36,16 @@ def test_fir_is_block_free_and_selective(spark):
     assert spec[int(40 * 10)] < 0.02 * spec.max()
 
 
-def test_short_blocks_are_refused(spark):
-    with pytest.raises(Exception, match="re-block"):
-        sg.fir_filter(blocks(spark, tone(), 64), KEYS, sg.fir_taps(500.0, 8.0, 12.0)).collect()
+@pytest.mark.parametrize("n,size", [(441, 200), (441, 64), (5000, 64), (1030, 500), (170, 1000), (501, 500), (60, 25)])
+def test_fir_equals_the_unblocked_filter_at_any_block_length(spark, n, size):
+    taps = sg.fir_taps(500.0, 8.0, 12.0)
+    x = tone(n, noise=0.5)
+    half = len(taps) // 2
+    k = min(half, n - 1)
+    left, right = 2 * x[0] - x[1:k + 1][::-1], 2 * x[-1] - x[-k - 1:-1][::-1]
+    z = np.concatenate([np.full(half - k, left[0]), left, x, right, np.full(half - k, right[-1])])
+    got = joined(sg.fir_filter(blocks(spark, x, size), KEYS, taps))
+    assert np.allclose(got, np.convolve(z, taps, "valid"), atol=1e-9)
 
 
 def test_reblock_and_decimate(spark):
