@@ -134,6 +134,19 @@ def pending_analyses(wanted: DataFrame, results: DataFrame) -> DataFrame:
     return wanted.join(results.select("analysis").distinct(), "analysis", "left_anti")
 
 
+def control_matrix(rows: DataFrame, root: str, **settings) -> DataFrame:
+    """Metrics of every representation in `rows`. Results are stored below
+    `root`; a second call runs only the representations without one."""
+    from ..sources.sinks import stored
+    wanted = rows.select("analysis").distinct()
+    done = stored(rows.sparkSession, f"{root}/metrics")
+    todo = cut_lineage(wanted if done is None else pending_analyses(wanted, done), "pending")
+    if not todo.isEmpty():
+        metrics = run_analyses(rows.join(F.broadcast(todo), "analysis"), **settings)["metrics"]       # names, a declared handful
+        metrics.write.mode("append").parquet(f"{root}/metrics")
+    return rows.sparkSession.read.parquet(f"{root}/metrics")
+
+
 # --- final model and scoring -------------------------------------------------
 
 

@@ -200,12 +200,15 @@ def _(t):
     return d.join(svm.select("analysis", F.col("auc").alias("auc_svm")), "analysis").withColumn("verdict", md.richness_verdict(F.col("auc"), F.col("p_value")))
 
 
-@query("md9_control_matrix_resume", """select v.analysis from (values ('rung1_baseline'), ('rung2_combined'), ('rung3_zones')) v(analysis) where v.analysis not in ('rung1_baseline') and (select count(*) from documents) > 0""")
-def _(t):
-    """Representations still to run once the first one is stored."""
-    r = rungs(t)
-    wanted = r.select("analysis").distinct()
-    return md.pending_analyses(wanted, wanted.where("analysis = 'rung1_baseline'"))
+@query("md9_control_matrix_resume", """select v.analysis, (select count(*) from labels l join embeddings e on e.vec_id = l.doc_id join documents d on d.doc_id = l.doc_id) as n_subjects_used
+  from (values ('rung1_baseline'), ('rung2_combined'), ('rung3_zones')) v(analysis)""")
+def _(t):
+    """One representation is run and stored, then the whole matrix is asked
+    for: the stored one is kept, the others are run."""
+    r, root = rungs(t), scratch_path(t.spark, "matrix")
+    how = dict(n_repeats=1, n_permutations=4, n_bootstrap=4, c_grid=[0.1, 1.0])
+    md.control_matrix(r.where("analysis = 'rung1_baseline'"), root, **how)
+    return md.control_matrix(r, root, **how).select("analysis", "n_subjects_used")
 
 
 @query("md10_isolation_comparison")

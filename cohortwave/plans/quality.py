@@ -115,9 +115,10 @@ def _(t):
     return g.select("lang", dq.null_verdict(F.col("a"), F.lit(0.8), F.col("p")).alias("verdict"))
 
 
-@query("dq10_row_count_gate", "select count(*) as n, count(*) as n_expected from documents")
+@query("dq10_row_count_gate", "select (select count(*) from labels l join documents d on d.doc_id = l.doc_id) as n, (select count(*) from labels) as n_expected")
 def _(t):
-    return dq.row_count_gate(t.documents.select("doc_id"), t.documents.select("doc_id"))
+    """The join of labels and documents against the cohort that the labels declare."""
+    return dq.row_count_gate(t.labels.join(t.documents.select("doc_id"), "doc_id"), t.labels)
 
 
 @query("dq11_label_blind_sink", "select lang, count(*) as n, 'r1' as run_id from documents group by 1")

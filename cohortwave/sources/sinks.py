@@ -34,6 +34,16 @@ def _table(spark: SparkSession, ddl: str, path: str) -> DataFrame | None:
         return None
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table with its own schema, or None where nothing has been written."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def _claim(spark: SparkSession, path: str, run_id: str) -> None:
     """One writer per path: creating the folder is the claim, and the second one fails."""
     try:
