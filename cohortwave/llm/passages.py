@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import cut_lineage
 from .common import components, map_batches, read
-from .jaccard import BITS, MIX, WordHash, links, mix
+from .jaccard import BITS, MIX, links, mix
 
-K, PERCENT, PIECE, CUT = 5, 75, 8, 2
+K, PERCENT, PIECE = 5, 75, 8
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
 
@@ -43,50 +43,78 @@ def tune(similarity: float = 0.75, recall: float = 0.98, rows: int = 1) -> int:
     return bands
 
 
-def pieces(text: str | None, hashes: WordHash, longest: int = 64) -> list[tuple[int, np.ndarray]]:
-    """(first word, word hashes) of each piece."""
-    out, at = [], 0
-    for line in (text or "").split("\n"):
-        ws = line.encode("utf-8", "surrogatepass").split()
-        if len(ws) < PIECE:
-            at += len(ws)
-            continue
-        h = np.array([hashes[w] for w in ws], np.uint64)
-        start = 0
-        for i, w in enumerate(ws):
-            n = i + 1 - start
-            if n >= PIECE and (w[-1] in b".!?" and (int(h[i]) ^ int(h[i - 1])) % CUT == 0 or n >= longest):
-                out.append((at + start, h[start:i + 1]))
-                start = i + 1
-        if len(ws) - start >= PIECE:
-            out.append((at + start, h[start:]))
-        at += len(ws)
-    return out
-
-
-def shingles(h: np.ndarray) -> np.ndarray:
-    acc = np.full(len(h) - K + 1, 17, np.uint64)
+class PieceWord(dict):
+    """Word hashes up to a bound; the lowest bit says whether the word ends a sentence."""
+
+    def __missing__(self, w: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        v = self[w] = xxhash.xxh3_64_intdigest(w.lower()) & ~1 | (w[-1] in b".!?")
+        return v
+
+
+def pieces(texts: list[str | None], hashes: PieceWord, longest: int = 64) -> tuple[np.ndarray, ...]:
+    """Pieces of all texts: text number, first word there, words, place in the last array; and the hashes of all words."""
+    flat: list[int] = []
+    text, first, count, place = [], [], [], []
+    for t, x in enumerate(texts):
+        at = 0
+        for line in (x or "").split("\n"):
+            ws = line.encode("utf-8", "surrogatepass").split()
+            n = len(ws)
+            if n >= PIECE:
+                base = len(flat)
+                flat.extend([hashes[w] for w in ws])
+                start = 0
+                if n >= 2 * PIECE:
+                    h = np.array(flat[base:], np.uint64)
+                    ends = np.flatnonzero((h[1:] & np.uint64(1)) & ~((h[1:] ^ h[:-1]) >> np.uint64(1))) + 2  # half of the sentence ends
+                    for e in [*ends.tolist(), n]:
+                        while e - start > longest:
+                            text.append(t), first.append(at + start), count.append(longest), place.append(base + start)
+                            start += longest
+                        if e - start >= PIECE and e < n:
+                            text.append(t), first.append(at + start), count.append(e - start), place.append(base + start)
+                            start = e
+                if n - start >= PIECE:
+                    text.append(t), first.append(at + start), count.append(n - start), place.append(base + start)
+            at += n
+    return *(np.array(v, np.int64) for v in (text, first, count, place)), np.array(flat, np.uint64)
+
+
+def shingles(count: np.ndarray, place: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all pieces, one after the other, and where each piece's begin."""
+    if not len(count):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    acc = np.full(len(flat) - K + 1, 17, np.uint64)
+    word = flat >> np.uint64(1)
     for j in range(K):
-        acc = mix(acc ^ h[j:j + len(acc)], MIX[0]) + MIX[1]
-    return np.unique(acc)
+        acc = mix(acc ^ word[j:j + len(acc)], MIX[0]) + MIX[1]
+    many = count - K + 1
+    begin = np.cumsum(many) - many
+    return acc[np.arange(many.sum()) - np.repeat(begin - place, many)], begin
+
+
+def content(count: np.ndarray, place: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """A hash of each piece's words in their order."""
+    begin = np.cumsum(count) - count
+    nth = np.arange(count.sum()) - np.repeat(begin, count)
+    word = flat[nth + np.repeat(place, count)] >> np.uint64(1)
+    return (mix(np.add.reduceat(mix(word ^ mix(nth.astype(np.uint64) + MIX[3], MIX[2]), MIX[1]), begin), MIX[0]) if len(count) else np.zeros(0, np.uint64)).astype(np.int64)
 
 
 def sketched(docs: DataFrame, doc_id: str, text: str, bands: int) -> DataFrame:
-    """row, start, words, same (hash of the set) and keys of each piece; row is (id, hash of the text)."""
+    """row, start, words, same (hash of the words) and keys of each piece; row is (id, hash of the text)."""
     df = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash")).alias("row"), F.col(text).alias("body"))
     kind = dict(df.dtypes)["row"]
 
+    hashes = PieceWord()
+
     def run(b):
-        hashes, out = WordHash(), {c: [] for c in ("at", "start", "words", "same", "keys")}
-        for i, t in enumerate(b.column("body").to_pylist()):
-            for start, h in pieces(t, hashes):
-                s = shingles(h)
-                out["at"].append(i)
-                out["start"].append(start)
-                out["words"].append(len(h))
-                out["same"].append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-                out["keys"].append([int(mix(s, m).min().astype(np.int64)) for m in MIX[:bands]])
-        return {"row": b.column("row").take(np.array(out.pop("at"), np.int64)), **out}
+        text, first, count, place, flat = pieces(b.column("body").to_pylist(), hashes)
+        sh, begin = shingles(count, place, flat)
+        mins = np.stack([np.minimum.reduceat(mix(sh, m), begin) if len(begin) else sh for m in MIX[:bands]], axis=1).astype(np.int64)
+        return {"row": b.column("row").take(text), "start": first, "words": count, "same": content(count, place, flat), "keys": list(mins)}
 
     return map_batches(df, run, f"row {kind}, start int, words int, same long, keys array<long>")
 
@@ -97,16 +125,15 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Da
     df = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash")).alias("row"), F.col(text).alias("body"))
     both = df.join(per_row, df.row.eqNullSafe(per_row.row)).select("body", "starts")
 
+    hashes = PieceWord()
+
     def run(b):
-        hashes, same, sets = WordHash(), [], []
-        for t, starts in zip(b.column("body").to_pylist(), b.column("starts").to_pylist()):
-            starts = set(starts)
-            for start, h in pieces(t, hashes):
-                if start in starts:
-                    s = shingles(h)
-                    same.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-                    sets.append(s.astype(np.int64))
-        return {"same": same, "set": sets}
+        text, first, count, place, flat = pieces(b.column("body").to_pylist(), hashes)
+        wanted = [set(x) for x in b.column("starts").to_pylist()]
+        keep = np.array([f in wanted[t] for t, f in zip(text.tolist(), first.tolist())], bool)
+        count, place = count[keep], place[keep]
+        sh, begin = shingles(count, place, flat)
+        return {"same": content(count, place, flat), "set": [np.unique(x).astype(np.int64) for x in np.split(sh, begin[1:])] if len(begin) else []}
 
     return map_batches(both, run, "same long, set array<long>").dropDuplicates(["same"])
 

@@ -4,8 +4,8 @@ import random
 
 import numpy as np
 
-from cohortwave.llm.jaccard import MIX, WordHash, mix
-from cohortwave.llm.passages import pieces, repeated, shingles, tune, without
+from cohortwave.llm.jaccard import MIX, mix
+from cohortwave.llm.passages import PieceWord, content, pieces, repeated, shingles, tune, without
 
 
 def say(rng, n):
@@ -43,8 +43,7 @@ def test_classes_equal_brute_force(spark):
             w[rng.randrange(len(w))] = f"x{rng.randrange(50)}"
         docs.append(" ".join(w))
     out = repeated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), recall=0.999).collect()
-    h = WordHash()
-    sets = [set(shingles(pieces(t, h)[0][1]).tolist()) for t in docs]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, docs)]
     root = list(range(90))
 
     def find(i):
@@ -62,6 +61,27 @@ def test_classes_equal_brute_force(spark):
     assert {r.doc_id for r in out if not r.removed} == {min(g) for g in got.values()}
 
 
+def test_pieces_cover_their_lines_and_follow_content():
+    rng = random.Random(7)
+    texts = [None, "", "a b c", *("\n".join(say(rng, rng.choice([3, 9, 40, 300])) for _ in range(4)) for _ in range(30))]
+    text, first, count, place, flat = pieces(texts, PieceWord())
+    for t, x in enumerate(texts):
+        spans = [(f, n) for k, f, n in zip(text.tolist(), first.tolist(), count.tolist()) if k == t]
+        at, want = 0, set()
+        for line in (x or "").split("\n"):
+            n = len(line.split())
+            want |= set(range(at, at + n)) if n >= 8 else set()
+            at += n
+        got = [i for f, n in spans for i in range(f, f + n)]
+        assert len(got) == len(set(got)) and set(got) <= want and len(want - set(got)) < 8 * 5 and all(8 <= n <= 71 for _, n in spans)
+    inner = say(rng, 120)
+    moved = [pieces([a + inner + b], PieceWord()) for a, b in (("", ""), (say(rng, 30) + " ", " " + say(rng, 30)))]
+    a, b = (set(content(m[2], m[3], m[4]).tolist()) for m in moved)
+    assert len(a & b) >= len(a) - 2 or len(a) <= 3
+    sh, begin = shingles(*moved[0][2:])
+    assert len(sh) == (moved[0][2] - 4).sum() and len(begin) == len(moved[0][2])
+
+
 def test_bands_reach_their_recall():
     assert tune(0.75, 0.98) == 3 and tune(0.5, 0.9, 2) == 9
     rng = np.random.default_rng(0)
