@@ -188,19 +188,33 @@ def _(t):
     return sg.samples_long(d, ["rec"], B).select("rec", "i", F.round("v", 6).alias("v"))
 
 
-@query("sig6_narrowband")
+def fir_sql(taps, block: int) -> str:
+    """Energy per block of the zero-phase filter with odd reflection, taps written out."""
+    half = len(taps) // 2
+    return f""", x as (select rec, block_id * 64 + i - 1 as i, samples[i]::double as v from (select rec, block_id, samples, unnest(range(1, 65)) as i from long_signal) q),
+  n as (select rec, max(i) as last from x group by 1), h as (select unnest(range(-{half}, {half + 1})) as k, unnest([{", ".join(f"{w!r}::double" for w in taps.tolist())}]) as w),
+  e as (select rec, i, v from x union all select a.rec, -b.i, 2 * a.v - b.v from x a join x b on a.rec = b.rec and a.i = 0 and b.i between 1 and {half}
+    union all select a.rec, 2 * a.i - b.i, 2 * a.v - b.v from n join x a on a.rec = n.rec and a.i = n.last join x b on b.rec = a.rec and b.i between a.i - {half} and a.i - 1),
+  y as (select e.rec, e.i + h.k as i, sum(h.w * e.v) as v from e cross join h group by 1, 2)
+  select y.rec, cast(floor(y.i / {block}e0) as bigint) as block_id, round(sum(y.v * y.v), 6) as energy from y join n on n.rec = y.rec where y.i between 0 and last group by 1, 2"""
+
+
+ALPHA_TAPS, LINE_TAPS = sg.fir_taps(500.0, 8.0, 12.0), sg.fir_taps(250.0, 49.5, 50.5, stop=True, transition=1.0)
+
+
+@query("sig6_narrowband", with_roles(fir_sql(ALPHA_TAPS, 64 * 20), "long_signal"))
 def _(t):
     """Band-pass 8-12 Hz at 500 Hz over re-blocked recordings, then energy."""
     d = sg.reblock(t.long_signal.drop("label"), ["rec", "channel"], 20)
-    d = sg.fir_filter(d, ["rec", "channel"], sg.fir_taps(500.0, 8.0, 12.0))
-    return d.select("rec", "block_id", F.aggregate("samples", F.lit(0.0), lambda s, v: s + v * v).alias("energy"))
+    d = sg.fir_filter(d, ["rec", "channel"], ALPHA_TAPS)
+    return d.select("rec", "block_id", F.round(F.aggregate("samples", F.lit(0.0), lambda s, v: s + v * v), 6).alias("energy"))
 
 
-@query("sig6_notch")
+@query("sig6_notch", with_roles(fir_sql(LINE_TAPS, 64 * 20), "long_signal"))
 def _(t):
     d = sg.reblock(t.long_signal.drop("label"), ["rec", "channel"], 20)
     d = sg.notch(d, ["rec", "channel"], 250.0)
-    return d.select("rec", "block_id", F.aggregate("samples", F.lit(0.0), lambda s, v: s + v * v).alias("energy"))
+    return d.select("rec", "block_id", F.round(F.aggregate("samples", F.lit(0.0), lambda s, v: s + v * v), 6).alias("energy"))
 
 
 @query("sig7_decimate", with_roles(""", x as (select rec, channel, block_id * 64 + i - 1 as i, samples[i]::double as v from (select rec, channel, block_id, samples, unnest(range(1, 65)) as i from signal) q)
