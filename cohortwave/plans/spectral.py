@@ -119,10 +119,23 @@ def _(t):
     return sp.line_noise_index(mean, ["rec"], 50.0, 2.0, ((42.0, 46.0), (54.0, 58.0))).withColumn("line_noise_index", F.round("line_noise_index", 6))
 
 
-@query("sig27_multitaper_psd")
+def taper_sql(n: int, bandwidth: float = 4.0) -> str:
+    """Tapers m, their weights g and values (j, h) of windows of n samples, written out."""
+    half = bandwidth * n / (2.0 * SFREQ)
+    tapers, ratios = sp.dpss_tapers(n, half, max(1, int(2 * half)))
+    kept = [(m, g, v) for m, (g, v) in enumerate(zip(ratios.tolist(), tapers.tolist())) if g > 0.9]
+    return " union all ".join(f"select {m} as m, {g!r}::double as g, unnest(range(0, {n})) as j, unnest([{', '.join(f'{x!r}::double' for x in v)}]) as h" for m, g, v in kept)
+
+
+@query("sig27_multitaper_psd", with_roles(f""", x as (select rec, channel, block_id * 64 + i - 1 as i, samples[i]::double as v from (select rec, channel, block_id, samples, unnest(range(1, 65)) as i from signal) q),
+  w as (select rec, channel, floor(i / 128) as w, cast(i % 128 as int) as j, v, count(*) over (partition by rec, channel, floor(i / 128)) as c, avg(v) over (partition by rec, channel, floor(i / 128)) as a from x),
+  tp as ({taper_sql(128)}), tot as (select sum(g) as tg from (select distinct m, g from tp)), u as (select rec, channel, w, m, g, w.j, (v - a) * h as u from w join tp on tp.j = w.j where c = 128),
+  ft as (select rec, channel, w, m, g, k, sum(u * cos(2 * pi() * k * j / 1.28e2)) as re, sum(u * sin(2 * pi() * k * j / 1.28e2)) as im from u cross join (select unnest(range(0, 65)) as k) kk group by 1, 2, 3, 4, 5, 6),
+  p as (select rec, channel, w, k, sum(g * (re * re + im * im)) * case when k in (0, 64) then 1e0 else 2e0 end / max(tg) as p from ft cross join tot group by 1, 2, 3, 4)
+  select rec, channel, k * {SFREQ / 128!r}::double as f, round(avg(p), 6) as p from p where k * {SFREQ / 128!r}::double between 1 and 45 group by 1, 2, 3""", "signal"))
 def _(t):
     s = sp.segments(t.signal, ["rec", "channel"], B, 128, 128)
-    return sp.psd_long(s, ["rec", "channel"], sp.multitaper_power(F.col("samples"), 128, SFREQ), SFREQ / 128, 1, 45)
+    return sp.psd_long(s, ["rec", "channel"], sp.multitaper_power(F.col("samples"), 128, SFREQ), SFREQ / 128, 1, 45).withColumn("p", F.round("p", 6))
 
 
 @query("sig28_windowed_tfa")
