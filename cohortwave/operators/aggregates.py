@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import formulas as fm, tails
 from ..functions.ordered import exact_percentiles, running_sum
 from ..functions.rng import hash_int
+from ..session import cut_lineage
 
 
 def bytes_by(listing: DataFrame) -> DataFrame:
@@ -132,8 +133,8 @@ def manifest(listing: DataFrame, tasks: list[str], scope: str, cuts: int = 64) -
     m = listing.where((F.col("modality") == "eeg") & F.col("task").isin(tasks)).withColumn("scope", F.lit(scope))
     points = sorted(r["path"] for r in m.select("path").where("path is not null").distinct().orderBy(F.xxhash64("path"), "path").limit(cuts).collect())
     fine = F.size(F.filter(F.array(*map(F.lit, points)), lambda c: c <= F.col("path"))) if points else F.lit(0)
-    fine = F.coalesce(fine, F.lit(0))
-    return running_sum(m, ["scope"], ["path"], "bytes", [F.floor(fine / 8), fine], "running_total_bytes")
+    m = cut_lineage(m.withColumn("__cut", F.coalesce(fine, F.lit(0))), "manifest")
+    return running_sum(m, ["scope"], ["path"], "bytes", [F.floor(F.col("__cut") / 8), F.col("__cut")], "running_total_bytes").drop("__cut")
 
 
 def value_profile(df: DataFrame, columns: list[str], n_samples: int = 5) -> DataFrame:
