@@ -1,7 +1,7 @@
 """Repeated passages by paragraph MinHash banding.
 
-Lines are paragraphs; longer ones are cut at sentence ends chosen by content (a
-hash of the last words), so the same passage gives the same pieces wherever it
+Lines are paragraphs; longer ones are cut at sentence ends and other places that
+are chosen by content (a hash of the last two words), so the same passage gives the same pieces wherever it
 stands. A piece is the set of its 5-word shingles. `tune` picks the bands that
 reach a recall at the similarity; pieces with a band key of their own only
 leave at once. Equal pieces are merged before anything is paired; colliding ones
@@ -68,7 +68,8 @@ def pieces(texts: list[str | None], hashes: PieceWord, longest: int = 64) -> tup
                 start = 0
                 if n >= 2 * PIECE:
                     h = np.array(flat[base:], np.uint64)
-                    ends = np.flatnonzero((h[1:] & np.uint64(1)) & ~((h[1:] ^ h[:-1]) >> np.uint64(1))) + 2  # half of the sentence ends
+                    two = (h[1:] ^ h[:-1]) >> np.uint64(1)  # half of the sentence ends, and every eighth place for texts without them
+                    ends = np.flatnonzero((h[1:] & ~two & np.uint64(1)) | ((two >> np.uint64(7)) % np.uint64(8) == 0)) + 2
                     for e in [*ends.tolist(), n]:
                         while e - start > longest:
                             text.append(t), first.append(at + start), count.append(longest), place.append(base + start)
@@ -165,16 +166,14 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_
     """doc_id, start, n_words, class_id, class_size and removed of each repeated piece."""
     bands = tune(PERCENT / 100, recall)
     all_ = cut_lineage(sketched(docs, doc_id, text, bands), "pieces")
-    keys = all_.select("same", F.struct("row", "start").alias("at"), F.posexplode("keys").alias("band", "key"))
-    # a key that one place alone has is dropped after a map-side count; equal pieces become one row
-    by_key = keys.groupBy("band", "key", "same").agg(F.count("*").alias("c"))
-    shared = by_key.groupBy("band", "key").agg(F.count("*").alias("kinds"), F.sum("c").alias("n")).where("n > 1")
-    twice = cut_lineage(by_key.join(shared, ["band", "key"]), "colliding")
-    groups = cut_lineage(twice.where("kinds > 1").select("band", "key", "same", "c"), "groups")
-    first = all_.join(groups.select("same").distinct(), "same").groupBy("same").agg(F.min(F.struct("row", "start")).alias("at"))
+    keys = all_.select("same", F.explode("keys").alias("key"))
+    # keys are counted before they are joined; mixed ones have pieces that differ, the others need no comparison
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), (F.min("same") != F.max("same")).alias("mixed")).where("n > 1").select("key", "mixed")
+    twice = cut_lineage(keys.join(shared, "key").groupBy("same").agg(F.max("mixed").alias("mixed")), "colliding")
+    first = all_.join(twice.where("mixed").select("same"), "same").groupBy("same").agg(F.min(F.struct("row", "start")).alias("at"))
     sets = cut_lineage(whole_sets(docs, first.select("at.row", "at.start"), doc_id, text), "sets")
     comp = components(links(cut_lineage(ranked(sets, bands), "ranked"), PERCENT))
-    same = twice.select("same").distinct().join(comp, F.col("same") == F.col("node"), "left").select("same", F.coalesce("root", "same").alias("root"))
+    same = twice.select("same").join(comp, F.col("same") == F.col("node"), "left").select("same", F.coalesce("root", "same").alias("root"))
     hits = all_.drop("keys").join(same, "same")
     hits = cut_lineage(hits.groupBy("root", "row", "start").agg(F.first("words").alias("words"), F.count("*").alias("times")), "hits")
     size = hits.groupBy("root").agg(F.sum("times").alias("class_size"), F.min(F.struct("row", "start")).alias("keep"), F.max("row").alias("last"), F.max("times").alias("t"))
