@@ -158,7 +158,12 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     kind = dict(df.dtypes)["doc_id"]
     vec = cut_lineage(map_batches(df, vectors, f"doc_id {kind}, at array<int>, tf array<int>"), "vectors")
-    df_of = {r["col"]: r["count"] for r in vec.select(F.explode("at").alias("col")).groupBy("col").count().collect()}
+
+    def frequencies(b):  # summed per slice, so a task sends a few rows of the bounded vocabulary
+        n = np.bincount(b.column("at").flatten().to_numpy(zero_copy_only=False).astype(np.int64), minlength=1)
+        return {"term": np.flatnonzero(n), "n": n[n > 0]}
+
+    df_of = {r["term"]: r["n"] for r in map_batches(vec.select("at"), frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     rows = vec.join(F.broadcast(train), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     index = spark.sparkContext.broadcast(Index([r.doc_id for r in rows], [r.y for r in rows], [(r["at"], r.tf) for r in rows],
                                                [df_of.get(i, 0) for i in range(len(vocab))], vec.count()))
