@@ -37,16 +37,23 @@ def join_bounded(df: DataFrame, small: DataFrame, on, how: str, max_rows: int =
     return df.join(F.broadcast(small) if small.count() <= max_rows else small, on, how)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with a function from a RecordBatch to a dict of columns (or None)."""
+    """mapInArrow with a function from a RecordBatch to a dict of columns (or
+    None). Batches are worked on in slices, so Python holds few texts at once."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows and (out := fn(b)) is not None:
+        for b in slices(batches):
+            if (out := fn(b)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)

@@ -31,11 +31,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
-from .common import blank_words, components, join_bounded, read, row_key
+from .common import blank_words, components, join_bounded, read, row_key, slices
 
 K, PERCENT = 5, 75
 LOW = np.uint64((1 << 48) - 1)
@@ -88,6 +89,7 @@ def unpack(blob: bytes) -> np.ndarray:
 
 SENT = "bucket long, chunk string, nodes binary, sizes binary, docs binary, toks binary, mtoks binary, mcounts binary"
 SENT_COLS = [c.split()[0] for c in SENT.split(", ")]
+SENT_TYPES = [pa.int64(), pa.string()] + [pa.binary()] * 6
 
 
 def _send(k: int, buckets: int, most_words: int = 400_000):
@@ -118,19 +120,21 @@ def _send(k: int, buckets: int, most_words: int = 400_000):
         yield (-1 - int(nodes[0].hex()[:8], 16) % buckets, name, b"".join(nodes), sizes, mdocs.astype("<u2").tobytes(), None,
                mt.astype("<u8").tobytes(), mc.astype("<u4").tobytes())
 
-    def run(parts):
-        hashes = WordHash()
-        for p in parts:
-            nodes, sets, held = [], [], 0
-            for node, text in zip(p["node"], p["body"]):
-                nodes.append(bytes(node))
+    def batch(nodes, sets):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk(nodes, sets)), SENT_TYPES)], SENT_COLS)
+
+    def run(batches):
+        hashes, nodes, sets, held = WordHash(), [], [], 0
+        for b in slices(batches):
+            for node, text in zip(b.column("node").to_pylist(), b.column("body").to_pylist()):
+                nodes.append(node)
                 sets.append(shingle_set(text, hashes, k))
                 held += len(sets[-1])
                 if held >= most_words or len(nodes) >= 60_000:
-                    yield pd.DataFrame(chunk(nodes, sets), columns=SENT_COLS)
+                    yield batch(nodes, sets)
                     nodes, sets, held = [], [], 0
-            if nodes:
-                yield pd.DataFrame(chunk(nodes, sets), columns=SENT_COLS)
+        if nodes:
+            yield batch(nodes, sets)
     return run
 
 
@@ -282,11 +286,11 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
             .where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
 
 
-def shared_sets(texts: DataFrame, chars: int, k: int = K, percent: int = PERCENT, bucket_tokens: int = 1_500_000) -> DataFrame:
+def shared_sets(texts: DataFrame, chars: int, k: int = K, percent: int = PERCENT, bucket_tokens: int = 1_000_000) -> DataFrame:
     """Documents (node, body) to node, n and, where a link is possible, shared tokens."""
     spark = texts.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8, math.ceil(chars / 6 / bucket_tokens))
-    sent = texts.mapInPandas(_send(k, buckets), SENT)
+    sent = texts.mapInArrow(_send(k, buckets), SENT)
     counted = sent.groupBy("bucket").applyInPandas(_count, SENT + ", dfs binary, mdfs binary")
     return counted.groupBy("chunk").applyInPandas(_gather(percent), "node binary, n long, toks array<long>, posted int, mins array<long>, bits binary, typical double")
 
