@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import cut_lineage
-from .common import components, map_batches, read
+from .common import blank_words, components, map_batches, read
 from .jaccard import BITS, MIX, links, mix
 
 K, PERCENT, PIECE = 5, 75, 8
@@ -121,18 +121,21 @@ def sketched(docs: DataFrame, doc_id: str, text: str, bands: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """same and set of the wanted pieces (same, row, starts), from the texts of their rows."""
-    per_row = wanted.groupBy("row").agg(F.collect_set("start").alias("starts"))
+    """same and set of the wanted pieces (row, start, words), from the texts of their rows."""
+    per_row = wanted.groupBy("row").agg(F.collect_set(F.struct("start", "words")).alias("spans"))
     df = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash")).alias("row"), F.col(text).alias("body"))
-    both = df.join(per_row, df.row.eqNullSafe(per_row.row)).select("body", "starts")
-
+    both = df.join(per_row, df.row.eqNullSafe(per_row.row)).select("body", "spans")
     hashes = PieceWord()
 
     def run(b):
-        text, first, count, place, flat = pieces(b.column("body").to_pylist(), hashes)
-        wanted = [set(x) for x in b.column("starts").to_pylist()]
-        keep = np.array([f in wanted[t] for t, f in zip(text.tolist(), first.tolist())], bool)
-        count, place = count[keep], place[keep]
+        flat, count = [], []
+        for t, spans in zip(b.column("body").to_pylist(), b.column("spans").to_pylist()):
+            ws = blank_words(t)
+            for x in spans:
+                flat += [hashes[w] for w in ws[x["start"]:x["start"] + x["words"]]]
+                count.append(x["words"])
+        count, flat = np.array(count, np.int64), np.array(flat, np.uint64)
+        place = np.cumsum(count) - count
         sh, begin = shingles(count, place, flat)
         return {"same": content(count, place, flat), "set": [np.unique(x).astype(np.int64) for x in np.split(sh, begin[1:])] if len(begin) else []}
 
@@ -147,17 +150,17 @@ def ranked(sets: DataFrame, bands: int) -> DataFrame:
     lists = lists.select("same", "n", F.col("t.df").alias("df"), F.col("t.tok").alias("tok"))
 
     def run(b):
-        out = {c: [] for c in ("n", "toks", "posted", "mins", "bits", "typical")}
-        for n, df, tok in zip(*(b.column(c).to_pylist() for c in ("n", "df", "tok"))):
-            t, df = np.array(tok, np.int64).astype(np.uint64), np.array(df)
-            mine = t[df > 1]
-            bits = np.zeros(BITS, np.uint8)
-            bits[(mix(mine, MIX[2]) >> np.uint64(54)).astype(int)] = 1
-            for c, v in (("n", n), ("toks", mine.astype(np.int64)), ("posted", max(0, n - -(-n * PERCENT // 100) + 1 - (n - len(mine)))),
-                         ("mins", [int(mix(t, m).min().astype(np.int64)) for m in MIX[:bands]]), ("bits", np.packbits(bits).tobytes()),
-                         ("typical", round(float(np.log2(df).sum()) / n, 6))):
-                out[c].append(v)
-        return {"nid": b.column("same"), **out}
+        size = np.diff(b.column("tok").offsets.to_numpy())
+        begin, own = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+        t, df = (b.column(c).flatten().to_numpy() for c in ("tok", "df"))
+        t, shared, n = t.astype(np.uint64), df > 1, b.column("n").to_numpy().astype(np.int64)
+        held = np.bincount(own[shared], minlength=len(n))
+        bits = np.zeros((len(n), BITS), np.uint8)
+        bits[own[shared], (mix(t[shared], MIX[2]) >> np.uint64(54)).astype(int)] = 1
+        return {"nid": b.column("same"), "n": n, "toks": np.split(t[shared].astype(np.int64), np.cumsum(held)[:-1]),
+                "posted": np.maximum(0, n - -(-n * PERCENT // 100) + 1 - (n - held)),
+                "mins": list(np.stack([np.minimum.reduceat(mix(t, m), begin) for m in MIX[:bands]], axis=1).astype(np.int64)),
+                "bits": [x.tobytes() for x in np.packbits(bits, axis=1)], "typical": np.round(np.add.reduceat(np.log2(df), begin) / n, 6)}
 
     return map_batches(lists, run, "nid long, n long, toks array<long>, posted int, mins array<long>, bits binary, typical double")
 
@@ -170,8 +173,8 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_
     # keys are counted before they are joined; mixed ones have pieces that differ, the others need no comparison
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), (F.min("same") != F.max("same")).alias("mixed")).where("n > 1").select("key", "mixed")
     twice = cut_lineage(keys.join(shared, "key").groupBy("same").agg(F.max("mixed").alias("mixed")), "colliding")
-    first = all_.join(twice.where("mixed").select("same"), "same").groupBy("same").agg(F.min(F.struct("row", "start")).alias("at"))
-    sets = cut_lineage(whole_sets(docs, first.select("at.row", "at.start"), doc_id, text), "sets")
+    first = all_.join(twice.where("mixed").select("same"), "same").groupBy("same").agg(F.min(F.struct("row", "start", "words")).alias("at"))
+    sets = cut_lineage(whole_sets(docs, first.select("at.row", "at.start", "at.words"), doc_id, text), "sets")
     comp = components(links(cut_lineage(ranked(sets, bands), "ranked"), PERCENT))
     same = twice.select("same").join(comp, F.col("same") == F.col("node"), "left").select("same", F.coalesce("root", "same").alias("root"))
     hits = all_.drop("keys").join(same, "same")
