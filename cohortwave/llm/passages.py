@@ -1,22 +1,27 @@
 """Repeated passages by paragraph MinHash banding.
 
-Lines are paragraphs; longer ones are cut at sentence ends and other places that
-are chosen by content (a hash of the last two words), so the same passage gives the same pieces wherever it
-stands. A piece is the set of its 5-word shingles. `tune` picks the bands that
+Lines are paragraphs, and so are runs of lines under `PIECE` words. They are cut
+into pieces at places chosen by content alone (least hash of two words among its
+neighbours), so the same passage gives the same pieces inside, wherever it stands. A
+piece is the set of its 5-word shingles. `tune` picks the bands that
 reach a recall at the similarity; pieces with a band key of their own only
 leave at once. Equal pieces are merged before anything is paired; colliding ones
 are compared by exact Jaccard, first with the most typical piece of their band's
 group, then with every other that still may be similar (`jaccard.links`, so a
-group is never paired out). Components of the links are the classes. The first piece of a class (by document and place) stays, the others are removed
+group is never paired out). Components of the links are the classes. Stretches that
+are compared as they are (`anchors`) join them: two copies of `SURE` words in a
+paragraph always share one, and a paragraph under `PIECE` words comes with the piece beside it.
+The first piece of a class (by document and place) stays, the others are removed
 where at least `least_words` repeated words stand in a row.
 
 Band groups are only aggregated and joined, never collected, so one line that a
 third of all documents share is as many small rows; sets are read for pieces
 that collide. Work on a piece uses its whole text.
 
-Edge cases: null and empty texts have no pieces; pieces under `piece_words`
-words are never removed; a passage must occur in two rows; repeated rows count
-as copies of each other and give one row per piece; null ids sort first; an empty table gives
+Edge cases: null and empty texts have no pieces; texts under `PIECE`
+words are never changed; a passage must occur in two rows; repeated rows count
+as copies of each other and give one row per piece; pieces of one class that overlap
+in a row are one; null ids sort first; an empty table gives
 no rows. Offsets count words `[^\\x20\\x09-\\x0D]+`. Only the named columns are read.
 """
 from __future__ import annotations
@@ -32,6 +37,8 @@ from .common import blank_words, components, map_batches, read
 from .jaccard import BITS, MIX, links, mix
 
 K, PERCENT, PIECE = 5, 75, 8
+#: Copies of SURE words share a window of ANCHOR words.
+SURE, ANCHOR = 51, 16
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
 
@@ -44,43 +51,106 @@ def tune(similarity: float = 0.75, recall: float = 0.98, rows: int = 1) -> int:
 
 
 class PieceWord(dict):
-    """Word hashes up to a bound; the lowest bit says whether the word ends a sentence."""
+    """Word hashes up to a bound."""
 
     def __missing__(self, w: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
-        v = self[w] = xxhash.xxh3_64_intdigest(w.lower()) & ~1 | (w[-1] in b".!?")
+        v = self[w] = xxhash.xxh3_64_intdigest(w.lower())
         return v
 
 
-def pieces(texts: list[str | None], hashes: PieceWord, longest: int = 64) -> tuple[np.ndarray, ...]:
-    """Pieces of all texts: text number, first word there, words, place in the last array; and the hashes of all words."""
+def paragraphs(texts: list[str | None], hashes: PieceWord, joined: bool) -> tuple[np.ndarray, ...]:
+    """Text number, first word there, words and place of the lines, or with `joined` of the lines from
+    PIECE words on and of the runs of shorter ones between them; and the hashes of all words."""
     flat: list[int] = []
-    text, first, count, place = [], [], [], []
+    rows: list[tuple[int, int, int, int]] = []
     for t, x in enumerate(texts):
-        at = 0
+        at, short = 0, False
         for line in (x or "").split("\n"):
             ws = line.encode("utf-8", "surrogatepass").split()
             n = len(ws)
-            if n >= PIECE:
-                base = len(flat)
-                flat.extend([hashes[w] for w in ws])
-                start = 0
-                if n >= 2 * PIECE:
-                    h = np.array(flat[base:], np.uint64)
-                    two = (h[1:] ^ h[:-1]) >> np.uint64(1)  # half of the sentence ends, and every eighth place for texts without them
-                    ends = np.flatnonzero((h[1:] & ~two & np.uint64(1)) | ((two >> np.uint64(7)) % np.uint64(8) == 0)) + 2
-                    for e in [*ends.tolist(), n]:
-                        while e - start > longest:
-                            text.append(t), first.append(at + start), count.append(longest), place.append(base + start)
-                            start += longest
-                        if e - start >= PIECE and e < n:
-                            text.append(t), first.append(at + start), count.append(e - start), place.append(base + start)
-                            start = e
-                if n - start >= PIECE:
-                    text.append(t), first.append(at + start), count.append(n - start), place.append(base + start)
+            if n and short and n < PIECE and joined:
+                rows[-1] = (*rows[-1][:2], rows[-1][2] + n, rows[-1][3])
+            elif n:
+                rows.append((t, at, n, len(flat)))
+                short = n < PIECE
+            flat.extend([hashes[w] for w in ws])
             at += n
-    return *(np.array(v, np.int64) for v in (text, first, count, place)), np.array(flat, np.uint64)
+    return *np.array(rows, np.int64).reshape(-1, 4).T, np.array(flat, np.uint64)
+
+
+def pieces(texts: list[str | None], hashes: PieceWord, longest: int = 64, joined: bool = False) -> tuple[np.ndarray, ...]:
+    """Pieces of all texts: text number, first word there, words, place in the last array; and the hashes of all words."""
+    return cut(*paragraphs(texts, hashes, joined), longest)
+
+
+def cut(text: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.ndarray, flat: np.ndarray, longest: int = 64) -> tuple[np.ndarray, ...]:
+    """Pieces of the paragraphs of PIECE words and more. A cut is where the hash of the two words around
+    it is least among those less than PIECE words away; it does not depend on other cuts."""
+    long = count >= PIECE
+    text, first, count, place = text[long], first[long], count[long], place[long]
+    two = np.zeros(len(flat), np.uint64)
+    two[1:] = mix(flat[1:] ^ mix(flat[:-1], MIX[0]), MIX[1])
+    least = np.zeros(len(flat) + 1, bool)
+    for b, n in zip(place.tolist(), count.tolist()):
+        least[b + PIECE:b + n - PIECE + 1] = True  # the places that may be cut, their neighbours are in the paragraph
+    least = least[:-1]
+    for j in range(1, PIECE):
+        least[j:] &= two[j:] < two[:-j]
+        least[:-j] &= two[:-j] <= two[j:]
+    at = np.sort(np.concatenate([place, np.flatnonzero(least)]))
+    own = np.searchsorted(place, at, "right") - 1
+    n = np.minimum(np.append(at[1:], len(flat)), (place + count)[own]) - at
+    k = np.where(n >= longest + PIECE, (n - PIECE) // longest, 0)  # where no place is least, as in one word over and over
+    src = np.repeat(np.arange(len(at)), k + 1)
+    nth = np.arange(len(src)) - np.repeat(np.cumsum(k + 1) - (k + 1), k + 1)
+    n, at, own = np.where(nth < k[src], longest, n[src] - nth * longest), at[src] + nth * longest, own[src]
+    return text[own], first[own] + at - place[own], n, at, flat
+
+
+def anchors(text: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.ndarray, flat: np.ndarray, piece_at: np.ndarray, piece_words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Text number, first word, words and place of stretches that are compared as they are.
+
+    Of every SURE - ANCHOR + 1 neighbouring ANCHOR-word windows of a paragraph the one with the least hash,
+    so two copies of SURE words share one wherever they stand; and paragraphs under PIECE words with the piece before them, or after them at the start of a text."""
+    m = len(flat) - ANCHOR + 1
+    at = np.zeros(0, np.int64)
+    width = SURE - ANCHOR + 1
+    if m >= width:
+        h, step = mix(flat, MIX[2]), 1
+        while step < ANCHOR:
+            h = mix(mix(h[:-step], MIX[0]) + h[step:], MIX[1])
+            step *= 2
+        ok = count >= SURE
+        begins = np.repeat(place[ok], count[ok] - SURE + 1)
+        many = count[ok] - SURE + 1
+        begins = begins + np.arange(len(begins)) - np.repeat(np.cumsum(many) - many, many)
+        low, step = h.copy(), 1  # least of the next windows, by doubling; then its last place
+        while 2 * step <= width:
+            low = np.minimum(low[:-step], low[step:])
+            step *= 2
+        low = np.minimum(low[begins], low[begins + width - step])
+        hit = np.zeros(m, bool)
+        todo = np.arange(len(begins))
+        for j in range(width - 1, -1, -1):
+            is_ = h[begins[todo] + j] == low[todo]
+            hit[begins[todo[is_]] + j] = True
+            todo = todo[~is_]
+        at = np.flatnonzero(hit)
+    own = np.searchsorted(place, at, "right") - 1
+    parts = [(text[own], first[own] + at - place[own], np.full(len(at), ANCHOR), at)]
+    small = np.flatnonzero(count < PIECE)
+    if len(small) and len(piece_at):
+        left = np.searchsorted(piece_at, place[small]) - 1
+        begin = place[np.searchsorted(text, text[small])]  # of the text
+        before = (left >= 0) & (piece_at[left] >= begin)
+        lead = small[~before & (np.searchsorted(text, text[small], "right") > small + 1)]
+        small, left = small[before], left[before]
+        parts.append((text[small], first[small] - (place[small] - piece_at[left]), place[small] + count[small] - piece_at[left], piece_at[left]))
+        right = np.searchsorted(piece_at, place[lead])
+        parts.append((text[lead], first[lead], piece_at[right] + piece_words[right] - place[lead], place[lead]))
+    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*parts))
 
 
 def shingles(count: np.ndarray, place: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,9 +158,8 @@ def shingles(count: np.ndarray, place: np.ndarray, flat: np.ndarray) -> tuple[np
     if not len(count):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     acc = np.full(len(flat) - K + 1, 17, np.uint64)
-    word = flat >> np.uint64(1)
     for j in range(K):
-        acc = mix(acc ^ word[j:j + len(acc)], MIX[0]) + MIX[1]
+        acc = mix(acc ^ flat[j:j + len(acc)], MIX[0]) + MIX[1]
     many = count - K + 1
     begin = np.cumsum(many) - many
     return acc[np.arange(many.sum()) - np.repeat(begin - place, many)], begin
@@ -100,7 +169,7 @@ def content(count: np.ndarray, place: np.ndarray, flat: np.ndarray) -> np.ndarra
     """A hash of each piece's words in their order."""
     begin = np.cumsum(count) - count
     nth = np.arange(count.sum()) - np.repeat(begin, count)
-    word = flat[nth + np.repeat(place, count)] >> np.uint64(1)
+    word = flat[nth + np.repeat(place, count)]
     return (mix(np.add.reduceat(mix(word ^ mix(nth.astype(np.uint64) + MIX[3], MIX[2]), MIX[1]), begin), MIX[0]) if len(count) else np.zeros(0, np.uint64)).astype(np.int64)
 
 
@@ -112,10 +181,14 @@ def sketched(docs: DataFrame, doc_id: str, text: str, bands: int) -> DataFrame:
     hashes = PieceWord()
 
     def run(b):
-        text, first, count, place, flat = pieces(b.column("body").to_pylist(), hashes)
+        lines = paragraphs(b.column("body").to_pylist(), hashes, True)
+        text, first, count, place, flat = cut(*lines)
+        as_is = anchors(*lines, place, count)
         sh, begin = shingles(count, place, flat)
         mins = np.stack([np.minimum.reduceat(mix(sh, m), begin) if len(begin) else sh for m in MIX[:bands]], axis=1).astype(np.int64)
-        return {"row": b.column("row").take(text), "start": first, "words": count, "same": content(count, place, flat), "keys": list(mins)}
+        same = content(count, place, flat), content(as_is[2], as_is[3], flat)
+        return {"row": b.column("row").take(np.concatenate([text, as_is[0]])), "start": np.concatenate([first, as_is[1]]), "words": np.concatenate([count, as_is[2]]),
+                "same": np.concatenate(same), "keys": [*mins, *same[1][:, None]]}
 
     return map_batches(df, run, f"row {kind}, start int, words int, same long, keys array<long>")
 
@@ -178,12 +251,18 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_
     comp = components(links(cut_lineage(ranked(sets, bands), "ranked"), PERCENT))
     same = twice.select("same").join(comp, F.col("same") == F.col("node"), "left").select("same", F.coalesce("root", "same").alias("root"))
     hits = all_.drop("keys").join(same, "same")
-    hits = cut_lineage(hits.groupBy("root", "row", "start").agg(F.first("words").alias("words"), F.count("*").alias("times")), "hits")
+    hits = hits.groupBy("root", "row", "start").agg(F.max("words").alias("words"), F.count("*").alias("times"))
+    end = F.col("start") + F.col("words")
+    fresh = lambda by, overlap: F.when(F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1)) >= F.col("start") + F.lit(overlap), 0).otherwise(1)
+    within = W.partitionBy("root", "row").orderBy("start")  # pieces of one class that overlap are one
+    hits = hits.withColumn("fresh", fresh(within, 1)).withColumn("nth", F.sum("fresh").over(within)).groupBy("root", "row", "nth").agg(
+        F.min("start").alias("start"), (F.max(end) - F.min("start")).alias("words"), F.max("times").alias("times")).drop("nth")
+    hits = cut_lineage(hits, "hits")
     size = hits.groupBy("root").agg(F.sum("times").alias("class_size"), F.min(F.struct("row", "start")).alias("keep"), F.max("row").alias("last"), F.max("times").alias("t"))
     hits = hits.join(size.where("last <> keep.row or t > 1"), "root")
-    w = W.partitionBy("row").orderBy("start")  # the pieces of one text
-    run = F.sum(F.when(F.lag(F.col("start") + F.col("words")).over(w) == F.col("start"), 0).otherwise(1)).over(w)
-    return (hits.withColumn("run", run).withColumn("run_words", F.sum("words").over(W.partitionBy("row", "run"))).where(F.col("run_words") >= least_words)
+    w = W.partitionBy("row").orderBy("start", "words")  # the pieces of one text
+    run = W.partitionBy("row", "run")
+    return (hits.withColumn("fresh", fresh(w, 0)).withColumn("run", F.sum("fresh").over(w)).withColumn("run_words", F.max(end).over(run) - F.min("start").over(run)).where(F.col("run_words") >= least_words)
             .select(F.col("row.id").alias("doc_id"), "start", F.col("words").alias("n_words"), F.col("root").alias("class_id"), "class_size",
                     (F.struct("row", "start") != F.col("keep")).alias("removed")))
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from cohortwave.llm.jaccard import MIX, mix
-from cohortwave.llm.passages import PieceWord, content, pieces, repeated, shingles, tune, without
+from cohortwave.llm.passages import PieceWord, anchors, content, cut, paragraphs, pieces, repeated, shingles, tune, without
 
 
 def say(rng, n):
@@ -112,3 +112,38 @@ def test_repeated_rows(spark):
     t = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
     out = repeated(spark.createDataFrame([(1, t), (1, t), (2, t), (None, t)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.removed, r.class_size) for r in out) == [(False, 1, True, 4), (False, 2, True, 4), (True, 0, False, 4)]
+
+
+def test_short_lines_are_joined(spark):
+    rng = random.Random(11)
+    plain = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    verse = "\n".join(plain(7) for _ in range(8))
+    mixed = "\n".join(plain(n) for n in (12, 3) * 4)
+    docs = [(4 * k + i, f"{plain(30)}\n{a}{p}\n{b}{plain(30)}") for k, p in enumerate((verse, mixed)) for i, (a, b) in
+            enumerate([("", ""), (plain(5) + "\n", ""), ("", plain(4) + "\n"), (plain(6) + "\n" + plain(2) + "\n", plain(3) + "\n")])]
+    out = repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out} == set(range(8))
+    for d, t in docs:
+        said = t.split()
+        got = {i for r in out if r.doc_id == d for i in range(r.start, r.start + r.n_words)}
+        p = (verse, mixed)[d // 4].split()
+        s = next(i for i in range(len(said)) if said[i:i + len(p)] == p)
+        assert got <= set(range(s - 8, s + len(p) + 8)) and len(got & set(range(s, s + len(p)))) >= (16 if d < 4 else len(p) - 3)
+
+
+def test_copies_of_51_words_share_a_window_inside_long_lines():
+    rng = random.Random(12)
+    plain = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    for k in range(400):
+        p = plain(51 + k % 10)
+        lines = [paragraphs([plain(20), f"{plain(rng.randint(1, 90))} {p} {plain(rng.randint(1, 90))}"], PieceWord(), True) for _ in (0, 1)]
+        found = [anchors(*x, *cut(*x)[3:1:-1]) for x in lines]
+        a, b = (set(content(f[2], f[3], x[4]).tolist()) for f, x in zip(found, lines))
+        assert a & b
+
+
+def test_one_word_over_and_over_stays_once(spark):
+    t = "x " * 300
+    out = repeated(spark.createDataFrame([(1, t), (2, t)], "doc_id long, text string")).collect()
+    left = {d: without(t, [(r.start, r.n_words) for r in out if r.doc_id == d and r.removed]).split() for d in (1, 2)}
+    assert len(left[1]) >= 64 and not left[2]
