@@ -1,10 +1,10 @@
 """Licence scans with a positional index of rare words.
 
 Templates (notices and key phrases) are indexed by word and position. Corpus
-document frequencies of the template words decide which are rare. Each text's
-highest-IDF licence words are looked up, and the postings vote for (template,
-text position - template position); an alignment is the intersection by relative
-position. Aligned windows count when enough template words stand in place and a
+document frequencies of the template words decide which are rare. Every template
+with a key phrase in a text looks up its own highest-IDF words there, as many as a
+match cannot miss, and the places vote for text position - template position; an
+alignment is the intersection by relative position. Aligned windows count when enough template words stand in place and a
 mandatory key phrase of the licence is inside. Phrases of the base list are
 found at all their places whatever the index says.
 
@@ -18,6 +18,7 @@ scanned alike; an empty table gives no rows. Only the named columns are read.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -53,11 +54,6 @@ class Templates:
         self.base = [(words(p), label) for p, label in base]
         self.items = [(label, [words(k) for k in keys], words(text)) for label, keys, text in templates]
         self.vocab = {w for _, keys, text in self.items for w in [*text, *(x for k in keys for x in k)]} | {w for p, _ in self.base for w in p}
-        self.postings = defaultdict(list)
-        for i, (_, _, text) in enumerate(self.items):
-            for p, w in enumerate(text):
-                self.postings[w].append((i, p))
-        self.first = {p[0] for p, _ in self.base}
 
 
 def places(ws: list[bytes], at: dict[bytes, list[int]], phrase: list[bytes]) -> list[int]:
@@ -66,35 +62,53 @@ def places(ws: list[bytes], at: dict[bytes, list[int]], phrase: list[bytes]) ->
     return [p - k for p in at.get(phrase[k], ()) if p >= k and ws[p - k:p - k + len(phrase)] == phrase]
 
 
-def match(ws: list[bytes], t: Templates, idf: dict[bytes, float], rare: int = 12, share: float = 0.7, slip: int = 2):
+def rare_words(t: Templates, idf: dict[bytes, float], share: float = 0.7) -> list[set[bytes]]:
+    """The rarest words of each template, so many that a window with the share has three of them in place (or all words)."""
+    out = []
+    for _, _, text in t.items:
+        weight = Counter()
+        for w in text:
+            weight[w] += idf.get(w, 0.0)
+        own: list[bytes] = []
+        for w in sorted(weight, key=lambda w: (-idf.get(w, 0.0), w)):
+            own.append(w)
+            mass = sorted((weight[x] for x in own), reverse=True)
+            if len(own) > 2 and sum(mass[2:]) > (1 - share) * weight.total():
+                break
+        out.append(set(own))
+    return out
+
+
+def match(ws: list[bytes], t: Templates, idf: dict[bytes, float], rare: list[set[bytes]], share: float = 0.7, slip: int = 2):
     """Base places with labels, and {label: score} of verified templates."""
     at: dict[bytes, list[int]] = defaultdict(list)
     for i, w in enumerate(ws):
         if w in t.vocab:
             at[w].append(i)
     base = sorted((p, label) for phrase, label in t.base for p in places(ws, at, phrase))
-    chosen = sorted((w for w in at if w in t.postings), key=lambda w: (-idf.get(w, 0.0), w))[:rare]
-    votes = defaultdict(set)
-    for w in chosen:
-        for i, q in t.postings[w]:
-            for p in at[w]:
-                votes[i, (p - q) // (slip + 1)].add(w)
     found: dict[str, float] = {}
-    for (i, slot), got in sorted(votes.items()):
-        label, keys, text = t.items[i]
-        known = set(text) & set(chosen)
-        got = got | votes.get((i, slot + 1), set())
-        if len(got) < min(3, len(known)) or len(got) < 2:
+    for (label, keys, text), own in zip(t.items, rare):
+        inside = [(len(k), p) for k in keys if (p := places(ws, at, k))]
+        if not inside:
             continue
-        start = slot * (slip + 1)
-        lo, hi = max(0, start - slip), start + 2 * slip + len(text) + 2
-        if not any(lo <= p <= hi - len(k) for k in keys for p in places(ws, at, k)):
-            continue
-        window = ws[lo:hi]
-        hit = sum(idf.get(w, 0.0) for q, w in enumerate(text) if w in window[max(0, q - slip):q + 3 * slip + 2])
-        score = hit / max(sum(idf.get(w, 0.0) for w in text), 1e-9)
-        if score >= share and score > found.get(label, 0.0):
-            found[label] = score
+        votes = defaultdict(set)
+        for q, w in enumerate(text):
+            if w in own:
+                for p in at.get(w, ()):
+                    votes[(p - q) // (slip + 1)].add(w)
+        total = max(sum(idf.get(w, 0.0) for w in text), 1e-9)
+        for slot in sorted(votes):
+            got = set().union(*(votes.get(slot + d, ()) for d in (-2, -1, 0, 1)))  # as far as words count below
+            if len(got) < min(3, len(own)):
+                continue
+            start = slot * (slip + 1)
+            lo, hi = max(0, start - slip), start + 2 * slip + len(text) + 2
+            if not any((i := bisect_left(p, lo)) < len(p) and p[i] <= hi - n for n, p in inside):
+                continue
+            window = ws[lo:hi]
+            hit = sum(idf.get(w, 0.0) for q, w in enumerate(text) if w in window[max(0, q - slip):q + 3 * slip + 2])
+            if hit / total >= share and hit / total > found.get(label, 0.0):
+                found[label] = hit / total
     return base, found
 
 
@@ -117,14 +131,14 @@ def frequencies(docs: DataFrame, t: Templates, text: str = "text") -> dict[bytes
 def scan(docs: DataFrame, keep: list[str], text: str = "text", templates=TEMPLATES, base=BASE) -> DataFrame:
     """keep, n_words, n_base, first_word, last_word, base_labels, labels and score of each row."""
     t = Templates(templates, base)
-    shared = docs.sparkSession.sparkContext.broadcast((t, frequencies(docs, t, text)))
+    shared = docs.sparkSession.sparkContext.broadcast((t, idf := frequencies(docs, t, text), rare_words(t, idf)))
 
     def run(b):
-        t, idf = shared.value
+        t, idf, rare = shared.value
         out = defaultdict(list)
         for x in b.column("body").to_pylist():
             ws = words(x)
-            places_, found = match(ws, t, idf) if not t.vocab.isdisjoint(ws) else ([], {})
+            places_, found = match(ws, t, idf, rare) if not t.vocab.isdisjoint(ws) else ([], {})
             own = sorted({label for _, label in places_})
             for c, v in (("n_words", len(ws)), ("n_base", len(places_)), ("first_word", places_[0][0] if places_ else None), ("last_word", places_[-1][0] if places_ else None),
                          ("base_labels", ",".join(own)), ("labels", ",".join(sorted({*own, *found}))), ("score", min(1.0, max([1.0 if own else 0.0, *found.values()])))):

@@ -47,3 +47,18 @@ def test_templates_are_found_in_altered_notices(spark):
     missed = [(i, want[i], rows[i]["labels"]) for i in range(len(want)) if want[i] not in rows[i]["labels"].split(",")]
     assert not missed, missed
     assert all(rows[i]["labels"] == "" and rows[i].score == 0 for i in range(len(want), len(docs)))
+
+
+def test_many_notices_and_scattered_vocabulary_in_one_text(spark):
+    rng = random.Random(10)
+    filler = [f"word{i}" for i in range(500)]
+    every = ". ".join(" ".join(rng.choices(filler, k=20)) + " " + text for _, _, text in TEMPLATES)
+    vocab = sorted({w for _, _, text in TEMPLATES for w in text.split()})
+    notices = [(label, text) for label, _, text in TEMPLATES if label in ("bsd", "isc")]
+    long = lambda text: " ".join(rng.choices(filler * 2 + vocab, k=20000)) + f" {text} " + " ".join(rng.choices(filler * 2 + vocab, k=20000))
+    docs = [every, *(long(text) for _, text in notices), long("")] + [" ".join(rng.choices(filler, k=200)) for _ in range(100)]
+    rows = {r.doc_id: r for r in scan(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), ["doc_id"]).collect()}
+    assert set(rows[0]["labels"].split(",")) == {label for label, _, _ in TEMPLATES}
+    for i, (label, _) in enumerate(notices):
+        assert label in rows[1 + i]["labels"].split(",") and rows[1 + i].score == 1
+    assert not {"bsd", "isc"} & set(rows[3]["labels"].split(","))
