@@ -5,7 +5,8 @@ and every other identifier-like token (with a digit or an at sign) is an
 instance with lexical patterns: the words around it. Spark scores the graph of
 distinct (pattern, instance) edges in rounds: a pattern's confidence is the
 share of its instances that are trusted as one kind, an instance's score is one
-minus the product of (1 - confidence) over accepted patterns. Accepted patterns
+minus the product of (1 - confidence) over accepted patterns. Rounds go on until
+one accepts and raises nothing. Accepted patterns
 thereby find identifiers that no detector knows; their tokens are added to the
 base spans, which always stay.
 
@@ -156,14 +157,14 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
                        ", base array<struct<start:int,kind:int,end:int>>, occ array<struct<start:int,end:int,kind:int,inst:string,pats:array<string>>>")
 
 
-def bootstrap(scanned: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 3, accept: float = 0.9) -> DataFrame:
+def bootstrap(scanned: DataFrame, confidence: float = 0.8, support: int = 3, accept: float = 0.9) -> DataFrame:
     """inst and kind of identifiers that patterns find and no detector knows."""
     occ = scanned.select(F.explode("occ").alias("o")).select("o.*")
     edges = cut_lineage(occ.select("inst", "kind", F.explode("pats").alias("pat")).groupBy("pat", "inst").agg(F.max("kind").alias("kind")), "edges")
     seeds = edges.where("kind >= 0").select("inst", "kind", F.lit(1.0).alias("score")).distinct()
-    found = None
-    for _ in range(rounds):
-        trusted = seeds if found is None else seeds.unionByName(found)
+    found = seeds.limit(0)
+    while True:
+        trusted = seeds.unionByName(found)
         by_kind = (edges.select("pat", "inst").join(trusted, "inst", "left").groupBy("pat", "kind").agg(F.count("*").alias("n"), F.sum("score").alias("s")))
         pats = (by_kind.groupBy("pat").agg(F.sum("n").alias("n"), F.max_by("kind", F.struct(F.coalesce("s", F.lit(0.0)), -F.col("kind"))).alias("kind"), F.max("s").alias("s"))
                 .withColumn("conf", F.col("s") / F.col("n")).where((F.col("s") >= support) & (F.col("conf") >= confidence)).select("pat", "kind", "conf"))
@@ -171,9 +172,13 @@ def bootstrap(scanned: DataFrame, rounds: int = 3, confidence: float = 0.8, supp
         scored = (edges.where("kind < 0").select("pat", "inst").join(pats, "pat").groupBy("inst", "kind")
                   .agg((1 - F.exp(F.sum(F.log(1 - F.least("conf", F.lit(0.999)))))).alias("score")).where(F.col("score") >= accept)
                   .groupBy("inst").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.max("score").alias("score")))
-        new = cut_lineage(scored.join(seeds.select("inst"), "inst", "left_anti"), "found")
-        grown, found = found is None or new.count() > found.count(), new
-        if not grown or found.isEmpty():
+        # scores only rise, in steps of 0.001, and accepted kinds stay: the rounds come to an end
+        scored = scored.join(seeds.select("inst"), "inst", "left_anti").withColumn("score", F.floor(F.col("score") * 1000) / 1000)
+        old = found.select("inst", F.col("kind").alias("was"), F.col("score").alias("had"))
+        new = cut_lineage(scored.join(old, "inst", "full").select("inst", F.coalesce("was", "kind").alias("kind"), F.greatest("score", "had").alias("score"),
+                                                                  (F.col("had").isNull() | (F.col("score") > F.col("had"))).alias("up")), "found")
+        found, grown = new.drop("up"), not new.where("up").isEmpty()
+        if not grown:
             break
     return found.select("inst", "kind")
 

@@ -74,3 +74,13 @@ def test_query_and_stage(spark, tmp_path):
     assert out.columns == df.columns
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "x <EMAIL> y <IP>", 16, "k")] * 2 + [(2, None, None, None), (3, "", 0, "k"), (4, "<PHONE>", 7, None)], key=str)
     assert op1_pii(spark, str(tmp_path)).count() == 5 and pii_stage(spark, df.limit(0), "").count() == 0
+
+
+def test_rounds_go_on_until_nothing_new_is_accepted(spark):
+    ref = lambda k, i: f"ref-{k}-{i}00{i}"
+    rows = []
+    for k in range(6):  # the patterns of a link reach their confidence only with what the link before has found
+        known = [f"user{i}@host{i}.org" for i in range(16)] + [ref(k, i) if k else f"user9{i}@host.org" for i in range(4)]
+        rows += [f"see link{k} {v} next{k} thing" for v in [*known, *(ref(k + 1, i) for i in range(4))]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {(r.inst, r.kind) for r in bootstrap(scan(df, ["doc_id"])).collect()} == {(ref(k + 1, i), 0) for k in range(6) for i in range(4)}
