@@ -50,6 +50,12 @@ def tune(similarity: float = 0.75, recall: float = 0.98, rows: int = 1) -> int:
     return bands
 
 
+def constants(bands: int) -> list[np.uint64]:
+    """An odd hash constant for each band."""
+    more = mix(np.arange(1, max(0, bands - len(MIX)) + 1, dtype=np.uint64) * MIX[0], MIX[1]) | np.uint64(1)
+    return [*MIX, *more][:bands]
+
+
 class PieceWord(dict):
     """Word hashes up to a bound."""
 
@@ -185,7 +191,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str, bands: int) -> DataFrame:
         text, first, count, place, flat = cut(*lines)
         as_is = anchors(*lines, place, count)
         sh, begin = shingles(count, place, flat)
-        mins = np.stack([np.minimum.reduceat(mix(sh, m), begin) if len(begin) else sh for m in MIX[:bands]], axis=1).astype(np.int64)
+        mins = np.stack([np.minimum.reduceat(mix(sh, m), begin) if len(begin) else sh for m in constants(bands)], axis=1).astype(np.int64)
         same = content(count, place, flat), content(as_is[2], as_is[3], flat)
         return {"row": b.column("row").take(np.concatenate([text, as_is[0]])), "start": np.concatenate([first, as_is[1]]), "words": np.concatenate([count, as_is[2]]),
                 "same": np.concatenate(same), "keys": [*mins, *same[1][:, None]]}
@@ -232,7 +238,7 @@ def ranked(sets: DataFrame, bands: int) -> DataFrame:
         bits[own[shared], (mix(t[shared], MIX[2]) >> np.uint64(54)).astype(int)] = 1
         return {"nid": b.column("same"), "n": n, "toks": np.split(t[shared].astype(np.int64), np.cumsum(held)[:-1]),
                 "posted": np.maximum(0, n - -(-n * PERCENT // 100) + 1 - (n - held)),
-                "mins": list(np.stack([np.minimum.reduceat(mix(t, m), begin) for m in MIX[:bands]], axis=1).astype(np.int64)),
+                "mins": list(np.stack([np.minimum.reduceat(mix(t, m), begin) for m in constants(bands)], axis=1).astype(np.int64)),
                 "bits": [x.tobytes() for x in np.packbits(bits, axis=1)], "typical": np.round(np.add.reduceat(np.log2(df), begin) / n, 6)}
 
     return map_batches(lists, run, "nid long, n long, toks array<long>, posted int, mins array<long>, bits binary, typical double")

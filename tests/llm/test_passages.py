@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from cohortwave.llm.jaccard import MIX, mix
-from cohortwave.llm.passages import PieceWord, anchors, content, cut, paragraphs, pieces, repeated, shingles, tune, without
+from cohortwave.llm.passages import PieceWord, anchors, constants, content, cut, paragraphs, pieces, repeated, shingles, tune, without
 
 
 def say(rng, n):
@@ -147,3 +147,9 @@ def test_one_word_over_and_over_stays_once(spark):
     out = repeated(spark.createDataFrame([(1, t), (2, t)], "doc_id long, text string")).collect()
     left = {d: without(t, [(r.start, r.n_words) for r in out if r.doc_id == d and r.removed]).split() for d in (1, 2)}
     assert len(left[1]) >= 64 and not left[2]
+
+
+def test_every_band_has_a_constant():
+    for bands in (1, 3, 4, 5, 12):
+        c = constants(bands)
+        assert len(set(map(int, c))) == bands and all(int(x) & 1 for x in c) and c[:4] == list(MIX[:bands])[:4]
