@@ -26,6 +26,14 @@ def blank_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or `name` with underscores until no column of df is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(df: DataFrame) -> Column:
     """64 bits over the whole row, with its nulls."""
     return F.xxhash64(*[x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
-from .common import join_bounded, map_batches, read, row_key, words
+from .common import free_name, join_bounded, map_batches, read, row_key, words
 
 WIDTH = 13
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -117,6 +117,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated, unchanged."""
-    keyed = docs.withColumn("__row", row_key(docs))
-    bad = cut_lineage(scan(keyed, read(spark, sf_dir, "benchmark"), ["__row"]).where("contaminated").select("__row").distinct(), "contaminated")
-    return join_bounded(keyed, bad, "__row", "left_anti").drop("__row")
+    row = free_name(docs, "__row")
+    keyed = docs.withColumn(row, row_key(docs))
+    bad = cut_lineage(scan(keyed, read(spark, sf_dir, "benchmark"), [row]).where("contaminated").select(row).distinct(), "contaminated")
+    return join_bounded(keyed, bad, row, "left_anti").drop(row)

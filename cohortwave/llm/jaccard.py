@@ -22,21 +22,23 @@ when `percent`% of their union is shared; classes are the components of links.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing
 (repeated ones too); texts of fewer than k words are one shingle; repeated rows
-are equal texts and so one class; null ids never match another row; an empty
-table gives an empty result. Only the named columns are read.
+are equal texts and so one class, also under null ids; an empty table gives an
+empty result. Only the named columns are read.
 """
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
-from .common import blank_words, components, join_bounded, read, row_key, slices
+from .common import blank_words, components, free_name, join_bounded, read, row_key, slices
 
 K, PERCENT = 5, 75
 LOW = np.uint64((1 << 48) - 1)
@@ -94,8 +96,9 @@ SENT_TYPES = [pa.int64(), pa.string()] + [pa.binary()] * 6
 
 def _send(k: int, buckets: int, most_words: int = 400_000):
     """Chunks of documents to (bucket, chunk) rows and one row of facts per chunk."""
-    def chunk(nodes: list[bytes], sets: list[np.ndarray]):
-        name = nodes[0].hex() + nodes[-1].hex()
+    def chunk(nodes: list[bytes], sets: list[np.ndarray], number: int):
+        # a task that runs again on rows in another order must not mix with its first run: the name holds all nodes
+        name = f"{TaskContext.get().partitionId()}-{number}-{hashlib.md5(b''.join(nodes)).hexdigest()}"
         tok, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(tok, kind="stable")
         ts = tok[order]
@@ -120,21 +123,21 @@ def _send(k: int, buckets: int, most_words: int = 400_000):
         yield (-1 - int(nodes[0].hex()[:8], 16) % buckets, name, b"".join(nodes), sizes, mdocs.astype("<u2").tobytes(), None,
                mt.astype("<u8").tobytes(), mc.astype("<u4").tobytes())
 
-    def batch(nodes, sets):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk(nodes, sets)), SENT_TYPES)], SENT_COLS)
+    def batch(nodes, sets, number):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk(nodes, sets, number)), SENT_TYPES)], SENT_COLS)
 
     def run(batches):
-        hashes, nodes, sets, held = WordHash(), [], [], 0
+        hashes, nodes, sets, held, number = WordHash(), [], [], 0, 0
         for b in slices(batches):
             for node, text in zip(b.column("node").to_pylist(), b.column("body").to_pylist()):
                 nodes.append(node)
                 sets.append(shingle_set(text, hashes, k))
                 held += len(sets[-1])
                 if held >= most_words or len(nodes) >= 60_000:
-                    yield batch(nodes, sets)
-                    nodes, sets, held = [], [], 0
+                    yield batch(nodes, sets, number)
+                    nodes, sets, held, number = [], [], 0, number + 1
         if nodes:
-            yield batch(nodes, sets)
+            yield batch(nodes, sets, number)
     return run
 
 
@@ -161,7 +164,10 @@ def _count(p: pd.DataFrame) -> pd.DataFrame:
 def _gather(percent: int):
     def run(p: pd.DataFrame) -> pd.DataFrame:
         """One chunk's documents, with their shared tokens in the order (frequency, token) if they can link."""
-        fact, rest = p[p["bucket"] < 0].iloc[0], p[p["bucket"] >= 0].sort_values("bucket")
+        fact, rest = p[p["bucket"] < 0], p[p["bucket"] >= 0].sort_values("bucket")
+        if len(fact) != 1 or rest["bucket"].duplicated().any():
+            raise ValueError(f"chunk {p['chunk'].iloc[0]} was sent {len(fact)} times")
+        fact = fact.iloc[0]
         join = lambda c, t: np.frombuffer(b"".join(rest[c]), t)
         nodes, sizes = fact["nodes"], np.frombuffer(fact["sizes"], "<u4").astype(np.int64)
         mt, mc, mdocs = (np.frombuffer(fact[c], t) for c, t in (("mtoks", "<u8"), ("mcounts", "<u4"), ("docs", "<u2")))
@@ -316,20 +322,28 @@ def links(sets: DataFrame, percent: int = PERCENT, block: int = 4096) -> DataFra
     return first.union(cut_lineage(verify(cut_lineage(met, "met"), sets, percent), "near"))
 
 
-def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row."""
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """members: doc_id and node (the text's digest; null for no text) of every row; info: n, root (equal
+    within a class of linked texts) and rep (smallest id that is not null) of every distinct text."""
     node = F.unhex(F.md5(F.col(text)))
     members = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), node.alias("node"), F.length(text).cast("long").alias("chars")), "members")
     reps = cut_lineage(members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "reps")
-    extra = members.join(reps.where("c > 1"), "node").where("doc_id <> rep").select("doc_id", "node").distinct()
-    texts = join_bounded(docs.select(F.col(doc_id).alias("doc_id"), node.alias("node"), F.col(text).alias("body")).where("node is not null"),
-                         cut_lineage(extra, "extra"), ["doc_id", "node"], "left_anti").select("node", "body")
+    # one row of each text goes on: repeated ids and null ids of a text are settled by the row's order in its task
+    extra = members.join(reps.where("c > 1"), "node").where("not (doc_id <=> rep)").select("doc_id", "node").distinct()
+    texts = docs.select(F.col(doc_id).alias("doc_id"), node.alias("node"), F.col(text).alias("body")).where("node is not null")
+    gone = cut_lineage(extra, "extra").select(F.col("doc_id").alias("x_id"), F.col("node").alias("x_node"))
+    texts = join_bounded(texts, gone, (F.col("doc_id").eqNullSafe(F.col("x_id"))) & (F.col("node") == F.col("x_node")), "left_anti").select("node", "body")
     chars = members.agg(F.sum("chars")).first()[0] or 0
     nodes = cut_lineage(shared_sets(texts, chars, k, percent).withColumn("nid", F.monotonically_increasing_id()), "sets")
     near = components(links(nodes.where("toks is not null"), percent))
     info = nodes.select("node", "nid", "n").join(near, nodes.nid == near.node, "left").select(nodes.node, "n", F.coalesce("root", "nid").alias("root")) \
         .groupBy("node").agg(F.first("n").alias("n"), F.min("root").alias("root")).join(reps.select("node", "rep"), "node")
-    info = cut_lineage(info, "info")
+    return members, cut_lineage(info, "info")
+
+
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row."""
+    members, info = classes(docs, doc_id, text, k, percent)
     least = info.groupBy("root").agg(F.min("rep").alias("least"))
     return members.join(info.join(least, "root").select("node", "n", "least"), "node", "left").select(
         "doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -340,13 +354,26 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class; of its repeated rows one."""
-    out = cut_lineage(similar(docs), "classes")
-    gone = cut_lineage(out.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = join_bounded(docs, gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    again = cut_lineage(out.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    """One row of each class: of its text with the smallest id (ties: smallest digest; a null id comes last),
+    the row with that id, and one row where it is repeated. Decided by id and text together, so other texts
+    under an id stay. Texts without words link with nothing and all stay."""
+    node, row = free_name(docs, "__node"), free_name(docs, "__row")
+    members, info = classes(docs)
+    kept = info.where("n > 0").groupBy("root").agg(F.min_by("node", F.struct(F.col("rep").isNull(), "rep", "node")).alias("kept"))
+    text = info.where("n > 0").join(kept, "root").select("node", "rep", (F.col("node") == F.col("kept")).alias("stays"))
+    seen = cut_lineage(members.join(text, "node").groupBy("node", "doc_id").agg(
+        F.first(F.col("stays") & F.col("doc_id").eqNullSafe(F.col("rep"))).alias("stays"), F.count("*").alias("c")), "seen")
+    columns = [f"`{c}`" for c in docs.columns]
+    keyed = docs.withColumn(node, F.unhex(F.md5("text")))
+
+    def at(df: DataFrame, which: DataFrame, how: str) -> DataFrame:
+        which = which.select(F.col("doc_id").alias("x_id"), F.col("node").alias("x_node"))
+        return join_bounded(df, which, df["doc_id"].eqNullSafe(F.col("x_id")) & (df[node] == F.col("x_node")), how)
+
+    single = at(keyed, seen.where("not stays"), "left_anti")
+    again = seen.where("stays and c > 1")
     if again.isEmpty():
-        return kept
-    key = kept.withColumn("__row", row_key(kept))
-    once = join_bounded(key, again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return join_bounded(key, again, "doc_id", "left_anti").unionByName(once).drop("__row")
+        return single.select(*columns)
+    once = at(single, again, "left_semi").withColumn(row, row_key(docs))
+    once = once.groupBy(node).agg(F.min_by(F.struct(*columns), row).alias("r")).select("r.*")
+    return at(single, again, "left_anti").select(*columns).unionByName(once)

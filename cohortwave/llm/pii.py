@@ -24,7 +24,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
-from .common import join_bounded, map_batches, read, row_key
+from .common import free_name, join_bounded, map_batches, read, row_key
 
 KINDS = ("email", "ip", "card", "phone")
 BLANKS = frozenset(" \t\n\x0b\x0c\r")
@@ -218,13 +218,14 @@ def redacted(text: str | None, spans) -> str | None:
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars follows the text."""
-    keyed = docs.withColumn("__row", row_key(docs))
-    spans = extract(keyed, ["__row"]).select("__row", F.concat("base", "more").alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__row"])
-    both = join_bounded(keyed, cut_lineage(spans, "spans"), "__row", "left", 200_000).select(*[f"`{c}`" for c in docs.columns], "__spans")
+    row, found = free_name(docs, "__row"), free_name(docs, "__spans")
+    keyed = docs.withColumn(row, row_key(docs))
+    spans = extract(keyed, [row]).select(row, F.concat("base", "more").alias(found)).where(F.size(found) > 0).dropDuplicates([row])
+    both = join_bounded(keyed, cut_lineage(spans, "spans"), row, "left", 200_000).select(*[f"`{c}`" for c in docs.columns], found)
     types = dict(docs.dtypes)
 
     def run(b):
-        text = [redacted(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist())]
+        text = [redacted(t, s) for t, s in zip(b.column("text").to_pylist(), b.column(found).to_pylist())]
         return {c: b.column(c) for c in docs_columns} | {"text": text}
 
     docs_columns = docs.columns

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import cut_lineage
-from .common import blank_words, join_bounded, map_batches, read, row_key
+from .common import blank_words, free_name, join_bounded, map_batches, read, row_key
 
 BLANKS, SYMBOLS, UPPER = " \t\n\x0b\x0c\r", "#*$%&|<>", bytes(range(65, 91))
 #: Vector: log mean word length, shares of symbols, repeated lines, repeated words and capitals (square roots).
@@ -180,7 +180,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the distance reject."""
-    keyed = docs.withColumn("__row", row_key(docs))
-    verdict = judge(cut_lineage(features(keyed, keep=["__row"]), "quality"))
-    bad = cut_lineage(verdict.where(~F.col("kept")).select("__row").distinct(), "rejected")
-    return join_bounded(keyed, bad, "__row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    row = free_name(docs, "__row")
+    keyed = docs.withColumn(row, row_key(docs))
+    verdict = judge(cut_lineage(features(keyed, keep=[row]), "quality"))
+    bad = cut_lineage(verdict.where(~F.col("kept")).select(row).distinct(), "rejected")
+    return join_bounded(keyed, bad, row, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -91,3 +91,40 @@ def test_trees_lose_no_pair():
     left, right = slice(0, 250), slice(250, 300)
     across = {(a, b + 250) for i, j in dual(Tree(n[left], n[left], bits[left], comp[left]), Tree(n[right], n[right], bits[right], comp[right])) for a, b in zip(i.tolist(), j.tolist())}
     assert {(i, j) for i, j in want if i < 250 <= j} <= across
+
+
+def test_chunks_with_equal_ends(spark):
+    """Two partitions that begin and end with the same texts are two chunks."""
+    rng = random.Random(4)
+    x, y, a, b = (" ".join(f"{c}{rng.randrange(500)}" for _ in range(20)) for c in "xyab")
+    near = b.rsplit(" ", 1)[0] + " other"
+    parts = [[(1, x), (2, a), (9, y)], [(1, x), (3, b), (9, y)], [(1, x), (4, near), (9, y)]]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(parts, 3).flatMap(lambda r: r), "doc_id long, text string")
+    assert [len(p) for p in df.rdd.glom().collect()] == [3, 3, 3]
+    want = [t for rows in parts for t in rows]
+    assert {tuple(r) for r in similar(df).collect()} == set(brute(want))
+    assert similar(df).count() == 9
+
+
+def test_repeated_rows_over_many_files(spark, tmp_path):
+    rows = corpus(7)[:80]
+    many = rows + rows[::3] + rows[:5] * 4
+    random.Random(2).shuffle(many)
+    spark.createDataFrame(many, "doc_id long, text string").repartition(9).write.parquet(f"{tmp_path}/d")
+    got = similar(spark.read.parquet(f"{tmp_path}/d"))
+    assert sorted(map(tuple, got.collect())) == brute(many)
+
+
+def test_stage_decides_by_id_and_text(spark):
+    k, z = "one two three four five six", "a b c d e f g"
+    rows = [(1, k, "x"), (5, k, "y"), (5, z, "y"), (7, z, "n"), (None, k, "n"), (None, "q r s t u v", "n"), (None, "q r s t u v", "n"), (8, "", "n"), (8, "", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row string").withColumn("__NODE", spark_lit())
+    got = jaccard.jaccard_stage(spark, df.repartition(3), "")
+    assert got.columns == df.columns
+    want = [(1, k, "x", 3), (5, z, "y", 3), (None, "q r s t u v", "n", 3), (8, "", "n", 3), (8, "", "n", 3)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def spark_lit():
+    from pyspark.sql import functions as F
+    return F.lit(3)

@@ -37,3 +37,24 @@ def test_run_is_the_stages(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(40).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_stages_keep_columns_of_their_own_names(spark):
+    """Extra columns called like a stage's helpers, null ids, two texts under one id and no rows at all."""
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    more = docs.select(F.when(F.col("doc_id") % 3 != 0, F.lit(5)).cast("long").alias("doc_id"), "text", "lang", "source", "n_chars",
+                       F.col("doc_id").cast("string").alias("__row"), F.lit("s").alias("__spans"), F.lit(2).alias("__node"))
+    more = cut_lineage(more, "clash")
+    have = {tuple(r) for r in more.collect()}
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, more, SF)
+        assert out.columns == more.columns
+        rows = out.collect()
+        assert rows and all(r["__spans"] == "s" and r["__node"] == 2 for r in rows)
+        if stage.__name__ != "pii_stage":
+            assert {tuple(r) for r in rows} <= have
+        else:
+            assert {r["__row"] for r in rows} == {r[5] for r in have}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, more.limit(0), SF).count() == 0
