@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from .decontaminate import op9_benchmark_decontamination
+from .fingerprints import OP12_SQL, op12_document_fingerprints
 from .jaccard import op10_ngram_jaccard
 from .licenses import op6_license_scan
 from .packing import op3_packing
@@ -14,5 +15,5 @@ from .toxicity import op4_toxicity
 from .urls import op2_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filter, op3_packing, op4_toxicity, op5_repeated_passages, op6_license_scan, op7_quality_rules, op8_secret_scan, op9_benchmark_decontamination, op10_ngram_jaccard,
-                                   op13_periodic_runs)}
-ORACLE: dict[str, str] = {"op13_periodic_runs": OP13_SQL}
+                                   op12_document_fingerprints, op13_periodic_runs)}
+ORACLE: dict[str, str] = {"op12_document_fingerprints": OP12_SQL, "op13_periodic_runs": OP13_SQL}
