@@ -107,21 +107,32 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(same, F.lit(1.0)).otherwise(let(d, lambda d: (total - d) / (total + d)))
 
 
-def followed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = 20_000) -> DataFrame:
+def followed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = 1000, most_cuts: int = 1000) -> DataFrame:
     """id, text ('' for null), fp, and next_text and next_fp of the row with the next lower id (after the last: of the first)."""
     if docs.schema[doc_id].dataType.typeName() not in ("byte", "short", "integer", "long", "float", "double", "decimal"):
         raise ValueError("ids must be numbers")
     d = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     rows = docs.count()
-    n = max(2, math.ceil(rows / bucket_rows))
-    cuts = docs.agg(F.percentile_approx(F.col(doc_id).cast("double"), [i / n for i in range(1, n)], 10 * n).alias("c")).first()["c"] or [0.0]
+    n = max(2, min(most_cuts, math.ceil(rows / bucket_rows)))
+    at = F.col(doc_id).cast("double")
+    seen = docs.agg(F.percentile_approx(at, [i / n for i in range(1, n)], 10 * n).alias("c"), F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    cuts = seen["c"] or [0.0]
     hot = sorted({x for x, y in zip(cuts, cuts[1:]) if x == y and abs(x) < 2 ** 52})
     splits = sorted({-math.inf, math.inf, *cuts, *hot, *(math.nextafter(x, math.inf) for x in hot)})
     d = Bucketizer(splits=splits, inputCol="at", outputCol="range").transform(d.withColumn("at", F.coalesce(F.col("id").cast("double"), F.lit(0.0))))
+    # a range is cut into equal widths of ids, so the number of quantiles may stay small
+    parts = math.ceil(rows / n / bucket_rows)
+    width = max(256, parts)
+    ends = [seen["lo"] or 0.0, *splits[1:-1], seen["hi"] or 0.0]
+    side = lambda xs: F.array(*map(F.lit, xs))[F.col("range").cast("int")]
+    lo, hi = side(ends[:-1]), side(ends[1:])
+    part = F.floor((F.col("at") - lo) / F.greatest(hi - lo, F.lit(1e-300)) * parts)
+    down = parts - 1 - F.least(F.greatest(part, F.lit(0)), F.lit(parts - 1)) if parts > 1 else F.lit(0)
     spread = (F.shiftright("h", 56) + 128).cast("long")
     alone = F.col("at").isin(hot) if hot else F.lit(False)
-    b = F.when(F.col("id").isNull(), (len(splits) + 1) * 256 + spread).otherwise((len(splits) - F.col("range").cast("long")) * 256 + F.when(alone, spread).otherwise(0))
-    d = d.select(b.alias("b"), "id", "h", "text").repartition("b")
+    b = F.when(F.col("id").isNull(), (len(splits) + 1) * width + spread).otherwise((len(splits) - F.col("range").cast("long")) * width + F.when(alone, spread).otherwise(down))
+    # never null: a filter under one of the two readers of this exchange would make it two exchanges
+    d = d.select(F.coalesce(b, F.lit(0)).alias("b"), "id", "h", "text").repartition("b")
     order = W.partitionBy("b").orderBy(F.col("id").desc_nulls_last(), "h", "text")
     heads = d.withColumn("r", F.row_number().over(order)).where("r = 1").select("b", "text")
     # one row per bucket: the bucket that follows, and its first text

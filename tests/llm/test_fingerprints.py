@@ -61,8 +61,8 @@ def test_likeness_follows_the_share_of_common_paragraphs(spark):
     assert sum(abs(r.got - r.want) for r in got) / len(got) < .06
 
 
-@pytest.mark.parametrize("size", [1, 7, 20_000])
-def test_each_row_is_followed_by_the_next_id(spark, size):
+@pytest.mark.parametrize("size, cuts", [(1, 1000), (7, 1000), (3, 4), (1000, 1000)])
+def test_each_row_is_followed_by_the_next_id(spark, size, cuts):
     t = texts(3)
     rng = random.Random(size)
     ids = rng.sample(range(-500, 10_000), len(t) - 40) + [77] * 25 + [None] * 15
@@ -71,7 +71,7 @@ def test_each_row_is_followed_by_the_next_id(spark, size):
     h = {r.text: r.h for r in df.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
     order = sorted(((i, x or "") for i, x, _ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), h[r[1]], r[1]))
     want = sorted((str(i), x, y) for (i, x), (_, y) in zip(order, order[1:] + order[:1]))
-    out = fg.followed(df, bucket_rows=size).select("id", "text", "next_text", fg.digits(F.col("next_fp")).alias("f")).collect()
+    out = fg.followed(df, bucket_rows=size, most_cuts=cuts).select("id", "text", "next_text", fg.digits(F.col("next_fp")).alias("f")).collect()
     assert sorted((str(r.id), r.text, r.next_text) for r in out) == want
     assert all(r.f == hexes(plain(r.next_text)) for r in out)
 
