@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -39,6 +40,18 @@ def row_key(df: DataFrame) -> Column:
     return F.xxhash64(*[x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession):
+    """Within it, the shuffle files of a query that has ended are removed: for loops whose steps write their result."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def join_bounded(df: DataFrame, small: DataFrame, on, how: str, max_rows: int = 500_000) -> DataFrame:
     """Join with a table that is counted first: broadcast while it has at most
     `max_rows` rows, else a shuffled join whose skew Spark splits."""

@@ -43,13 +43,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import cut_lineage
-from .common import read, slices
+from .common import read, short_shuffles, slices
 
 #: ASCII characters that end a piece; they become a word of a byte that UTF-8 does not use.
 CUTS = b".,;:!?\n\x0b\x0c\r"
 END = b"\xff"
 _TO_END = bytes(0xFF if b in CUTS else b for b in range(256))
-SENT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("c", pa.int64())])
+SENT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("c", pa.int64()), ("since", pa.int32())])
 
 
 def pieces(text: str) -> list[bytes]:
@@ -91,7 +91,7 @@ def count_positions(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarr
 
 
 def _scan(step: int, shards: int, longest: int, tables, most_words: int):
-    """Batches (lang, body) to rows (lang, phrase, c) of phrases active at this step; '' counts all words."""
+    """Batches (lang, body) to rows (lang, phrase, c, since) of phrases active at this step and since when; '' counts all words."""
     def flush(texts: dict[str, list[np.ndarray]], vocab: dict[bytes, int]):
         spelled = pa.array(list(vocab), pa.binary())
         for lang, parts in texts.items():
@@ -104,8 +104,8 @@ def _scan(step: int, shards: int, longest: int, tables, most_words: int):
                     count = np.bincount(word)
                     count[0] = 0
                     at, c = np.flatnonzero(count), count[count > 0]
-                    columns = [at]
-                    yield lang, pa.array([""]), pa.array([int(c.sum())])
+                    columns, since = [at], np.zeros(len(at), np.int32)
+                    yield lang, pa.array([""]), pa.array([int(c.sum())]), pa.array([0], pa.int32())
                 else:
                     if k == 2:
                         used = np.unique(word)
@@ -117,16 +117,16 @@ def _scan(step: int, shards: int, longest: int, tables, most_words: int):
                     if not len(at):
                         continue
                     at, c = count_positions(word, at, k)
-                    columns = [word[at + j] for j in range(k)]
+                    columns, since = [word[at + j] for j in range(k)], start[at].astype(np.int32)
                 text = [spelled.take(pa.array(x)) for x in columns]
                 text = text[0] if k == 1 else pc.binary_join_element_wise(*text, b" ")
-                yield lang, text.cast(pa.string()), pa.array(c)
+                yield lang, text.cast(pa.string()), pa.array(c), pa.array(since)
 
     def batches_of(rows):
-        for lang, text, c in rows:
+        for lang, text, c, since in rows:
             for i in range(0, len(c), 100_000):
                 part = text[i:i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(part), np.int64))), part, c[i:i + 100_000].cast(pa.int64())], schema=SENT)
+                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(part), np.int64))), part, c[i:i + 100_000].cast(pa.int64()), since[i:i + 100_000]], schema=SENT)
 
     def run(batches):
         vocab, texts, held = {END: 0}, {}, 0
@@ -158,11 +158,17 @@ def _reached(new: DataFrame, slots: int) -> list[tuple[int, int, bytes]]:
     packed = marked.select("k", F.floor(F.col("slot") / 64).alias("at"), F.expr("shiftleft(1L, cast(pmod(slot, 64) as int))").alias("bit"))
     packed = packed.groupBy("k", "at").agg(F.bit_or("bit").alias("bits"))
     packed = packed.groupBy("k", F.floor(F.col("at") / 1024).alias("segment")).agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("cells"))
-    return [(r.k, [c.at for c in r.cells], [c.bits for c in r.cells]) for r in packed.toLocalIterator()]
+    return [(r.k, [c.at for c in r.cells], [c.bits for c in r.cells]) for r in packed.collect()]
 
 
 def counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10, shards: int = 3,
            most_slots: int = 1 << 25, most_words: int = 3_000_000) -> DataFrame:
+    """As `_counts`, its shuffles removed step by step."""
+    with short_shuffles(docs.sparkSession):
+        return _counts(docs, text, lang, longest, least, shards, most_slots, most_words)
+
+
+def _counts(docs: DataFrame, text: str, lang: str, longest: int, least: int, shards: int, most_slots: int, most_words: int) -> DataFrame:
     """lang, phrase and exact f of all phrases of 1 .. `longest` words with at least `least` occurrences; phrase '' has the number of words."""
     spark = docs.sparkSession
     body = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("body"))
@@ -175,15 +181,16 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int
     for step in itertools.count():
         shared = spark.sparkContext.broadcast(tables)
         seen = body.where(F.col("shard") == step % shards).select("lang", "body") \
-            .mapInArrow(_scan(step, shards, longest, shared, most_words), "lang string, phrase string, c long")
-        seen = seen.withColumn("since", F.lit(step)).withColumn("reached", F.lit(False))
+            .mapInArrow(_scan(step, shards, longest, shared, most_words), "lang string, phrase string, c long, since int")
+        seen = seen.withColumn("reached", F.lit(False))
         if state is not None:  # counters that have not gone round
             seen = seen.unionByName(state.where(F.col("since") + shards > step).drop("fresh"))
-        g = seen.groupBy("lang", "phrase").agg(F.sum("c").alias("c"), F.min("since").alias("since"), F.max("reached").alias("was"))
-        state = cut_lineage(g.select("lang", "phrase", "c", "since", (F.col("c") >= least).alias("reached"), (~F.col("was") & (F.col("c") >= least)).alias("fresh")), "counters")
-        shared.unpersist()
         ended = F.col("since") + shards <= step + 1
         keep = F.col("reached") | (F.col("phrase") == "")
+        g = seen.groupBy("lang", "phrase").agg(F.sum("c").alias("c"), F.min("since").alias("since"), F.max("reached").alias("was"))
+        g = g.select("lang", "phrase", "c", "since", (F.col("c") >= least).alias("reached"), (~F.col("was") & (F.col("c") >= least)).alias("fresh"))
+        state = cut_lineage(g.where(keep | ~ended), "counters")
+        shared.unpersist()
         new = state.where(F.col("fresh") & (F.col("phrase") != "")).where(n_words(F.col("phrase")) < longest)
         for k, at, bits in _reached(new, slots):
             full = np.zeros((len(at), 64), np.uint8)
@@ -193,8 +200,7 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int
             table = tables[k - 1]
             table[where] = np.where(table[where] == 0, step + 1, table[where])
         last = max([shards, *(int(t.max()) + shards for t in tables if t.any())])
-        # counters whose cycle ends here; `since` is the first step that saw the phrase, so some wait for it beyond their cycle
-        done.append(state.where(keep & ended if step + 1 < last else keep))
+        done.append(state.where(keep & ended))
         if step + 1 >= last:
             break
     out = done[0]
