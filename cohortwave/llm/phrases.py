@@ -9,9 +9,10 @@ cycle: the lengths are interleaved, and a phrase whose words are frequent need
 not wait for the words' cycle to end. A phrase of `least` occurrences has
 subphrases of as many, so none is missed, and its count is over the whole corpus.
 
-In Spark: documents are dealt evenly to shards and written once. A step scans
-one shard; a task numbers the words of a few million positions, finds the active
-phrases among them in arrays, and sends each once with its count. One shuffle by
+In Spark: texts are cut into words once and written as rows of a million or two
+of word numbers with their list of words, dealt evenly to the shards. A step scans
+one shard; a task finds the active phrases of a row in arrays, and sends each once
+with its count. One shuffle by
 (language, phrase) adds them to the counters still in their cycle; a counter that
 has gone round leaves with its total, or for good if that is below `least`.
 
@@ -40,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import cut_lineage
@@ -50,6 +52,18 @@ CUTS = b".,;:!?\n\x0b\x0c\r"
 END = b"\xff"
 _TO_END = bytes(0xFF if b in CUTS else b for b in range(256))
 SENT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("c", pa.int64()), ("since", pa.int32())])
+CODED = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("words", pa.list_(pa.binary())), ("ids", pa.binary())])
+
+
+class Numbers(dict):
+    """Numbers of words in the order they are seen; 0 ends a piece."""
+
+    def __init__(self):
+        self[END] = 0
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 def pieces(text: str) -> list[bytes]:
@@ -90,57 +104,59 @@ def count_positions(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarr
     return at[first], count
 
 
-def _scan(step: int, shards: int, longest: int, tables, most_words: int):
-    """Batches (lang, body) to rows (lang, phrase, c, since) of phrases active at this step and since when; '' counts all words."""
-    def flush(texts: dict[str, list[np.ndarray]], vocab: dict[bytes, int]):
-        spelled = pa.array(list(vocab), pa.binary())
+def _encode(shards: int, most_words: int):
+    """Batches (lang, body) to rows (shard, lang, words, ids): a language's words of some texts, as numbers of a list of
+    distinct words of which the first is END. Rows are dealt to the shards in turn."""
+    def flush(texts: dict[str, list[np.ndarray]], vocab: Numbers, number: int):
+        spelled = np.array(list(vocab), object)
+        out = []
         for lang, parts in texts.items():
-            word = np.concatenate(parts)
-            seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42)
-            for k in range(1, longest + 1):
-                if k == 1:
-                    if step >= shards:
-                        continue
-                    count = np.bincount(word)
-                    count[0] = 0
-                    at, c = np.flatnonzero(count), count[count > 0]
-                    columns, since = [at], np.zeros(len(at), np.int32)
-                    yield lang, pa.array([""]), pa.array([int(c.sum())]), pa.array([0], pa.int32())
-                else:
-                    if k == 2:
-                        used = np.unique(word)
-                        h = np.zeros(len(vocab), np.uint64)
-                        h[used] = [xxhash.xxh64_intdigest(x, seed) for x in spelled.take(pa.array(used)).to_pylist()]
-                        h = h.astype(np.int64)
-                    start = active_from(tables.value, h, word, k).astype(np.int64)
-                    at = np.flatnonzero((start > 0) & (step < start + shards))
-                    if not len(at):
-                        continue
-                    at, c = count_positions(word, at, k)
-                    columns, since = [word[at + j] for j in range(k)], start[at].astype(np.int32)
-                text = [spelled.take(pa.array(x)) for x in columns]
-                text = text[0] if k == 1 else pc.binary_join_element_wise(*text, b" ")
-                yield lang, text.cast(pa.string()), pa.array(c), pa.array(since)
-
-    def batches_of(rows):
-        for lang, text, c, since in rows:
-            for i in range(0, len(c), 100_000):
-                part = text[i:i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(part), np.int64))), part, c[i:i + 100_000].cast(pa.int64()), since[i:i + 100_000]], schema=SENT)
+            used, ids = np.unique(np.concatenate(parts), return_inverse=True)
+            out.append(((TaskContext.get().partitionId() + number + len(out)) % shards, lang, spelled[used].tolist(), ids.astype("<i4").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), CODED.types)], schema=CODED)
 
     def run(batches):
-        vocab, texts, held = {END: 0}, {}, 0
+        vocab, texts, held, number = Numbers(), {}, 0, 0
         for b in slices(batches, 64):
             for lang, body in zip(b.column("lang").to_pylist(), b.column("body").to_pylist()):
                 ws = pieces(body)
-                ids = np.fromiter((vocab.setdefault(w, len(vocab)) for w in ws), np.int64, len(ws))
+                ids = np.fromiter(map(vocab.__getitem__, ws), np.int64, len(ws))
                 texts.setdefault(lang, []).extend((ids, np.zeros(1, np.int64)))
                 held += len(ids) + 1
             if held >= most_words:
-                yield from batches_of(flush(texts, vocab))
-                vocab, texts, held = {END: 0}, {}, 0
+                yield flush(texts, vocab, number)
+                vocab, texts, held, number = Numbers(), {}, 0, number + len(texts)
         if texts:
-            yield from batches_of(flush(texts, vocab))
+            yield flush(texts, vocab, number)
+    return run
+
+
+def _scan(step: int, shards: int, longest: int, tables):
+    """Rows (lang, words, ids) to (lang, phrase, c, since) of phrases active at this step and since when; '' counts all words."""
+    def counted(lang: str, spelled: pa.Array, word: np.ndarray):
+        if step < shards:
+            count = np.bincount(word)
+            count[0] = 0
+            at = np.flatnonzero(count)
+            yield pa.array([""]), np.array([count.sum()]), np.zeros(1, np.int32)
+            yield spelled.take(pa.array(at)), count[at], np.zeros(len(at), np.int32)
+        seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42)
+        h = np.array([xxhash.xxh64_intdigest(x, seed) for x in spelled.to_pylist()], np.uint64).astype(np.int64)
+        for k in range(2, longest + 1):
+            start = active_from(tables.value, h, word, k).astype(np.int64)
+            at = np.flatnonzero((start > 0) & (step < start + shards))
+            if len(at):
+                at, c = count_positions(word, at, k)
+                yield pc.binary_join_element_wise(*[spelled.take(pa.array(word[at + j])) for j in range(k)], b" "), c, start[at].astype(np.int32)
+
+    def run(batches):
+        for b in batches:
+            for lang, words, ids in zip(b.column("lang").to_pylist(), b.column("words"), b.column("ids")):
+                for phrase, c, since in counted(lang, words.values, np.frombuffer(ids.as_buffer(), "<i4").astype(np.int64)):
+                    for i in range(0, len(c), 100_000):
+                        part = phrase.slice(i, 100_000).cast(pa.string())
+                        yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(part), np.int64))), part,
+                                                          pa.array(c[i:i + 100_000], pa.int64()), pa.array(since[i:i + 100_000])], schema=SENT)
     return run
 
 
@@ -162,7 +178,7 @@ def _reached(new: DataFrame, slots: int) -> list[tuple[int, int, bytes]]:
 
 
 def counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10, shards: int = 3,
-           most_slots: int = 1 << 25, most_words: int = 3_000_000) -> DataFrame:
+           most_slots: int = 1 << 25, most_words: int = 2_000_000) -> DataFrame:
     """As `_counts`, its shuffles removed step by step."""
     with short_shuffles(docs.sparkSession):
         return _counts(docs, text, lang, longest, least, shards, most_slots, most_words)
@@ -171,17 +187,16 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int
 def _counts(docs: DataFrame, text: str, lang: str, longest: int, least: int, shards: int, most_slots: int, most_words: int) -> DataFrame:
     """lang, phrase and exact f of all phrases of 1 .. `longest` words with at least `least` occurrences; phrase '' has the number of words."""
     spark = docs.sparkSession
-    body = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("body"))
-    body = body.where("body <> ''").withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
-    body = cut_lineage(body.withColumn("n", F.length("body")), "shards")
-    chars = body.agg(F.sum("n")).first()[0] or 0
-    slots = min(most_slots, 1 << max(16, math.ceil(math.log2(chars / 8 + 1))))
+    body = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("body")).where("body <> ''")
+    coded = cut_lineage(body.mapInArrow(_encode(shards, most_words), "shard int, lang string, words array<binary>, ids binary"), "words")
+    words = coded.agg(F.sum(F.length("ids")).alias("b")).first()["b"] or 0
+    slots = min(most_slots, 1 << max(16, math.ceil(math.log2(words / 4 + 1))))
     tables = [np.zeros(slots, np.uint8) for _ in range(longest - 1)]
     state, done = None, []
     for step in itertools.count():
         shared = spark.sparkContext.broadcast(tables)
-        seen = body.where(F.col("shard") == step % shards).select("lang", "body") \
-            .mapInArrow(_scan(step, shards, longest, shared, most_words), "lang string, phrase string, c long, since int")
+        seen = coded.where(F.col("shard") == step % shards).select("lang", "words", "ids") \
+            .mapInArrow(_scan(step, shards, longest, shared), "lang string, phrase string, c long, since int")
         seen = seen.withColumn("reached", F.lit(False))
         if state is not None:  # counters that have not gone round
             seen = seen.unionByName(state.where(F.col("since") + shards > step).drop("fresh"))
