@@ -72,6 +72,35 @@ def _summed(rows: DataFrame, keys: list[str], fields: T.StructType, add: Callabl
     return rows.mapInArrow(run, schema)
 
 
+def pair_sums(blocks: DataFrame, rec: list[str], channel: str) -> DataFrame:
+    """(rec, c1 <= c2) with n, sx, sy and sxy over the samples of the blocks that hold both channels."""
+    rows = side_by_side(blocks, [*rec, "block_id"], channel, "samples").drop("block_id")
+
+    def add(sums, samples):
+        sums = sums or {}
+        sizes: dict[int, list] = {}
+        for c, x in sorted(samples.items()):
+            if len(x):
+                sizes.setdefault(len(x), []).append(c)
+        for n, names in sizes.items():
+            x = np.stack([samples[c] for c in names])
+            new, names = (n, x.sum(axis=1), x @ x.T), tuple(names)
+            sums[names] = tuple(a + b for a, b in zip(sums[names], new)) if names in sums else new
+        return sums or None
+
+    def emit(sums):
+        out = [[] for _ in range(6)]
+        for names, (n, s, gram) in sums.items():
+            i, j = np.triu_indices(len(names))
+            for col, v in zip(out, ([names[a] for a in i], [names[b] for b in j], [n] * len(i), s[i].tolist(), s[j].tolist(), gram[i, j].tolist())):
+                col += v
+        return out
+
+    kind = blocks.schema[channel].dataType
+    fields = T.StructType([T.StructField("c1", kind), T.StructField("c2", kind), T.StructField("n", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("sx", "sy", "sxy")])
+    return _summed(rows, rec, fields, add, emit).groupBy(*rec, "c1", "c2").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")])
+
+
 def cross_spectra(blocks: DataFrame, rec: list[str], channel: str, block_len: int, sfreq: float, seg: int, overlap: float, fmin: float, fmax: float) -> DataFrame:
     """Per (rec, f, c1 < c2): windows n, sums of the cross-spectrum (re, im), of the sign of its imaginary part (sgn)
     and of both powers (p1, p2), over mean-removed, Hamming-weighted windows that both channels fill."""

@@ -87,26 +87,29 @@ def _sum_arrays(arrays: Column) -> Column:
     return F.aggregate(arrays, zero, lambda acc, a: F.zip_with(acc, a, lambda p, q: p + q.cast("double")))
 
 
+def with_recording(blocks: DataFrame, table: DataFrame, rec: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join blocks with a small table keyed by recording. The table is repeated for `salts` classes of block numbers, so
+    a long recording's blocks are spread where the table is too large to be broadcast."""
+    salt = "__salt"
+    many = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return blocks.withColumn(salt, F.pmod("block_id", F.lit(salts)).cast("int")).join(many, [*rec, salt], how).drop(salt)
+
+
 def neighbour_correlation(blocks: DataFrame, neighbours: DataFrame, rec: list[str], channel: str) -> DataFrame:
-    """Pearson r of each channel with the mean of its neighbours, from sums of
-    products per block (partial sums, one shuffle per stage)."""
-    m = _by_block(blocks, rec, channel)
-    nb = neighbours.groupBy(*rec, channel).agg(F.array_sort(F.collect_list("neighbour")).alias("nb"))
-    j = m.join(nb, rec)
-    x = F.transform(F.col("m")[F.col(channel)], lambda v: v.cast("double"))
-    near = F.transform("nb", lambda c: F.col("m")[c])
-    y = F.transform(_sum_arrays(near), lambda v: v / F.size("nb"))
-    j = j.select(*rec, channel, x.alias("x"), y.alias("y"))
-    tot = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    prod = lambda a, b: tot(F.zip_with(a, b, lambda p, q: p * q))
-    s = j.groupBy(*rec, channel).agg(
-        F.sum(F.size("x")).alias("n"), F.sum(tot(F.col("x"))).alias("sx"), F.sum(tot(F.col("y"))).alias("sy"),
-        F.sum(prod(F.col("x"), F.col("x"))).alias("xx"), F.sum(prod(F.col("y"), F.col("y"))).alias("yy"),
-        F.sum(prod(F.col("x"), F.col("y"))).alias("xy"))
-    n = F.col("n")
-    cov = n * F.col("xy") - F.col("sx") * F.col("sy")
-    vx, vy = n * F.col("xx") - F.col("sx") * F.col("sx"), n * F.col("yy") - F.col("sy") * F.col("sy")
-    return s.select(*rec, channel, (cov / F.when((vx > 0) & (vy > 0), F.sqrt(vx * vy))).alias("r"))
+    """Pearson r of each channel with the mean of its neighbours, read from the montage's pair sums: the covariance with a
+    mean is the mean of covariances. A pair counts over the blocks that hold both channels."""
+    from .montage import pair_sums
+    g = pair_sums(blocks, rec, channel)
+    cov = F.col("sxy") / F.col("n") - F.col("sx") * F.col("sy") / (F.col("n") * F.col("n"))
+    g = g.select(*rec, "c1", "c2", cov.alias("cov"))
+    both = g.unionByName(g.where("c1 <> c2").select(*rec, F.col("c2").alias("c1"), F.col("c1").alias("c2"), "cov"))
+    nb = neighbours.select(*rec, F.col(channel).alias("c"), "neighbour")
+    x = both.where("c1 = c2").select(*rec, F.col("c1").alias("c"), F.col("cov").alias("vx"))
+    one = nb.join(both.withColumnsRenamed({"c1": "c", "c2": "neighbour"}), [*rec, "c", "neighbour"]).groupBy(*rec, "c").agg(F.avg("cov").alias("xy"))
+    two = nb.withColumnRenamed("neighbour", "c1").join(nb.withColumnRenamed("neighbour", "c2"), [*rec, "c"])
+    two = two.join(both, [*rec, "c1", "c2"]).groupBy(*rec, "c").agg(F.avg("cov").alias("vy"))
+    d = x.join(one, [*rec, "c"]).join(two, [*rec, "c"])
+    return d.select(*rec, F.col("c").alias(channel), (F.col("xy") / F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.sqrt(F.col("vx") * F.col("vy")))).alias("r"))
 
 
 def bad_channels(blocks: DataFrame, neighbours: DataFrame, rec: list[str], channel: str, flat_std: float = 1e-8,
@@ -151,7 +154,7 @@ def interpolate_bad(blocks: DataFrame, flags: DataFrame, neighbours: DataFrame,
          .groupBy(*rec, channel).agg(F.array_sort(F.collect_list(F.struct("neighbour", "w"))).alias("ws"), F.sum("w").alias("total"))
          .select(*rec, channel, F.transform("ws", lambda n: F.struct(n.neighbour.alias("neighbour"), (n.w / F.col("total")).alias("w"))).alias("ws")))
     bad = bad.join(w, [*rec, channel], "left").groupBy(*rec).agg(F.map_from_entries(F.collect_list(F.struct(F.col(channel), "ws"))).alias("repair"))
-    m = _by_block(blocks, rec, channel).join(bad, rec, "left")
+    m = with_recording(_by_block(blocks, rec, channel), bad, rec, "left")
     d = m.select(*rec, "block_id", "m", "repair", F.explode("m").alias(channel, "samples"))
     ws = F.col("repair")[F.col(channel)]
     scaled = F.transform(ws, lambda n: F.transform(F.col("m")[n.neighbour], lambda v: v.cast("double") * n.w))
@@ -161,14 +164,21 @@ def interpolate_bad(blocks: DataFrame, flags: DataFrame, neighbours: DataFrame,
     return d.select(*rec, channel, "block_id", F.when(is_bad, fixed).otherwise(asis).alias("samples"), is_bad.alias("repaired"))
 
 
-def reference_and_repair(blocks: DataFrame, flags: DataFrame, neighbours: DataFrame, rec: list[str], channel: str,
-                         order: str = "post_interpolation") -> DataFrame:
-    """Average reference after (default) or before the repair of bad channels."""
+def reference_and_repair(blocks: DataFrame, flags: DataFrame, neighbours: DataFrame | None, rec: list[str], channel: str,
+                         order: str = "post_interpolation", positions: DataFrame | None = None) -> DataFrame:
+    """Average reference after (default) or before the repair of bad channels: by spherical splines where `positions` are
+    given, else from near channels."""
+    from .splines import spline_repair
     if order not in ("post_interpolation", "pre_interpolation"):
         raise ValueError(f"unknown order {order!r}")
+
+    def repair(d):
+        fixed = interpolate_bad(d, flags, neighbours, rec, channel) if positions is None else spline_repair(d, flags, positions, rec, channel)
+        return fixed.drop("repaired")
+
     if order == "post_interpolation":
-        return average_reference(interpolate_bad(blocks, flags, neighbours, rec, channel).drop("repaired"), rec, channel)
-    return interpolate_bad(average_reference(blocks, rec, channel), flags, neighbours, rec, channel).drop("repaired")
+        return average_reference(repair(blocks), rec, channel)
+    return repair(average_reference(blocks, rec, channel))
 
 
 def reblock(blocks: DataFrame, keys: list[str], factor: int) -> DataFrame:
@@ -224,23 +234,26 @@ def fir_taps(sfreq: float, low: float | None, high: float | None, stop: bool = F
     return lowpass(high + high_w / 2) if high else unit - lowpass(max(low - low_w / 2, 1e-3))
 
 
-def fir_filter(blocks: DataFrame, keys: list[str], taps: np.ndarray) -> DataFrame:
+def reflected(z: np.ndarray, k: int) -> np.ndarray:
+    """k samples before z by odd reflection, constant where z is too short."""
+    if k <= 0:
+        return z[:0]
+    r = 2 * z[0] - z[1:k + 1][::-1]
+    return np.concatenate([np.full(k - len(r), r[0] if len(r) else z[0]), r])
+
+
+def fir_filter(blocks: DataFrame, keys: list[str], taps: np.ndarray, block_len: int | None = None) -> DataFrame:
     """Zero-phase FIR. The taps travel with the task; a block is convolved with
     its halo, taken from as many blocks as half the taps span, and only a
     recording's own ends see edge padding (odd reflection). Blocks have one
-    length, but for a recording's last one."""
+    length, but for a recording's last one; a job looks for it where it is not given."""
     half = len(taps) // 2
-    size = blocks.agg(F.max(F.size("samples"))).first()[0] or 1          # one row
+    size = block_len or blocks.agg(F.max(F.size("samples"))).first()[0] or 1          # one row
     reach = max(1, -(-half // size))
     d = with_halo(blocks, keys, half, reach)
     names = [*keys, "block_id"]
     schema = d.select(*names).schema.add("samples", T.ArrayType(T.DoubleType()))
 
-    def padded(z, k):
-        """k samples before z by odd reflection, constant where z is too short."""
-        r = 2 * z[0] - z[1:k + 1][::-1]
-        return np.concatenate([np.full(k - len(r), r[0] if len(r) else z[0]), r])
-
     spectra = {}
 
     def run(batches):
@@ -250,7 +263,7 @@ def fir_filter(blocks: DataFrame, keys: list[str], taps: np.ndarray) -> DataFram
                 x = np.asarray(own, float)
                 left, right = (np.asarray(v, float) if v is not None else x[:0] for v in (b, a))
                 z = np.concatenate([left, x, right])
-                z = np.concatenate([padded(z, half - len(left)), z, padded(z[::-1], half - len(right))[::-1]])
+                z = np.concatenate([reflected(z, half - len(left)), z, reflected(z[::-1], half - len(right))[::-1]])
                 n = 1 << int(np.ceil(np.log2(len(z) + len(taps))))
                 if n not in spectra:
                     spectra[n] = np.fft.rfft(taps, n)
@@ -260,8 +273,8 @@ def fir_filter(blocks: DataFrame, keys: list[str], taps: np.ndarray) -> DataFram
     return d.mapInPandas(run, schema)
 
 
-def notch(blocks: DataFrame, keys: list[str], sfreq: float, freq: float = 50.0, width: float = 1.0) -> DataFrame:
-    return fir_filter(blocks, keys, fir_taps(sfreq, freq - width / 2, freq + width / 2, stop=True, transition=width))
+def notch(blocks: DataFrame, keys: list[str], sfreq: float, freq: float = 50.0, width: float = 1.0, block_len: int | None = None) -> DataFrame:
+    return fir_filter(blocks, keys, fir_taps(sfreq, freq - width / 2, freq + width / 2, stop=True, transition=width), block_len)
 
 
 def decimate(blocks: DataFrame, keys: list[str], block_len: int, ratio: int) -> DataFrame:
@@ -273,10 +286,12 @@ def decimate(blocks: DataFrame, keys: list[str], block_len: int, ratio: int) ->
 
 def resample(blocks: DataFrame, keys: list[str], block_len: int, sfreq: float, target: float, factor: float = 0.8) -> DataFrame:
     """Low-pass at factor x target Nyquist, then keep every (sfreq/target)-th
-    sample; the ratio must be whole."""
+    sample. Where that is no whole number a polyphase bank does both, and gives
+    blocks of `block_len` again."""
+    from .resampling import resample_to
     ratio = sfreq / target
     if ratio != int(ratio):
-        raise ValueError(f"{sfreq} -> {target} Hz is not a whole ratio")
+        return resample_to(blocks, keys, block_len, sfreq, target, factor)
     cut = factor * target / 2
-    d = fir_filter(blocks, keys, fir_taps(sfreq, None, cut)) if cut < sfreq / 2 else blocks
+    d = fir_filter(blocks, keys, fir_taps(sfreq, None, cut), block_len) if cut < sfreq / 2 else blocks
     return decimate(d, keys, block_len, int(ratio)) if ratio > 1 else d

@@ -235,17 +235,10 @@ def component_fallback(corr: DataFrame, psd: DataFrame, keys: list[str], thresho
 
 
 def channel_covariance(blocks: DataFrame, rec: list[str], channel: str) -> DataFrame:
-    """Covariance of every channel pair of a recording from per-block sums of
-    products; the pairs are those of one montage."""
-    pair = F.array_sort(F.collect_list(F.struct(F.col(channel).alias("c"), F.col("samples").alias("s"))))
-    g = blocks.groupBy(*rec, "block_id").agg(pair.alias("a"))
-    g = g.select(*rec, F.explode("a").alias("x"), "a").select(*rec, "x", F.explode(F.filter("a", lambda y: y.c >= F.col("x.c"))).alias("y"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-    tot = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double"))
-    s = g.groupBy(*rec, F.col("x.c").alias("c1"), F.col("y.c").alias("c2")).agg(
-        F.sum(F.size("x.s")).alias("n"), F.sum(tot(F.col("x.s"))).alias("sx"), F.sum(tot(F.col("y.s"))).alias("sy"), F.sum(dot(F.col("x.s"), F.col("y.s"))).alias("sxy"))
+    """Covariance of every channel pair of a recording from the montage's pair sums."""
+    from .montage import pair_sums
     n = F.col("n")
-    return s.select(*rec, "c1", "c2", ((F.col("sxy") - F.col("sx") * F.col("sy") / n) / (n - 1)).alias("cov"))
+    return pair_sums(blocks, rec, channel).select(*rec, "c1", "c2", ((F.col("sxy") - F.col("sx") * F.col("sy") / n) / (n - 1)).alias("cov"))
 
 
 def component_count(cov: DataFrame, rec: list[str], share: float | int = 0.99) -> DataFrame:

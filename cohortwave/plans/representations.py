@@ -1,9 +1,11 @@
-"""Representations of a recording beyond averaged spectra: connectivity, covariance, tangent space, peaks per channel."""
+"""Representations of a recording beyond averaged spectra: connectivity, covariance, tangent space, peaks per channel;
+spline repair and rational resampling."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import montage as mo, parametric as pa
+from ..operators import montage as mo, parametric as pa, resampling as rs, signal as sg, splines as sl
 from .bindings import with_roles
 from .events import B
 from .registry import query
@@ -72,3 +74,49 @@ def _(t):
     fits = pa.periodic_fit(psd(t, 0.5, 1, 45), ["rec", "channel"])
     alpha = pa.strongest_peak(fits, ["rec", "channel"], 7.0, 14.0)
     return fits.select("rec", "channel", "aperiodic_offset", "aperiodic_exponent", "r2", F.size("peaks").alias("n_peaks")).join(alpha, ["rec", "channel"])
+
+
+# eight sensors on a half sphere, their bad ones by a rule of five classes of recordings
+SENSORS = [(float(np.cos(c) * np.cos(.3 + c / 12)), float(np.sin(c) * np.cos(.3 + c / 12)), float(np.sin(.3 + c / 12))) for c in range(8)]
+X_ROWS = "x as (select rec, channel, block_id * 64 + i - 1 as i, samples[i]::double as v from (select rec, channel, block_id, samples, unnest(range(1, 65)) as i from signal) q)"
+
+
+def spline_sql() -> str:
+    rows = []
+    for k in range(5):
+        bad = np.array([(k + c) % 5 == 0 for c in range(8)])
+        w = sl.spline_matrix(np.array(SENSORS), bad)
+        rows += [f"({k}, {b}, {g}, {v!r}::double)" for b, r in zip(np.flatnonzero(bad), w.tolist()) for g, v in zip(np.flatnonzero(~bad), r)]
+    return f""", {X_ROWS}, w as (select * from (values {', '.join(rows)}) t(k, bad, good, w)),
+  full_ as (select rec from signal group by 1 having count(distinct channel) = 8),
+  rp as (select x.rec, w.bad as channel, x.i, sum(w.w * x.v) as v from x join w on w.k = x.rec % 5 and w.good = x.channel join full_ on full_.rec = x.rec group by 1, 2, 3),
+  fx as (select x.rec, x.channel, x.i, case when (x.rec + x.channel) % 5 = 0 then rp.v else x.v end as v from x join full_ on full_.rec = x.rec left join rp on rp.rec = x.rec and rp.channel = x.channel and rp.i = x.i)
+  select rec, channel, round(sum(v * v), 6) as energy, round(max(v), 6) as peak from fx group by 1, 2"""
+
+
+@query("sig5_spline_repair", with_roles(spline_sql(), "signal"))
+def _(t):
+    whole = t.signal.groupBy("rec").agg(F.count_distinct("channel").alias("n")).where("n = 8").select("rec")
+    blocks = t.signal.join(whole, "rec")
+    flags = blocks.select("rec", "channel", ((F.col("rec") + F.col("channel")) % 5 == 0).alias("bad")).distinct()
+    place = t.spark.createDataFrame([(c, *p) for c, p in enumerate(SENSORS)], "channel long, x double, y double, z double")
+    d = sl.spline_repair(blocks, flags, place, ["rec"], "channel")
+    return d.groupBy("rec", "channel").agg(F.round(F.sum(F.aggregate("samples", F.lit(0.0), lambda s, v: s + v * v)), 6).alias("energy"),
+                                           F.round(F.max(F.array_max("samples")), 6).alias("peak"))
+
+
+def resample_sql(target: float) -> str:
+    up, down, taps = rs.bank(SFREQ, target)
+    half = taps.shape[1] // 2 - 1
+    rows = ", ".join(f"({k}, {j - half}, {v!r}::double)" for k, r in enumerate(taps.tolist()) for j, v in enumerate(r))
+    return f""", {X_ROWS}, n as (select rec, channel, max(i) as last from x group by 1, 2), h as (select * from (values {rows}) t(k, j, w)),
+  e as (select rec, channel, i, v from x union all select a.rec, a.channel, -b.i, 2 * a.v - b.v from x a join x b on a.rec = b.rec and a.channel = b.channel and a.i = 0 and b.i between 1 and {half}
+    union all select a.rec, a.channel, 2 * a.i - b.i, 2 * a.v - b.v from n join x a on a.rec = n.rec and a.channel = n.channel and a.i = n.last join x b on b.rec = a.rec and b.channel = a.channel and b.i between a.i - {half + 1} and a.i - 1),
+  m as (select rec, channel, unnest(range(0, ((last + 1) * {up} + {down - 1}) // {down})) as m from n)
+  select m.rec, m.channel, m.m as i, round(sum(h.w * e.v), 6) as v from m join h on h.k = m.m * {down} % {up} join e on e.rec = m.rec and e.channel = m.channel and e.i = m.m * {down} // {up} + h.j group by 1, 2, 3"""
+
+
+@query("sig7_rational_resample", with_roles(resample_sql(96.0), "signal"))
+def _(t):
+    d = sg.resample(t.signal.drop("label"), ["rec", "channel"], B, SFREQ, 96.0)
+    return sg.samples_long(d, ["rec", "channel"], B).select("rec", "channel", "i", F.round("v", 6).alias("v"))
