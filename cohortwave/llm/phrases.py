@@ -79,6 +79,20 @@ def slot_of(parts, slots: int):
     return x & (slots - 1)
 
 
+def packed(table: np.ndarray):
+    """A table as its used slots while that is shorter."""
+    at = np.flatnonzero(table)
+    return (len(table), at.astype(np.uint32), table[at]) if 5 * len(at) < len(table) else table
+
+
+def unpacked(table) -> np.ndarray:
+    if isinstance(table, np.ndarray):
+        return table
+    out = np.zeros(table[0], np.uint8)
+    out[table[1]] = table[2]
+    return out
+
+
 def active_from(tables: list[np.ndarray], h: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
     """For each position, the boundary from which its phrase of k words is active; 0 if it is not (yet) or is none."""
     n = len(word) - k + 1
@@ -133,7 +147,7 @@ def _encode(shards: int, most_words: int):
 
 def _scan(step: int, shards: int, longest: int, tables):
     """Rows (lang, words, ids) to (lang, phrase, c, since) of phrases active at this step and since when; '' counts all words."""
-    def counted(lang: str, spelled: pa.Array, word: np.ndarray):
+    def counted(lang: str, spelled: pa.Array, word: np.ndarray, reached: list[np.ndarray]):
         if step < shards:
             count = np.bincount(word)
             count[0] = 0
@@ -143,16 +157,17 @@ def _scan(step: int, shards: int, longest: int, tables):
         seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42)
         h = np.array([xxhash.xxh64_intdigest(x, seed) for x in spelled.to_pylist()], np.uint64).astype(np.int64)
         for k in range(2, longest + 1):
-            start = active_from(tables.value, h, word, k).astype(np.int64)
+            start = active_from(reached, h, word, k).astype(np.int64)
             at = np.flatnonzero((start > 0) & (step < start + shards))
             if len(at):
                 at, c = count_positions(word, at, k)
                 yield pc.binary_join_element_wise(*[spelled.take(pa.array(word[at + j])) for j in range(k)], b" "), c, start[at].astype(np.int32)
 
     def run(batches):
+        reached = [unpacked(t) for t in tables.value]
         for b in batches:
             for lang, words, ids in zip(b.column("lang").to_pylist(), b.column("words"), b.column("ids")):
-                for phrase, c, since in counted(lang, words.values, np.frombuffer(ids.as_buffer(), "<i4").astype(np.int64)):
+                for phrase, c, since in counted(lang, words.values, np.frombuffer(ids.as_buffer(), "<i4").astype(np.int64), reached):
                     for i in range(0, len(c), 100_000):
                         part = phrase.slice(i, 100_000).cast(pa.string())
                         yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(part), np.int64))), part,
@@ -190,11 +205,11 @@ def _counts(docs: DataFrame, text: str, lang: str, longest: int, least: int, sha
     body = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("body")).where("body <> ''")
     coded = cut_lineage(body.mapInArrow(_encode(shards, most_words), "shard int, lang string, words array<binary>, ids binary"), "words")
     words = coded.agg(F.sum(F.length("ids")).alias("b")).first()["b"] or 0
-    slots = min(most_slots, 1 << max(16, math.ceil(math.log2(words / 4 + 1))))
+    slots = min(most_slots, 1 << max(16, math.ceil(math.log2(words / 16 + 1))))
     tables = [np.zeros(slots, np.uint8) for _ in range(longest - 1)]
     state, done = None, []
     for step in itertools.count():
-        shared = spark.sparkContext.broadcast(tables)
+        shared = spark.sparkContext.broadcast([packed(t) for t in tables])
         seen = coded.where(F.col("shard") == step % shards).select("lang", "words", "ids") \
             .mapInArrow(_scan(step, shards, longest, shared), "lang string, phrase string, c long, since int")
         seen = seen.withColumn("reached", F.lit(False))
@@ -205,7 +220,7 @@ def _counts(docs: DataFrame, text: str, lang: str, longest: int, least: int, sha
         g = seen.groupBy("lang", "phrase").agg(F.sum("c").alias("c"), F.min("since").alias("since"), F.max("reached").alias("was"))
         g = g.select("lang", "phrase", "c", "since", (F.col("c") >= least).alias("reached"), (~F.col("was") & (F.col("c") >= least)).alias("fresh"))
         state = cut_lineage(g.where(keep | ~ended), "counters")
-        shared.unpersist()
+        shared.destroy()
         new = state.where(F.col("fresh") & (F.col("phrase") != "")).where(n_words(F.col("phrase")) < longest)
         for k, at, bits in _reached(new, slots):
             full = np.zeros((len(at), 64), np.uint8)
