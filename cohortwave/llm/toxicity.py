@@ -1,21 +1,23 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Labels are learnt from a bounded sample (`max_rows`: the labelled training rows
-with the smallest hashes of their id). Its terms that depend on the label
-(chi-square, at most `max_terms`) span the vectors; their document frequencies
+with the smallest hashes of their id). All of its terms that depend on the label
+(chi-square of at least `least`) span the vectors; their document frequencies
 are counted over all documents. The sample is an inverted index in blocks of
 examples with the largest weight of every (term, block): a query bounds each
 block's cosine, reads blocks from the highest bound on, and stops when the k-th
-best is above the next bound, so the neighbours are those of a full scan. Votes
-are weighted by distance, and a logistic curve fitted to leave-one-out votes
+best is above the next bound, so the neighbours are those of a full scan. Where
+several examples are as near as the k-th, all of them share the votes that are
+left, so neither ids nor their order decide; an example has no vote on its own
+document. Votes are weighted by distance, and a logistic curve fitted to leave-one-out votes
 makes them probabilities. Index and terms have fixed largest sizes and are
 broadcast; documents are read once for terms and scored from short vectors.
 
 Edge cases: null and empty texts, and texts without any of the terms, get the
 smoothed share of label 1 among examples without terms; labels other than 0 and
 1 and null ids are left out; a document labelled twice counts with its larger
-label; repeated rows are scored alike; ties go to the smaller id; without
-labelled rows every score is 0. Only the named columns are read.
+label; repeated rows are scored alike; ids may be of any type and only name the evidence
+(ties: smaller id first); without labelled rows every score is 0. Only the named columns are read.
 """
 from __future__ import annotations
 
@@ -28,6 +30,8 @@ from ..session import cut_lineage
 from .common import map_batches, read, words
 
 BLOCK = 64
+#: Cosines this close are equal: sums of the same weights in another order.
+NEAR = 1e-5
 
 
 class Index:
@@ -45,9 +49,11 @@ class Index:
         prior = (y.sum() + 0.0) / max(1, len(y))
         self.blank = float((y[empty].sum() + 5 * prior) / (empty.sum() + 5)) if len(y) else 0.0
         self.prior = prior
-        dense, y, own = dense[~empty] / norm[~empty, None], y[~empty], np.asarray(ids, np.int64)[~empty]
-        order = np.lexsort((own, dense.argmax(1) if dense.size else own))  # like examples share blocks, so bounds are tight
-        dense, self.y, self.ids = dense[order], y[order], own[order]
+        dense, y, own = dense[~empty] / norm[~empty, None], y[~empty], [x for x, e in zip(ids, empty) if not e]
+        order = np.argsort(dense.argmax(1), kind="stable") if dense.size else np.arange(len(own))  # like examples share blocks, so bounds are tight
+        dense, self.y, self.ids = dense[order], y[order], [own[i] for i in order]
+        self.at = {x: i for i, x in enumerate(self.ids)}
+        self.rank = order  # of equally near examples the one that came first is named first
         self.blocks = -(-len(order) // BLOCK)
         lists = np.zeros((self.blocks * BLOCK, dense.shape[1]), np.float32)
         lists[:len(dense)] = dense
@@ -57,25 +63,31 @@ class Index:
         self.curve = self._calibrate(dense)
 
     def nearest(self, at: np.ndarray, q: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k best examples, best first; all of them have a term in common with q."""
+        """Positions and cosines of the k best examples and of all as near as the k-th, best first; all of them have a
+        term in common with q."""
         bound = q @ self.most[at]
         best_at, best = np.zeros(0, np.int64), np.zeros(0, np.float32)
         order = np.argsort(-bound, kind="stable")
         for s in range(0, len(order), 8):
-            if bound[order[s]] <= 0 or len(best) == self.k and best[-1] > bound[order[s]] + 1e-6:
+            if bound[order[s]] <= 0 or len(best) >= self.k and best[self.k - 1] > bound[order[s]] + 2 * NEAR:
                 break
             group = order[s:s + 8]
             sims = np.einsum("t,btd->bd", q, self.lists[group][:, at]).ravel()
             pos = (group[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             ok = (sims > 0) & (pos != skip)
             best, best_at = np.r_[best, sims[ok]], np.r_[best_at, pos[ok]]
-            top = np.lexsort((self.ids[best_at], -best))[:self.k]
+            top = np.lexsort((self.rank[best_at], -best))
+            if len(top) > self.k:
+                top = top[best[top] >= best[top[self.k - 1]] - NEAR]
             best, best_at = best[top], best_at[top]
         return best_at, best
 
     def vote(self, at: np.ndarray, q: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray]:
         near, sims = self.nearest(at, q, skip)
         w = 1 / (1 - np.minimum(sims, 1) + self.floor)
+        if len(near) > self.k:
+            tied = sims <= sims[self.k - 1] + NEAR
+            w[tied] = w[tied].mean() * (self.k - (~tied).sum()) / tied.sum()
         return float((w @ self.y[near] + self.prior) / (w.sum() + 1)), near
 
     def _calibrate(self, dense) -> tuple[float, float]:
@@ -95,16 +107,16 @@ class Index:
                 break
         return float(a), float(b)
 
-    def score(self, at, tf) -> tuple[float, list[int]]:
-        """Score and the ids of the five nearest examples."""
+    def score(self, at, tf, own=None) -> tuple[float, list]:
+        """Score and the ids of the five nearest examples; `own` is the id of the document itself."""
         at = np.asarray(at, np.int64)
         q = (1 + np.log(np.asarray(tf, float))) * self.idf[at]
         norm = np.sqrt((q ** 2).sum())
         if norm < 1e-9 or not self.blocks:
             return self.blank, []
-        raw, near = self.vote(at, (q / norm).astype(np.float32))
+        raw, near = self.vote(at, (q / norm).astype(np.float32), self.at.get(own, -1))
         z = self.curve[0] * np.log((raw + 1e-3) / (1 - raw + 1e-3)) + self.curve[1]
-        return float(1 / (1 + np.exp(-z))), self.ids[near[:5]].tolist()
+        return float(1 / (1 + np.exp(-z))), [self.ids[i] for i in near[:5]]
 
 
 def held_out(doc_id) -> "F.Column":
@@ -117,7 +129,7 @@ def sample(labels: DataFrame, doc_id: str, label: str, max_rows: int) -> DataFra
     return cut_lineage(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "sample")
 
 
-def label_terms(docs: DataFrame, train: DataFrame, max_terms: int, least: float) -> list[bytes]:
+def label_terms(docs: DataFrame, train: DataFrame, least: float) -> list[bytes]:
     """Terms of the sample's texts whose presence depends on the label, strongest first."""
     texts = docs.join(F.broadcast(train), "doc_id").dropDuplicates(["doc_id"]).select("y", "body")
 
@@ -136,16 +148,16 @@ def label_terms(docs: DataFrame, train: DataFrame, max_terms: int, least: float)
     e = (F.col("p") + F.col("n")) * pos / (pos + neg)
     f = (F.col("p") + F.col("n")) / (pos + neg)
     chi = (F.col("p") - e) ** 2 / (e * (1 - f) * (neg / (pos + neg)) + 1e-9)
-    return [bytes(r.term) for r in counts.where("p + n >= 4").withColumn("chi", chi).where(F.col("chi") >= least).orderBy(F.desc("chi"), "term").limit(max_terms).collect()]
+    return [bytes(r.term) for r in counts.where("p + n >= 4").withColumn("chi", chi).where(F.col("chi") >= least).orderBy(F.desc("chi"), "term").collect()]  # of a bounded sample
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-          max_rows: int = 6000, max_terms: int = 512, least: float = 20.0) -> DataFrame:
+          max_rows: int = 6000, least: float = 20.0) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (ids of the nearest examples) of each row."""
     spark = docs.sparkSession
     df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
     train = sample(labels, doc_id, label, max_rows)
-    vocab = {t: i for i, t in enumerate(label_terms(df, train, max_terms, least))}
+    vocab = {t: i for i, t in enumerate(label_terms(df, train, least))}
     shared = spark.sparkContext.broadcast(vocab)
 
     def vectors(b):
@@ -171,14 +183,15 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def run(b):
         seen: dict = {}
         out = []
-        for at, tf in zip(b.column("at").to_pylist(), b.column("tf").to_pylist()):
-            key = (tuple(at), tuple(tf))
+        for own, at, tf in zip(b.column("doc_id").to_pylist(), b.column("at").to_pylist(), b.column("tf").to_pylist()):
+            own = own if own in index.value.at else None
+            key = (tuple(at), tuple(tf), own)
             if key not in seen:
-                seen[key] = index.value.score(at, tf)
+                seen[key] = index.value.score(at, tf, own)
             out.append(seen[key])
         return {"doc_id": b.column("doc_id"), "score": [s for s, _ in out], "evidence": [e for _, e in out]}
 
-    out = map_batches(vec, run, f"doc_id {kind}, score double, evidence array<long>")
+    out = map_batches(vec, run, f"doc_id {kind}, score double, evidence array<{kind}>")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
