@@ -17,6 +17,7 @@ from ..functions.shape import record_array
 from ..session import cut_lineage
 from .aggregates import across_channels, fixed_count_summary, modal_value
 from .signal import with_halo
+from .wavelets import decompose, reconstruct
 
 # The 16 scaling taps of the Daubechies-8 wavelet.
 DB8 = [
@@ -211,108 +212,17 @@ def max_level(n: Column) -> Column:
     return F.greatest(F.floor(F.log2(n / F.lit(float(len(DB8) - 1)))), F.lit(1)).cast("int")
 
 
-def _analyse(x: np.ndarray, out_idx: np.ndarray, idx: np.ndarray, n: int) -> np.ndarray:
-    """Approximation rows out_idx from the rows `idx` of a length-n signal."""
-    np_ = n + n % 2
-    pos = np.full(np_, -1)
-    pos[idx] = np.arange(len(idx))
-    if n % 2:
-        pos[n] = pos[n - 1]
-    lo = DB8[::-1]
-    acc = np.zeros((len(out_idx), x.shape[1]))
-    for j in range(len(lo)):
-        acc += lo[j] * x[pos[(2 * out_idx + len(lo) // 2 - j) % np_]]
-    return acc
-
-
-def _synthesise(a: np.ndarray, out_idx: np.ndarray, idx: np.ndarray, n_low: int) -> np.ndarray:
-    """Signal rows out_idx from approximation rows `idx` (length n_low)."""
-    np_ = 2 * n_low
-    pos = np.full(n_low, -1)
-    pos[idx] = np.arange(len(idx))
-    lo = DB8[::-1]
-    acc = np.zeros((len(out_idx), a.shape[1]))
-    for j in range(len(lo)):
-        s = (out_idx - len(lo) // 2 + j) % np_
-        even = s % 2 == 0
-        acc[even] += lo[j] * a[pos[s[even] // 2]]
-    return acc
-
-
-def _project(x: np.ndarray, levels: int) -> np.ndarray:
-    """Approximation-only reconstruction of a whole (small) signal."""
-    lengths = []
-    for _ in range(levels):
-        n = len(x)
-        lengths.append(n)
-        x = _analyse(x, np.arange((n + 1) // 2), np.arange(n), n)
-    for n in reversed(lengths):
-        x = _synthesise(x, np.arange(n), np.arange(len(x)), len(x))
-    return x
-
-
-def harmonic_estimate(psr_rows: DataFrame, keys: list[str], idx: str = "cycle_idx", wave: str = "wave_p",
-                      block: int = 4096) -> DataFrame:
+def cycle_subbands(psr_rows: DataFrame, keys: list[str], idx: str = "cycle_idx", wave: str = "wave_p", block: int = 4096) -> DataFrame:
+    """db8 subbands of each channel along the cycle axis, phase by phase, down to the deepest sensible level."""
+    return decompose(psr_rows, keys, idx, wave, max_level(F.col("total")), DB8[::-1], block)
+
+
+def harmonic_estimate(psr_rows: DataFrame, keys: list[str], idx: str = "cycle_idx", wave: str = "wave_p", block: int = 4096) -> DataFrame:
     """Adds `estimate`: per phase, the lowest-band (db8, periodised, deepest
-    level) reconstruction along the cycle axis.
-
-    A channel with at most `block` cycles is transformed in one group of that
-    bounded size. Longer ones first go down level by level: each level is one
-    shuffle of cycle blocks with a 16-row halo, halving the rows, until they
-    fit; and come back up the same way."""
-    n_all = psr_rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    base = psr_rows.select(*keys, F.col(idx).alias("i"), F.col(wave).alias("v")).join(n_all, keys)
-    base = base.withColumn("left", max_level(F.col("n")))
-    cols = [*keys, "i", "v", "n", "left"]
-    schema = base.select(*cols).schema
-    biggest = n_all.agg(F.max("n")).first()[0] or 0       # one number
-    trail = []
-
-    def down(key, pdf):
-        q, n = int(pdf["q"].iloc[0]), int(pdf["n"].iloc[0])
-        pdf = pdf.drop_duplicates("i")
-        n_out = (n + 1) // 2
-        o = np.arange(q * block, min((q + 1) * block, n_out))
-        y = _analyse(np.stack(pdf["v"].to_list()), o, pdf["i"].to_numpy(), n)
-        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in keys}, "i": o, "v": list(y), "n": n_out, "left": pdf["left"].iloc[0] - 1})[cols]
-
-    def up(key, pdf):
-        q, n_low, n_up = int(pdf["q"].iloc[0]), int(pdf["n"].iloc[0]), int(pdf["n_up"].iloc[0])
-        pdf = pdf.drop_duplicates("i")
-        o = np.arange(q * block, min((q + 1) * block, n_up))
-        y = _synthesise(np.stack(pdf["v"].to_list()), o, pdf["i"].to_numpy(), n_low)
-        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in keys}, "i": o, "v": list(y), "n": n_up, "left": pdf["left"].iloc[0] + 1})[cols]
-
-    taps = F.sequence(F.lit(0), F.lit(len(DB8) - 1))
-    half = len(DB8) // 2
-    cur, small = base.select(*cols), []
-    while biggest > block:
-        small.append(cur.where(F.col("n") <= block))
-        big = cur.where(F.col("n") > block)
-        even_n = F.col("n") + F.col("n") % 2
-        copies = F.when((F.col("n") % 2 == 1) & (F.col("i") == F.col("n") - 1), F.array(F.col("i"), F.col("i") + 1)).otherwise(F.array("i"))
-        target = F.array_distinct(F.flatten(F.transform(copies, lambda c: F.transform(
-            F.filter(taps, lambda j: (c - half + j) % 2 == 0), lambda j: F.floor(F.pmod(c - half + j, even_n) / 2 / block)))))
-        sizes = n_all.where(F.col("n") > block) if not trail else trail[-1]
-        trail.append(sizes.select(*keys, F.ceil(F.col("n") / 2).cast("bigint").alias("n"), F.col("n").alias("n_up")).where(F.col("n_up") > block))
-        cur = cut_lineage(big.withColumn("q", F.explode(target)).groupBy(*keys, "q").applyInPandas(down, schema), "down")
-        biggest = (biggest + 1) // 2
-    small.append(cur)
-
-    def whole(key, pdf):
-        pdf = pdf.sort_values("i")
-        y = _project(np.stack(pdf["v"].to_list()), int(pdf["left"].iloc[0]))
-        return pdf.assign(v=list(y))[cols]
-
-    done = small.pop().groupBy(*keys).applyInPandas(whole, schema)
-    for sizes in reversed(trail):
-        r = done.join(sizes.select(*keys, "n", "n_up"), [*keys, "n"])
-        reach = F.array_distinct(F.transform(taps, lambda j: F.pmod(2 * F.col("i") + half - j, 2 * F.col("n"))))
-        target = F.array_distinct(F.transform(F.filter(reach, lambda s: s < F.col("n_up")), lambda s: F.floor(s / block)))
-        up_rows = r.withColumn("q", F.explode(target)).groupBy(*keys, "q").applyInPandas(up, schema)
-        done = cut_lineage(up_rows.unionByName(small.pop().groupBy(*keys).applyInPandas(whole, schema)), "up")
-    est = done.select(*keys, F.col("i").alias(idx), F.col("v").alias("estimate"))
-    return psr_rows.join(est, [*keys, idx])
+    level) reconstruction along the cycle axis."""
+    low = cycle_subbands(psr_rows, keys, idx, wave, block).where("band = 'a'")
+    est = reconstruct(low, keys, DB8[::-1], block)
+    return psr_rows.join(est.select(*keys, F.col("i").alias(idx), F.col("v").alias("estimate")), [*keys, idx])
 
 
 def split_energies(d: DataFrame, wave: str = "wave_p", estimate: str = "estimate") -> DataFrame:

@@ -134,14 +134,51 @@ def _(t):
     return cy.psr(valid_of(t), KEYS).select(*KEYS, "start_i", "P", "wave_p")
 
 
-@query("sig20_harmonic_estimate")
-def _(t):
+def wavelet_sql(source: str, levels: int = 10) -> str:
+    """Subbands a1, d1, .. of the signals (label, i, ph, v) of `source`, level by level as sums over taps, and the estimate
+    e0 that comes back from the deepest approximation. A level holds the signals that are deep enough."""
+    taps = cy.DB8[::-1]
+    high = [v * (-1) ** j for j, v in enumerate(taps[::-1])]
+    out = [f"t as (select * from (values {', '.join(f'({j}, {lo!r}::double, {hi!r}::double)' for j, (lo, hi) in enumerate(zip(taps, high)))}) t(j, lo, hi))",
+           f"a0 as ({source})", "sz as (select label, count(distinct i) as n0, greatest(floor(log2(count(distinct i) / 1.5e1)), 1) as depth from a0 group by 1)"]
+    for k in range(1, levels + 1):
+        n = f"cast(ceil(n0 / {2 ** (k - 1)}e0) as bigint)"
+        out.append(f"""b{k} as (select o.label, o.o as i, a.ph, sum(t.lo * a.v) as a, sum(t.hi * a.v) as d from (select label, {n} as n, unnest(range(0, ({n} + 1) // 2)) as o from sz where depth >= {k}) o
+          cross join t join a{k - 1} a on a.label = o.label and a.i = least((2 * o.o + 8 - t.j + 16 * (o.n + o.n % 2)) % (o.n + o.n % 2), o.n - 1) group by 1, 2, 3)""")
+        out.append(f"a{k} as (select label, i, ph, a as v from b{k})")
+    for k in range(levels, 0, -1):
+        n = f"cast(ceil(n0 / {2 ** (k - 1)}e0) as bigint)"
+        deeper = f" union all select * from e{k}" if k < levels else ""
+        out.append(f"u{k} as (select a.* from a{k} a join sz on sz.label = a.label where depth = {k}{deeper})")
+        out.append(f"""e{k - 1} as (select label, i, ph, sum(v) as v from (select u.label, (2 * u.i + 8 - t.j + 16 * ({n} + {n} % 2)) % ({n} + {n} % 2) as i, u.ph, t.lo * u.v as v, {n} as n from u{k} u join sz on sz.label = u.label cross join t) x
+          where i < n group by 1, 2, 3)""")
+    return "with " + ",\n".join(out)
+
+
+BY_LABEL = """select label, row_number() over (partition by label, ph order by vec_id) - 1 as i, ph, v from (select label, vec_id, unnest(range(0, 64)) as ph, unnest(embedding)::double as v from embeddings) x"""
+
+
+def label_cycles(t):
     """All vectors of one label value taken as the cycles of one channel."""
     from ..functions.ordered import dense_index
     d = t.embeddings.select("label", "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("wave_p"))
-    d = cut_lineage(dense_index(d, ["label"], F.col("vec_id"), "vec_id", name="cycle_idx").drop("cycle_idx_n"))
-    e = cy.split_energies(cy.harmonic_estimate(d, ["label"]))
-    return e.select("label", "vec_id", "detail_energy", "harmonic_energy", "hi_ratio")
+    return cut_lineage(dense_index(d, ["label"], F.col("vec_id"), "vec_id", name="cycle_idx").drop("cycle_idx_n"))
+
+
+@query("sig20_harmonic_estimate", wavelet_sql(BY_LABEL) + """, id as (select label, vec_id, row_number() over (partition by label order by vec_id) - 1 as i from embeddings)
+  select id.label, vec_id, round(sum((a.v - e.v) * (a.v - e.v)), 6) as detail_energy, round(sum(e.v * e.v), 6) as harmonic_energy, round(case when sum((a.v - e.v) * (a.v - e.v)) > 1e-12 then sum(e.v * e.v) / sum((a.v - e.v) * (a.v - e.v)) end, 6) as hi_ratio
+  from id join a0 a on a.label = id.label and a.i = id.i join e0 e on e.label = a.label and e.i = a.i and e.ph = a.ph group by 1, 2""")
+def _(t):
+    e = cy.split_energies(cy.harmonic_estimate(label_cycles(t), ["label"]))
+    return e.select("label", "vec_id", F.round("detail_energy", 6).alias("detail_energy"), F.round("harmonic_energy", 6).alias("harmonic_energy"), F.round("hi_ratio", 6).alias("hi_ratio"))
+
+
+@query("sig22_subband_energy", wavelet_sql(BY_LABEL) + " select * from (" + " union all ".join(
+    f"select label, {k} as level, 'd' as band, round(sum(d * d), 6) as energy from b{k} group by 1 union all select b.label, {k}, 'a', round(sum(a * a), 6) from b{k} b join sz on sz.label = b.label where depth = {k} group by 1" for k in range(1, 11)) + ") x")
+def _(t):
+    """Energy of every subband."""
+    d = cy.cycle_subbands(label_cycles(t), ["label"])
+    return d.groupBy("label", "level", "band").agg(F.round(F.sum(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v)), 6).alias("energy"))
 
 
 @query("sig22_reconstruction_error", "select distinct cast(floor(vec_id / 100) as bigint) as label, true as ok from embeddings")

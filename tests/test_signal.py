@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cohortwave.operators import cycles as cy, events as ev, signal as sg, spectral as sp
+from cohortwave.operators import cycles as cy, events as ev, signal as sg, spectral as sp, wavelets as wv
 
 
 def blocks(spark, x, block, rec=1, channel="c0"):
@@ -94,20 +94,79 @@ def test_db8_is_orthonormal():
         assert abs((h[2 * k:] * h[:len(h) - 2 * k]).sum() - (k == 0)) < 1e-9
 
 
+def split(n):
+    """Matrices of one level for n samples: low and high band, periodised, the last sample twice where n is odd."""
+    low, even = (n + 1) // 2, n + n % 2
+    lo = np.array(cy.DB8[::-1])
+    out = []
+    for f in (lo, lo[::-1] * (-1.0) ** np.arange(16)):
+        m = np.zeros((low, n))
+        for o in range(low):
+            for j in range(16):
+                m[o, min((2 * o + 8 - j) % even, n - 1)] += f[j]
+        out.append(m)
+    return out
+
+
+def join(n):
+    """Matrices from both bands back to n samples."""
+    low, even = (n + 1) // 2, n + n % 2
+    lo = np.array(cy.DB8[::-1])
+    out = []
+    for f in (lo, lo[::-1] * (-1.0) ** np.arange(16)):
+        m = np.zeros((even, low))
+        for o in range(low):
+            for j in range(16):
+                m[(2 * o + 8 - j) % even, o] += f[j]
+        out.append(m[:n])
+    return out
+
+
+def project(x, levels):
+    if not levels:
+        return x
+    return join(len(x))[0] @ project(split(len(x))[0] @ x, levels - 1)
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_all_subbands_give_the_signal_back(spark, block):
+    r = np.random.default_rng(block)
+    sizes = {"a": 1, "b": 2, "c": 7, "d": 31, "e": 64, "f": 121, "g": 260}
+    x = {k: r.normal(size=(n, 3)) for k, n in sizes.items()}
+    rows = [(k, i, v.tolist()) for k, m in x.items() for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "k string, i long, v array<double>").repartition(4)
+    bands = wv.decompose(df, ["k"], "i", "v", cy.max_level(F.col("total")), cy.DB8[::-1], block)
+    got = {}
+    for q in bands.collect():
+        got.setdefault((q.k, q.level, q.band), {})[q.i] = q.v
+    for k, m in x.items():
+        levels = max(1, int(np.floor(np.log2(len(m) / 15)))) if len(m) > 15 else 1
+        for level in range(1, levels + 1):
+            lo, hi = split(len(m))
+            d = got[k, level, "d"]
+            assert np.allclose([d[i] for i in range(len(d))], hi @ m, atol=1e-12) and len(d) == len(hi)
+            m = lo @ m
+        a = got[k, levels, "a"]
+        assert np.allclose([a[i] for i in range(len(a))], m, atol=1e-12) and (k, levels + 1, "d") not in got
+    back = wv.reconstruct(bands, ["k"], cy.DB8[::-1], block).collect()
+    assert len(back) == len(rows) and all(np.abs(np.array(q.v) - x[q.k][q.i]).max() < 1e-10 for q in back)
+    assert wv.decompose(df.limit(0), ["k"], "i", "v", F.lit(1), cy.DB8[::-1]).count() == 0
+
+
 @pytest.mark.parametrize("n", [64, 65, 200, 333])
 def test_wavelet_split_in_blocks_equals_whole(spark, n):
     r = np.random.default_rng(n)
     w = r.normal(size=(n, 50)) + np.linspace(0, 3, 50)
     df = spark.createDataFrame([("a", i, [float(v) for v in w[i]]) for i in range(n)], "k string, cycle_idx long, wave_p array<double>")
     levels = max(1, int(np.floor(np.log2(n / 15))))
-    want = cy._project(w, levels)
+    want = project(w, levels)
     for block in (4096, 40):
         got = np.stack(cy.harmonic_estimate(df, ["k"], block=block).toPandas().sort_values("cycle_idx")["estimate"].to_list())
         assert got.shape == w.shape and np.allclose(got, want, atol=1e-9)
     if n % 2 ** levels == 0:                     # orthogonal projection
         assert abs((want ** 2).sum() + ((w - want) ** 2).sum() - (w ** 2).sum()) < 1e-6
     const = np.ones((n, 50))
-    assert np.allclose(cy._project(const, levels), const, atol=1e-9)
+    assert np.allclose(project(const, levels), const, atol=1e-9)
 
 
 def test_dft_resample(spark):
