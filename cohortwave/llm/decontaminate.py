@@ -121,3 +121,21 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     keyed = docs.withColumn(row, row_key(docs))
     bad = cut_lineage(scan(keyed, read(spark, sf_dir, "benchmark"), [row]).where("contaminated").select(row).distinct(), "contaminated")
     return join_bounded(keyed, bad, row, "left_anti").drop(row)
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Windows as text, joined with all windows of their length in the documents.
+OP9_SQL = f"""
+with it as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
+  wi as (select distinct item, least(len(w), {WIDTH}) as k, unnest(list_transform(range(1, len(w) - least(len(w), {WIDTH}) + 2), lambda i: array_to_string(w[i:i + least(len(w), {WIDTH}) - 1], ' '))) as s from it where len(w) > 0),
+  dw as (select doc_id, {_WORDS} as w from documents),
+  dn as (select doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as s, unnest(range(1, len(w) - k + 2)) as i
+         from dw join (select distinct k from wi) ks on len(w) >= k),
+  hit as (select distinct doc_id, i, wi.k, item from dn join wi on wi.k = dn.k and wi.s = dn.s),
+  nh as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + k)) as p from hit) x group by 1),
+  its as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from hit) x group by 1)
+select dw.doc_id, len(w)::bigint as n_words, coalesce(nh.n, 0)::bigint as n_hit, coalesce(its.n, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(nh.n, 0) > 0 and 20 * coalesce(nh.n, 0) >= len(w) as contaminated
+from dw left join nh on nh.doc_id = dw.doc_id left join its on its.doc_id = dw.doc_id
+"""

@@ -353,6 +353,20 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(read(spark, sf_dir, "documents"))
 
 
+#: Pairs that share a shingle, counted, and the closure of those that link.
+OP10_SQL = f"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') as w from documents),
+  sh as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - {K} + 1, 1) + 1), lambda i: array_to_string(w[i:i + {K} - 1], ' '))) as s from w where len(w) > 0),
+  n as (select doc_id, count(*) as n from sh group by 1),
+  both_ as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+  link as (select a, b from both_ join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= {PERCENT} * (x.n + y.n - c)),
+  edge as (select a, b from link union all select b, a from link),
+  reach(a, b) as (select doc_id, doc_id from n union select reach.a, edge.b from reach join edge on edge.a = reach.b)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(least_, w.doc_id) as component_id
+from w left join n on n.doc_id = w.doc_id left join (select a, min(b) as least_ from reach group by 1) r on r.a = w.doc_id
+"""
+
+
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class: of its text with the smallest id (ties: smallest digest; a null id comes last),
     the row with that id, and one row where it is repeated. Decided by id and text together, so other texts

@@ -1,9 +1,9 @@
 """The queries of this package and, where SQL can say it, their counterparts."""
 from __future__ import annotations
 
-from .decontaminate import op9_benchmark_decontamination
+from .decontaminate import OP9_SQL, op9_benchmark_decontamination
 from .fingerprints import OP12_SQL, op12_document_fingerprints
-from .jaccard import op10_ngram_jaccard
+from .jaccard import OP10_SQL, op10_ngram_jaccard
 from .licenses import op6_license_scan
 from .packing import op3_packing
 from .passages import op5_repeated_passages
@@ -17,4 +17,4 @@ from .urls import op2_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filter, op3_packing, op4_toxicity, op5_repeated_passages, op6_license_scan, op7_quality_rules, op8_secret_scan, op9_benchmark_decontamination, op10_ngram_jaccard,
                                    op11_phrase_collocations, op12_document_fingerprints, op13_periodic_runs)}
-ORACLE: dict[str, str] = {"op11_phrase_collocations": OP11_SQL, "op12_document_fingerprints": OP12_SQL, "op13_periodic_runs": OP13_SQL}
+ORACLE: dict[str, str] = {"op9_benchmark_decontamination": OP9_SQL, "op10_ngram_jaccard": OP10_SQL, "op11_phrase_collocations": OP11_SQL, "op12_document_fingerprints": OP12_SQL, "op13_periodic_runs": OP13_SQL}
