@@ -9,8 +9,8 @@ cycle: the lengths are interleaved, and a phrase whose words are frequent need
 not wait for the words' cycle to end. A phrase of `least` occurrences has
 subphrases of as many, so none is missed, and its count is over the whole corpus.
 
-In Spark: texts are cut into words once and written as rows of a million or two
-of word numbers with their list of words, dealt evenly to the shards. A step scans
+In Spark: texts are cut into words once and written as rows of about a million
+word numbers with their list of words, dealt evenly to the shards. A step scans
 one shard; a task finds the active phrases of a row in arrays, and sends each once
 with its count. One shuffle by
 (language, phrase) adds them to the counters still in their cycle; a counter that
@@ -193,7 +193,7 @@ def _reached(new: DataFrame, slots: int) -> list[tuple[int, int, bytes]]:
 
 
 def counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10, shards: int = 3,
-           most_slots: int = 1 << 25, most_words: int = 2_000_000) -> DataFrame:
+           most_slots: int = 1 << 25, most_words: int = 1_000_000) -> DataFrame:
     """As `_counts`, its shuffles removed step by step."""
     with short_shuffles(docs.sparkSession):
         return _counts(docs, text, lang, longest, least, shards, most_slots, most_words)
@@ -205,7 +205,7 @@ def _counts(docs: DataFrame, text: str, lang: str, longest: int, least: int, sha
     body = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("body")).where("body <> ''")
     coded = cut_lineage(body.mapInArrow(_encode(shards, most_words), "shard int, lang string, words array<binary>, ids binary"), "words")
     words = coded.agg(F.sum(F.length("ids")).alias("b")).first()["b"] or 0
-    slots = min(most_slots, 1 << max(16, math.ceil(math.log2(words / 16 + 1))))
+    slots = min(most_slots, 1 << max(16, math.ceil(math.log2(words / 4 + 1))))
     tables = [np.zeros(slots, np.uint8) for _ in range(longest - 1)]
     state, done = None, []
     for step in itertools.count():
@@ -217,7 +217,8 @@ def _counts(docs: DataFrame, text: str, lang: str, longest: int, least: int, sha
             seen = seen.unionByName(state.where(F.col("since") + shards > step).drop("fresh"))
         ended = F.col("since") + shards <= step + 1
         keep = F.col("reached") | (F.col("phrase") == "")
-        g = seen.groupBy("lang", "phrase").agg(F.sum("c").alias("c"), F.min("since").alias("since"), F.max("reached").alias("was"))
+        # rows of a task are distinct already, so they are dealt out before any of them is added
+        g = seen.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("c").alias("c"), F.min("since").alias("since"), F.max("reached").alias("was"))
         g = g.select("lang", "phrase", "c", "since", (F.col("c") >= least).alias("reached"), (~F.col("was") & (F.col("c") >= least)).alias("fresh"))
         state = cut_lineage(g.where(keep | ~ended), "counters")
         shared.destroy()
