@@ -110,6 +110,20 @@ def features_of(t):
     return cut_lineage(cy.cycle_features(cy.psr(v, KEYS), st, KEYS), "features"), st
 
 
+# one step of all recordings at a time: the crossing nearest to the last boundary plus the median of the last five gaps
+LOCKED = """, st(rec, xs, t, gaps, t0) as (select rec, xs, xs[1], []::bigint[], null::bigint from xs
+    union all select rec, xs, nxt, list_append(gaps, nxt - t)[-5:], t from (select *, list_reduce(later, lambda a, b: case when abs(b - target) < abs(a - target) then b else a end) as nxt
+      from (select *, t + coalesce(list_aggregate(gaps, 'median'), later[1] - t) as target from (select *, list_filter(xs, lambda x: x > t) as later from st) u where len(later) > 0) v) w)"""
+
+
+@query("win4_locked_crossings", with_roles(""", x as (select rec, block_id * 64 + i - 1 as i, samples[i]::double as v from (select rec, block_id, samples, unnest(range(1, 65)) as i from long_signal) q),
+  z as (select *, lag(v) over (partition by rec order by i) as pv from x), xs as (select rec, list(cast(i as bigint) order by i) as xs from z where pv < 0 and v >= 0 group by 1)""" + LOCKED
+    + " select rec, 0::bigint as channel, t0 as start_i, t as end_i from st where t0 is not null", "long_signal").replace("with ", "with recursive ", 1))
+def _(t):
+    """The scan over the crossings of the unfiltered signal, in chunks of two blocks."""
+    return cy.phase_locked_cycles(cy.crossings(t.long_signal.drop("label"), KEYS, B), KEYS, 2)
+
+
 @query("win4_phase_locked_boundaries")
 def _(t):
     return locked(t)[1]

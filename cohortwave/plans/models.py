@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ..functions.rng import hash_int
 from ..operators import aggregates as ag, crossval as cv, models as md, quality as dq, stattests as st
 from ..session import cut_lineage, scratch_path
-from ..streaming import stream as sm
+from ..streaming import stream as sm, timed as tm
 from .bindings import with_roles
+from .cycles import LOCKED
 from .registry import ORACLE, query
 from .stats import AUC, hash_sql
 
@@ -299,6 +300,22 @@ def _(t):
     return sm.drain(sm.live_boundaries(a, "rec", "i"), "str4")
 
 
+@query("str3_timed_marker_gaps", with_roles(""", g as (select *, lead(onset_s) over (partition by rec order by onset_s, event_id) as nx from annotations)
+  select rec, event_id, round(nx - onset_s, 6) as gap_s, coalesce(nx - onset_s >= 1.2e4, false) as kept from g where description like '%S  4'""", "annotations"))
+def _(t):
+    """In event time, up to and with each recording's last marker."""
+    d = tm.drain_to_end(lambda: t.stream("annotations").withColumn("ts", F.col("ts").cast("timestamp")), lambda s: tm.timed_marker_gaps(s, "rec", "ts", 4, 12000.0, "1 hour", 1e8), "rec", "ts", "str3t")
+    return d.select("rec", "event_id", F.round("gap_s", 6).alias("gap_s"), "kept")
+
+
+@query("str4_timed_boundaries", with_roles(", xs as (select rec, list(distinct cast(floor(onset_s) as bigint) order by cast(floor(onset_s) as bigint)) as xs from annotations group by 1)" + LOCKED
+                                         + " select rec, t0 as start_i, t as end_i from st where t0 is not null", "annotations").replace("with ", "with recursive ", 1))
+def _(t):
+    """In event time, up to each recording's last crossing."""
+    rows = lambda: t.stream("annotations").select("rec", F.col("ts").cast("timestamp").alias("ts"), F.floor("onset_s").alias("i"))
+    return tm.drain_to_end(rows, lambda s: tm.timed_boundaries(s, "rec", "ts", "i", "1 hour", 1e8), "rec", "ts", "str4t")
+
+
 @query("str5_quarantine_branch", with_roles("select case when bytes % 7 = 0 then 'quarantine' else 'good' end as side, count(*) as n, cast(sum(bytes) as bigint) as bytes from survey group by 1", "survey"))
 def _(t):
     good, bad = sm.quarantine(t.stream("survey"), F.col("bytes") % 7 == 0, scratch_path(t.spark, "str5"), "listing")
