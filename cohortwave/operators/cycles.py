@@ -41,7 +41,8 @@ def crossings(blocks: DataFrame, keys: list[str], block_len: int) -> DataFrame:
 
 def _follow(entry_t, entry_gaps, cross, after, more, window):
     """Boundary scan over one chunk. Returns (pairs, exit_t, exit_gaps): the
-    steps whose start lies in this chunk and the state handed on."""
+    steps whose start lies in this chunk and the state handed on; None where
+    the crossings ahead do not reach as far as a step."""
     own_last = cross[-1]
     ahead = np.concatenate([cross, after])
     gaps = list(entry_gaps)
@@ -55,7 +56,7 @@ def _follow(entry_t, entry_gaps, cross, after, more, window):
         target = t + period
         k = int(np.searchsorted(ahead, target, side="left"))
         if k >= len(ahead) and more:
-            raise ValueError("a period reaches past the following chunk; use longer chunks")
+            return None
         options = [c for c in (k - 1, k) if lo <= c < len(ahead)] or [lo]
         best = min(options, key=lambda c: (abs(ahead[c] - target), c))
         nxt = int(ahead[best])
@@ -65,8 +66,7 @@ def _follow(entry_t, entry_gaps, cross, after, more, window):
     return pairs, int(t), [int(g) for g in gaps]
 
 
-def phase_locked_cycles(cross: DataFrame, keys: list[str], blocks_per_chunk: int, window: int = 5,
-                        max_rounds: int = 1000) -> DataFrame:
+def phase_locked_cycles(cross: DataFrame, keys: list[str], blocks_per_chunk: int, window: int = 5) -> DataFrame:
     """(keys, start_i, end_i) of consecutive phase-locked boundaries.
 
     The next boundary is the crossing nearest to the last one plus the median
@@ -75,7 +75,17 @@ def phase_locked_cycles(cross: DataFrame, keys: list[str], blocks_per_chunk: int
     entry state turns out different is scanned again. The loop ends when every
     entry state equals its predecessor's exit state, which is the sequential
     result; the scan forgets its start within a few cycles, so two or three
-    rounds are normal."""
+    rounds are normal, and every round settles at least one chunk more. A chunk
+    sees the crossings of the next one; where a step is longer than that, of as
+    many as it needs."""
+    ahead = 1
+    while (out := _locked(cross, keys, blocks_per_chunk, window, ahead)) is None:
+        ahead *= 2
+    return out
+
+
+def _locked(cross: DataFrame, keys: list[str], blocks_per_chunk: int, window: int, ahead: int) -> DataFrame | None:
+    """The scan with the crossings of `ahead` further chunks; None where they are too few."""
     chunk = F.floor(F.col("block_id") / blocks_per_chunk)
     c = cross.where(F.size("cross") > 0).groupBy(*keys, chunk.alias("chunk")).agg(
         F.array_sort(F.flatten(F.collect_list("cross"))).alias("cross"))
@@ -84,13 +94,14 @@ def phase_locked_cycles(cross: DataFrame, keys: list[str], blocks_per_chunk: int
     seq = c.select(*keys, "chunk").withColumn("seq", F.row_number().over(w)).withColumn(
         "n_seq", F.count(F.lit(1)).over(W.partitionBy(*keys)))
     c = cut_lineage(c.join(seq, [*keys, "chunk"]).drop("chunk"), "crossings")
-    nxt = c.select(*keys, (F.col("seq") - 1).alias("seq"), F.col("cross").alias("after"))
+    nxt = c.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(ahead))).alias("d"), "seq", "cross")
+    nxt = nxt.groupBy(*keys, (F.col("seq") - F.col("d")).alias("seq")).agg(F.flatten(F.array_sort(F.collect_list("cross"))).alias("after"))
     rows = cut_lineage(c.join(nxt, [*keys, "seq"], "left").select(
         *keys, "seq", "cross", F.coalesce("after", F.array().cast("array<bigint>")).alias("after"),
-        (F.col("seq") + 1 < F.col("n_seq")).alias("more")), "chunks")
+        (F.col("seq") + ahead < F.col("n_seq")).alias("more")), "chunks")
     longs = T.ArrayType(T.LongType())
     schema = rows.select(*keys, "seq").schema
-    for name, ty in (("exit_t", T.LongType()), ("exit_gaps", longs), ("entry_t", T.LongType()), ("entry_gaps", longs), ("starts", longs), ("ends", longs)):
+    for name, ty in (("exit_t", T.LongType()), ("exit_gaps", longs), ("entry_t", T.LongType()), ("entry_gaps", longs), ("starts", longs), ("ends", longs), ("short", T.BooleanType())):
         schema = schema.add(name, ty)
 
     def scan(batches):
@@ -99,13 +110,14 @@ def phase_locked_cycles(cross: DataFrame, keys: list[str], blocks_per_chunk: int
             for r in pdf.itertuples(index=False):
                 fresh = bool(r.fresh)
                 if not fresh:
-                    out.append((r.exit_t, r.exit_gaps, r.entry_t, r.entry_gaps, r.starts, r.ends))
+                    out.append((r.exit_t, r.exit_gaps, r.entry_t, r.entry_gaps, r.starts, r.ends, False))
                     continue
                 t0 = None if r.new_t is None or pd.isna(r.new_t) else int(r.new_t)
                 g0 = [] if r.new_gaps is None else [int(g) for g in r.new_gaps]
-                pairs, t, gaps = _follow(t0, g0, np.asarray(r.cross), np.asarray(r.after, dtype=np.int64), bool(r.more), window)
-                out.append((t, gaps, t0, g0, [p[0] for p in pairs], [p[1] for p in pairs]))
-            res = pd.DataFrame(out, columns=["exit_t", "exit_gaps", "entry_t", "entry_gaps", "starts", "ends"])
+                found = _follow(t0, g0, np.asarray(r.cross), np.asarray(r.after, dtype=np.int64), bool(r.more), window)
+                pairs, t, gaps = found or ([], None, None)
+                out.append((t, gaps, t0, g0, [p[0] for p in pairs], [p[1] for p in pairs], found is None))
+            res = pd.DataFrame(out, columns=["exit_t", "exit_gaps", "entry_t", "entry_gaps", "starts", "ends", "short"])
             for col in ("exit_t", "entry_t"):
                 res[col] = res[col].astype("Int64")
             yield pd.concat([pdf[[*keys, "seq"]].reset_index(drop=True), res], axis=1)
@@ -115,7 +127,9 @@ def phase_locked_cycles(cross: DataFrame, keys: list[str], blocks_per_chunk: int
                         *[F.lit(None).cast("bigint").alias(n) for n in ("exit_t", "entry_t")],
                         *[empty.alias(n) for n in ("exit_gaps", "entry_gaps", "starts", "ends")])
     state = cut_lineage(first.mapInPandas(scan, schema), "scan")
-    for _ in range(max_rounds):
+    while True:
+        if not state.where("short").isEmpty():
+            return None
         hand = state.select(*keys, (F.col("seq") + 1).alias("seq"), F.col("exit_t").alias("new_t"), F.col("exit_gaps").alias("new_gaps"))
         j = state.join(hand, [*keys, "seq"], "left")
         fresh = (F.col("seq") > 1) & ~(F.col("new_t").eqNullSafe(F.col("entry_t")) & F.col("new_gaps").eqNullSafe(F.col("entry_gaps")))
@@ -123,8 +137,6 @@ def phase_locked_cycles(cross: DataFrame, keys: list[str], blocks_per_chunk: int
         if j.where("fresh").isEmpty():
             break
         state = cut_lineage(j.join(rows, [*keys, "seq"]).mapInPandas(scan, schema), "scan")
-    else:
-        raise RuntimeError("boundary scan did not settle")
     z = state.select(*keys, F.explode(F.arrays_zip("starts", "ends")).alias("z"))
     return z.select(*keys, F.col("z.starts").alias("start_i"), F.col("z.ends").alias("end_i"))
 

@@ -76,6 +76,17 @@ def sequential(cross, window=5):
         b.append(nxt)
 
 
+def test_steps_longer_than_the_next_chunks(spark):
+    """Chunks of a few crossings: a step reaches over several of them."""
+    r = np.random.default_rng(6)
+    cross = np.unique(np.concatenate([[0, 900, 1000], np.arange(1010, 1060, 10), 1900 + np.arange(0, 400, 7), np.cumsum(r.integers(300, 900, 12)) + 2400]))
+    rows = [(1, "a", int(b), [int(v) for v in cross[cross // 20 == b]]) for b in range(int(cross[-1]) // 20 + 1)]
+    c = spark.createDataFrame(rows, "rec int, channel string, block_id long, cross array<long>")
+    got = cy.phase_locked_cycles(c, KEYS, 1).toPandas().sort_values("start_i")
+    want = sequential(cross)
+    assert list(zip(got.start_i, got.end_i)) == list(zip(want[:-1], want[1:]))
+
+
 @pytest.mark.parametrize("per", [1, 2, 50])
 def test_phase_locked_equals_sequential(spark, per):
     r = np.random.default_rng(5)
