@@ -12,6 +12,9 @@ LIMITS = {"bad_channels_warn": 4, "bad_channels_fail": 8, "occipital_warn": 3, "
           "ica_removed_frac_warn": 0.25, "ica_removed_frac_fail": None, "artifact_frac_warn": 0.20, "artifact_frac_fail": 0.40,
           "line_noise_before": 1.5, "line_noise_after": 1.5, "min_duration_frac": 0.6, "alpha_tasks": ["rest"],
           "max_bad_channels": 10, "max_occipital_bads": 5, "notch_width_hz": 1.0, "margin_hz": 0.5}
+# Texts of flags that readers of the verdict table match.
+LINE_TEXT = ("line-noise removal failed: 50 Hz index ", " after treatment (before ", ")")
+ALPHA_TEXT = "no identifiable alpha peak (rest)"
 LABEL_COLUMNS = {"group", "label", "labels", "risk_vs_none", "high_vs_lownormal", "task1_risk_vs_norisk",
                  "task2_high_vs_lownormal", "task3_multiclass", "multiclass"}
 
@@ -56,10 +59,10 @@ def classify(d: DataFrame, limits: dict = LIMITS) -> DataFrame:
     ica = _over(frac, F.concat(_pct(frac), F.lit(" ICA removed")), q["ica_removed_frac_warn"], q["ica_removed_frac_fail"], pct(q["ica_removed_frac_warn"]), pct(q["ica_removed_frac_fail"]))
     art = _over(F.col("artifact_frac"), F.concat(F.lit("artifact "), _pct(F.col("artifact_frac"))), q["artifact_frac_warn"], q["artifact_frac_fail"], pct(q["artifact_frac_warn"]), pct(q["artifact_frac_fail"]))
     line = F.when((F.coalesce("line_before", F.lit(0.0)) > q["line_noise_before"]) & (F.coalesce("line_after", F.lit(0.0)) > q["line_noise_after"]),
-                  F.concat(F.lit("line-noise removal failed: 50 Hz index "), s("line_after"), F.lit(" after treatment (before "), s("line_before"), F.lit(")")))
+                  F.concat(F.lit(LINE_TEXT[0]), s("line_after"), F.lit(LINE_TEXT[1]), s("line_before"), F.lit(LINE_TEXT[2])))
     need = F.col("expected_s") * F.lit(q["min_duration_frac"])
     trunc = F.when((F.col("expected_s") != 0) & (F.col("duration_s") < need), F.concat(F.lit("truncated: "), _num(F.col("duration_s")), F.lit("s < "), _num(need), F.lit("s expected")))
-    alpha = F.when(tx.task_key(F.col("task")).isin(q["alpha_tasks"]) & ~F.coalesce("alpha_present", F.lit(False)), F.lit("no identifiable alpha peak (rest)"))
+    alpha = F.when(tx.task_key(F.col("task")).isin(q["alpha_tasks"]) & ~F.coalesce("alpha_present", F.lit(False)), F.lit(ALPHA_TEXT))
     fails = F.array_compact(F.array(bad[0], occ[0], ica[0], art[0], line, trunc, alpha))
     warns = F.array_compact(F.array(bad[1], occ[1], ica[1], art[1]))
     out = d.withColumn("__f", fails).withColumn("__w", warns)

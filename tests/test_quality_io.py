@@ -10,30 +10,32 @@ from cohortwave.streaming import stream as sm
 
 
 def sidecar(**over):
-    d = {"ParticipantID": "sub-01", "TaskName": "rest", "BadChannels": {"n": 1, "names": ["O1"], "occipital_bads": 0},
-         "ICA": {"n_components": 30, "excluded_components": [1], "excluded_labels": ["eye blink"], "labeling": "x"},
-         "Duration": {"s": 600.0, "n_samples_final": 300000}, "LineNoisePower": {"before_index": 4.0, "after_index": 1.1},
-         "LineNoiseRemoval": {"method": "notch"}, "ArtifactAnnotation": {"fraction": 0.05},
-         "IAF": {"iaf_hz": 11.0, "peak_height_db": 5.0, "present": True}, "IAFWindow": {"method": "m", "tmin_s": 1.0, "tmax_s": 200.0}}
+    """A recording that passes, with the fields of `over` changed."""
+    d = {"TaskName": "rest", "Duration": {"n_samples_final": 135000, "s": 540.0},
+         "IAF": {"present": True, "peak_height_db": 6.2, "iaf_hz": 9.4}, "IAFWindow": {"tmin_s": 12.5, "tmax_s": 150.0, "method": "closed"},
+         "ArtifactAnnotation": {"fraction": 0.11}, "LineNoiseRemoval": {"method": "comb"}, "LineNoisePower": {"after_index": 0.9, "before_index": 3.2},
+         "ICA": {"labeling": "net", "n_components": 24, "excluded_components": [0, 3], "excluded_labels": ["heart beat", "eye blink"]},
+         "BadChannels": {"occipital_bads": 1, "names": ["F7", "T8"], "n": 2}}
     for k, v in over.items():
         d[k] = {**d[k], **v} if isinstance(v, dict) else v
     return d
 
 
 CASES = [
+    (sidecar(Duration={"s": 210.0}), "fail", "truncated: 210s < 360s expected"),
+    (sidecar(ICA={"excluded_components": list(range(3, 12))}), "warn", "38% ICA removed (> 25%)"),
     (sidecar(), "pass", ""),
-    (sidecar(LineNoisePower={"after_index": 2.5}), "fail", "line-noise removal failed: 50 Hz index 2.5 after treatment (before 4.0)"),
-    (sidecar(LineNoisePower={"before_index": 1.1}), "pass", ""),
-    (sidecar(BadChannels={"n": 5}), "warn", "5 bad channels (> 4)"),
-    (sidecar(BadChannels={"n": 8}), "fail", "8 bad channels (>= 8)"),
-    (sidecar(BadChannels={"occipital_bads": 5}), "fail", "5 occipital bads (>= 5)"),
-    (sidecar(ArtifactAnnotation={"fraction": 0.3}), "warn", "artifact 30% (> 20%)"),
-    (sidecar(ArtifactAnnotation={"fraction": 0.4}), "fail", "artifact 40% (>= 40%)"),
-    (sidecar(ICA={"excluded_components": list(range(12))}), "warn", "40% ICA removed (> 25%)"),
-    (sidecar(IAF={"present": False}), "fail", "no identifiable alpha peak (rest)"),
-    (sidecar(TaskName="task-rest", IAF={"present": False}), "fail", "no identifiable alpha peak (rest)"),
-    (sidecar(TaskName="msit", IAF={"present": False}), "pass", ""),
-    (sidecar(Duration={"s": 300.0}), "fail", "truncated: 300s < 360s expected"),
+    (sidecar(BadChannels={"n": 6}), "warn", "6 bad channels (> 4)"),
+    (sidecar(BadChannels={"n": 11}), "fail", "11 bad channels (>= 8)"),
+    (sidecar(BadChannels={"occipital_bads": 4}), "warn", "4 occipital bads (> 3)"),
+    (sidecar(BadChannels={"occipital_bads": 7}), "fail", "7 occipital bads (>= 5)"),
+    (sidecar(BadChannels={"n": 9}, ArtifactAnnotation={"fraction": 0.27}), "fail", "9 bad channels (>= 8);artifact 27% (> 20%)"),
+    (sidecar(ArtifactAnnotation={"fraction": 0.55}), "fail", "artifact 55% (>= 40%)"),
+    (sidecar(LineNoisePower={"before_index": 1.4, "after_index": 1.9}), "pass", ""),
+    (sidecar(LineNoisePower={"after_index": 1.9}), "fail", f"{dq.LINE_TEXT[0]}1.9{dq.LINE_TEXT[1]}3.2{dq.LINE_TEXT[2]}"),
+    (sidecar(TaskName="sternberg", IAF={"present": False}), "pass", ""),
+    (sidecar(TaskName="task-rest", IAF={"present": False}), "fail", dq.ALPHA_TEXT),
+    (sidecar(IAF={"present": False}, LineNoisePower={"after_index": 0.2}), "fail", dq.ALPHA_TEXT),
 ]
 
 
@@ -52,7 +54,7 @@ def test_sidecars_from_files(spark, tmp_path):
         assert got[f"sub-{i:02d}"] == (verdict, flags)
     ex = {r["subject"] for r in dq.freeze_exclusions(qc, "r").collect()}
     assert ex == {f"sub-{i:02d}" for i, c in enumerate(CASES) if c[1] == "fail"}
-    assert tb.required_window(docs).where("tmin_s = 1.0").count() == len(CASES)
+    assert tb.required_window(docs).where("tmin_s = 12.5").count() == len(CASES)
     listing = tb.read_listing(spark, str(tmp_path))
     assert listing.where("rel_path like 'sub-%/eeg/%' and bytes > 0").count() == 2 * len(CASES)
     fp = tb.fingerprints(spark, str(tmp_path), "other.json").collect()
@@ -78,24 +80,30 @@ def test_reconcile_and_flags(spark):
 
 
 def test_triplets(spark):
-    h = lambda stem, d, m: ("d", stem, f"[x]\nDataFile={d}\nMarkerFile={m}\n")
-    heads = [h("sub-01_task-rest_eeg", "sub-01_task-rest_eeg.eeg", "sub-01_task-rest_eeg.vmrk"),
-             h("a", "a.eeg", "a.vmrk"), h("b", "b.eeg", "b.vmrk"), h("c", "c.eeg", "c.vmrk"),
-             h("sub-52_task-rest_eeg", "Q5ER_rest.eeg", "Q5ER_rest.vmrk"), h("sub-53_task-rest_eeg", "ZZ_other.eeg", "ZZ_other.vmrk"),
-             h("sub-29_task-sternberg_eeg", "sub-29_task-sternbeg_eeg.eeg", "sub-29_task-sternberg_eeg..vmrk"),
-             h("sub-30_task-sternberg_eeg", "sub-30_task-sternbeg_eeg.eeg", "far.vmrk"), ("d", "e", "MarkerFile=e.vmrk")]
-    f = lambda n, b=10, t=None: (f"d/{n}", b, t)
-    files = [f("sub-01_task-rest_eeg.eeg"), f("sub-01_task-rest_eeg.vmrk", 5, "DataFile=sub-01_task-rest_eeg.eeg"), f("a.vmrk"), f("b.eeg"), f("c.eeg", 0), f("c.vmrk"),
-             f("sub-52_task-rest_eeg.eeg"), f("sub-52_task-rest_eeg.vmrk", 5, "DataFile=Q5ER_rest.eeg"),
-             f("sub-53_task-rest_eeg.eeg"), f("sub-53_task-rest_eeg.vmrk", 5, "DataFile=sub-53_task-rest_eeg.eeg"),
-             f("sub-29_task-sternberg_eeg.eeg"), f("sub-29_task-sternberg_eeg.vmrk", 5, "DataFile=sub-29_task-sternberg_eeg.eeg"),
-             f("sub-30_task-sternberg_eeg.eeg"), f("sub-30_task-sternberg_eeg.vmrk", 5, "x")]
+    """Each stem: what its header names, which files lie beside it, and what comes out."""
+    long, short = "sub-{}_task-msit_eeg", "w{}"
+    cases = {
+        long.format(61): ((long.format(61) + ".eeg", long.format(61) + ".vmrk"), (9, long.format(61) + ".eeg"), ("ok", False)),
+        long.format(62): (("before-renaming.eeg", "before-renaming.vmrk"), (9, "before-renaming.eeg"), ("ok", True)),
+        long.format(63): (("someone-else.eeg", "someone-else.vmrk"), (9, long.format(63) + ".eeg"), ("orphaned_header", None)),
+        long.format(64): (("sub-64_task-mst_eeg.eeg", long.format(64) + "..vmrk"), (9, long.format(64) + ".eeg"), ("ok", True)),
+        long.format(65): (("sub-65_task-mst_eeg.eeg", "elsewhere.vmrk"), (9, "?"), ("orphaned_header", None)),
+        short.format(1): (("w1.eeg", "w1.vmrk"), (None, ""), ("orphaned_header", None)),
+        short.format(2): (("w2.eeg", "w2.vmrk"), (9, None), ("missing_marker_file", None)),
+        short.format(3): (("w3.eeg", "w3.vmrk"), (0, ""), ("zero_byte_data", None)),
+        short.format(4): ((None, "w4.vmrk"), (None, None), ("no_datafile_field", None)),
+    }
+    heads, files = [], []
+    for stem, ((data, marker), (size, names), _) in cases.items():
+        heads.append(("rec", stem, "".join([f"DataFile={data}\n" if data else "", f"MarkerFile={marker}\n"])))
+        if size is not None:
+            files.append((f"rec/{stem}.eeg", size, None))
+        if names is not None:
+            files.append((f"rec/{stem}.vmrk", 7, f"DataFile={names}"))
     r = co.triplet_status(spark.createDataFrame(heads, "dir string, stem string, vhdr_text string"), spark.createDataFrame(files, "path string, bytes long, head string"))
     got = {x["stem"]: (x["status"], x["header_discrepancy"]) for x in r.collect()}
-    assert got["sub-01_task-rest_eeg"] == ("ok", False) and got["a"][0] == "orphaned_header" and got["b"][0] == "missing_marker_file"
-    assert got["c"][0] == "zero_byte_data" and got["e"][0] == "no_datafile_field"
-    assert got["sub-52_task-rest_eeg"] == ("ok", True) and got["sub-53_task-rest_eeg"][0] == "orphaned_header"
-    assert got["sub-29_task-sternberg_eeg"] == ("ok", True) and got["sub-30_task-sternberg_eeg"][0] == "orphaned_header"
+    for stem, (_, _, (status, differs)) in cases.items():
+        assert got[stem][0] == status and differs in (None, got[stem][1]), stem
 
 
 def test_assemble(spark):
