@@ -93,29 +93,38 @@ def unpacked(table) -> np.ndarray:
     return out
 
 
-def active_from(tables: list[np.ndarray], h: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
-    """For each position, the boundary from which its phrase of k words is active; 0 if it is not (yet) or is none."""
-    n = len(word) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint8)
-    at = h[word]
-    slots = len(tables[k - 2])
-    reached = tables[k - 2][slot_of([at[j:len(at) - k + 2 + j] for j in range(k - 1)], slots)]
-    out = np.where((reached[:-1] > 0) & (reached[1:] > 0), np.maximum(reached[:-1], reached[1:]), 0)
-    for j in range(k):  # word 0 ends a piece
-        out[word[j:n + j] == 0] = 0
-    return out
-
-
-def count_positions(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """First position and count of each distinct phrase of k words that starts at `at`."""
-    code = words[at]
+def active_from(reached: list[np.ndarray], h: np.ndarray, word: np.ndarray, longest: int):
+    """(k, starts) for k = 2 ..: for each position, the boundary from which its phrase of k words is active; 0 if it is
+    not (yet) or is none."""
+    of_word = reached[0][slot_of([h], len(reached[0]))]
+    of_word[0] = 0  # word 0 ends a piece
+    known = of_word[word]
+    for k in range(2, longest + 1):
+        start = np.where((known[:-1] > 0) & (known[1:] > 0), np.maximum(known[:-1], known[1:]), 0)
+        yield k, start
+        if k < longest:
+            at = np.flatnonzero(start)
+            known = np.zeros(len(start), np.uint8)
+            known[at] = reached[k - 1][slot_of([h[word[at + j]] for j in range(k)], len(reached[k - 1]))]
+
+
+def count_positions(words: np.ndarray, at: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The words (k arrays) and count of each distinct phrase of k words that starts at `at`."""
+    code, named = words[at], []
     for j in range(1, k):
         if j > 1:
-            code = np.unique(code, return_inverse=True)[1]
+            named.append(np.unique(code))
+            code = np.searchsorted(named[-1], code)
         code = (code << 32) | words[at + j]
-    _, first, count = np.unique(code, return_index=True, return_counts=True)
-    return at[first], count
+    code.sort()
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    one, columns = code[first], []
+    for j in range(k - 1, 0, -1):
+        columns.append(one & 0xFFFFFFFF)
+        one = one >> 32
+        if j > 1:
+            one = named[j - 2][one]
+    return [one, *columns[::-1]], np.diff(np.r_[first, len(code)])
 
 
 def _encode(shards: int, most_words: int):
@@ -125,7 +134,11 @@ def _encode(shards: int, most_words: int):
         spelled = np.array(list(vocab), object)
         out = []
         for lang, parts in texts.items():
-            used, ids = np.unique(np.concatenate(parts), return_inverse=True)
+            word = np.concatenate(parts)
+            used = np.flatnonzero(np.bincount(word))
+            name = np.zeros(len(vocab), np.int32)
+            name[used] = np.arange(len(used))
+            ids = name[word]
             out.append(((TaskContext.get().partitionId() + number + len(out)) % shards, lang, spelled[used].tolist(), ids.astype("<i4").tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), CODED.types)], schema=CODED)
 
@@ -156,12 +169,12 @@ def _scan(step: int, shards: int, longest: int, tables):
             yield spelled.take(pa.array(at)), count[at], np.zeros(len(at), np.int32)
         seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42)
         h = np.array([xxhash.xxh64_intdigest(x, seed) for x in spelled.to_pylist()], np.uint64).astype(np.int64)
-        for k in range(2, longest + 1):
-            start = active_from(reached, h, word, k).astype(np.int64)
-            at = np.flatnonzero((start > 0) & (step < start + shards))
+        for k, start in active_from(reached, h, word, longest):
+            at = np.flatnonzero((start > 0) & (start > step - shards))
             if len(at):
-                at, c = count_positions(word, at, k)
-                yield pc.binary_join_element_wise(*[spelled.take(pa.array(word[at + j])) for j in range(k)], b" "), c, start[at].astype(np.int32)
+                words, c = count_positions(word, at, k)
+                since = [reached[k - 2][slot_of([h[w] for w in part], len(reached[k - 2]))] for part in (words[:-1], words[1:])]
+                yield pc.binary_join_element_wise(*[spelled.take(pa.array(w)) for w in words], b" "), c, np.maximum(*since).astype(np.int32)
 
     def run(batches):
         reached = [unpacked(t) for t in tables.value]
