@@ -41,15 +41,27 @@ def row_key(df: DataFrame) -> Column:
 
 
 @contextmanager
-def short_shuffles(spark: SparkSession):
-    """Within it, the shuffle files of a query that has ended are removed: for loops whose steps write their result."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+def settings(spark: SparkSession, **values):
+    """Session settings (dots written as two underscores) while it is open."""
+    names = {k.replace("__", "."): str(v) for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def short_shuffles(spark: SparkSession):
+    """Within it, the shuffle files of a query that has ended are removed: for loops whose steps write their result."""
+    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
+def large_rows(spark: SparkSession):
+    """Within it, a few rows at a time are sent to Python: for tables whose rows hold megabytes."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=4)
 
 
 def join_bounded(df: DataFrame, small: DataFrame, on, how: str, max_rows: int = 500_000) -> DataFrame:

@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import cut_lineage
-from .common import read, short_shuffles, slices
+from .common import large_rows, read, short_shuffles, slices
 
 #: ASCII characters that end a piece; they become a word of a byte that UTF-8 does not use.
 CUTS = b".,;:!?\n\x0b\x0c\r"
@@ -233,7 +233,8 @@ def _counts(docs: DataFrame, text: str, lang: str, longest: int, least: int, sha
         # rows of a task are distinct already, so they are dealt out before any of them is added
         g = seen.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("c").alias("c"), F.min("since").alias("since"), F.max("reached").alias("was"))
         g = g.select("lang", "phrase", "c", "since", (F.col("c") >= least).alias("reached"), (~F.col("was") & (F.col("c") >= least)).alias("fresh"))
-        state = cut_lineage(g.where(keep | ~ended), "counters")
+        with large_rows(spark):
+            state = cut_lineage(g.where(keep | ~ended), "counters")
         shared.destroy()
         new = state.where(F.col("fresh") & (F.col("phrase") != "")).where(n_words(F.col("phrase")) < longest)
         for k, at, bits in _reached(new, slots):
