@@ -19,8 +19,9 @@ has gone round leaves with its total, or for good if that is below `least`.
 What is active must be known to all tasks and its size must not grow with the
 data: phrases are hashed to `slots` (at most `most_slots`), and a slot holds the
 boundary at which the first of its phrases reached `least`. A phrase in a slot
-with another may become active early (only that; it still goes round once), so
-counts stay exact; crowded slots cost counters, not results.
+with another may make longer phrases active early, never before its own parts
+are (only that; they still go round once), so counts stay exact; crowded slots
+cost counters, not results.
 
 Then each candidate is cut after each word, its parts' counts are joined, the
 lowest score counts, candidates absorbed by a longer one are dropped, and the
@@ -36,6 +37,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -105,7 +107,15 @@ def active_from(reached: list[np.ndarray], h: np.ndarray, word: np.ndarray, long
         if k < longest:
             at = np.flatnonzero(start)
             known = np.zeros(len(start), np.uint8)
-            known[at] = reached[k - 1][slot_of([h[word[at + j]] for j in range(k)], len(reached[k - 1]))]
+            slot = reached[k - 1][slot_of([h[word[at + j]] for j in range(k)], len(reached[k - 1]))]
+            # a slot's boundary may be another phrase's and lie before this one was active itself
+            known[at] = np.where(slot > 0, np.maximum(slot, start[at]), 0)
+
+
+def active_since(reached: list[np.ndarray], parts: list[np.ndarray]) -> np.ndarray:
+    """As `active_from`, for active phrases by the hashes of their words: the last boundary of any shorter part."""
+    k = len(parts)
+    return reduce(np.maximum, [reached[m - 1][slot_of(parts[i:i + m], len(reached[m - 1]))] for m in range(1, k) for i in range(k - m + 1)])
 
 
 def count_positions(words: np.ndarray, at: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -173,8 +183,8 @@ def _scan(step: int, shards: int, longest: int, tables):
             at = np.flatnonzero((start > 0) & (start > step - shards))
             if len(at):
                 words, c = count_positions(word, at, k)
-                since = [reached[k - 2][slot_of([h[w] for w in part], len(reached[k - 2]))] for part in (words[:-1], words[1:])]
-                yield pc.binary_join_element_wise(*[spelled.take(pa.array(w)) for w in words], b" "), c, np.maximum(*since).astype(np.int32)
+                since = active_since(reached, [h[w] for w in words])
+                yield pc.binary_join_element_wise(*[spelled.take(pa.array(w)) for w in words], b" "), c, since.astype(np.int32)
 
     def run(batches):
         reached = [unpacked(t) for t in tables.value]

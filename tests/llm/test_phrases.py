@@ -60,6 +60,16 @@ def test_counts_equal_plain_counts(spark, shards, slots, words, longest):
     assert len(got) == len(want) and {(r.lang, r.phrase): r.f for r in got} == want
 
 
+def test_shared_slots_lose_no_phrase(spark):
+    """A slot may name a boundary before the phrase in it was active; a longer phrase is still counted in every shard."""
+    rows = [("en", f"r{i} f{i % 20} f{i * 7 % 21} .") for i in range(500) for _ in range(10 + i % 5)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(8)
+    got = ph.counts(df, most_slots=256, most_words=1000).collect()
+    want = {k: v for k, v in plain_counts(rows, 3).items() if v >= 10}
+    assert {(r.lang, r.phrase): r.f for r in got} == want
+
+
 def test_collocations(spark):
     rows = corpus(9)
     df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
