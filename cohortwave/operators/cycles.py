@@ -180,11 +180,14 @@ def cycle_stats(valid: DataFrame, keys: list[str]) -> DataFrame:
 def dft_resample(wave: Column, length: Column) -> Column:
     """Resample a cycle to `length` through its DFT: the low frequencies at
     both ends are kept, the bin at length//2 is zeroed when either length is
-    even, amplitudes are preserved."""
+    even, amplitudes are preserved. No length, no cycle."""
     @pandas_udf(T.ArrayType(T.DoubleType()))
     def run(w: pd.Series, p: pd.Series) -> pd.Series:
         out = []
         for x, n in zip(w, p):
+            if pd.isna(n):
+                out.append(None)
+                continue
             q, n = len(x), int(n)
             spec = np.fft.fft(np.asarray(x, float))
             m = min(q, n)
@@ -200,12 +203,16 @@ def dft_resample(wave: Column, length: Column) -> Column:
     return run(wave, length)
 
 
-def psr(valid: DataFrame, keys: list[str], min_period: int = 40) -> DataFrame:
-    """Valid cycles resampled to the modal cycle length of their channel."""
+def psr(valid: DataFrame, keys: list[str], min_period: int = 40, strict: bool = True) -> DataFrame:
+    """Valid cycles resampled to the modal cycle length P of their channel. A
+    channel with P under `min_period` is an error; where not `strict`, its
+    cycles get their P and no `wave_p`, and the other channels go on."""
     v = valid.where("valid")
-    p = modal_value(v, keys, "len").select(*keys, F.when(F.col("mode") >= min_period, F.col("mode")).otherwise(
-        F.raise_error(F.lit(f"modal cycle length below {min_period}")).cast("bigint")).alias("P"))
-    return v.join(p, keys).withColumn("wave_p", dft_resample(F.col("wave"), F.col("P")))
+    p = modal_value(v, keys, "len").withColumn("__ok", F.col("mode") >= min_period)
+    if strict:
+        p = p.withColumn("mode", F.when(F.col("__ok"), F.col("mode")).otherwise(F.raise_error(F.lit(f"modal cycle length below {min_period}")).cast("bigint")))
+    d = v.join(p.select(*keys, F.col("mode").alias("P"), "__ok"), keys)
+    return d.withColumn("wave_p", dft_resample(F.col("wave"), F.when(F.col("__ok"), F.col("P")))).drop("__ok")
 
 
 def harmonic_profile(wave: Column, n_harmonics: int = 5) -> Column:

@@ -202,6 +202,15 @@ def test_psr_needs_long_cycles(spark):
         cy.psr(df, KEYS).collect()
 
 
+def test_psr_of_other_channels_goes_on(spark):
+    """One channel with short cycles takes nothing from the others."""
+    rows = [(1, c, i, n, [float(j * i) for j in range(n)], True) for c, n in (("short", 30), ("long", 50)) for i in range(5)]
+    df = spark.createDataFrame(rows, "rec int, channel string, start_i long, len long, wave array<double>, valid boolean")
+    got = {(r.channel, r.start_i): (r.P, r.wave_p) for r in cy.psr(df, KEYS, strict=False).collect()}
+    want = {r.start_i: r.wave_p for r in cy.psr(df.where("channel = 'long'"), KEYS).collect()}
+    assert len(got) == 10 and all(got["short", i] == (30, None) and got["long", i] == (50, want[i]) for i in range(5))
+
+
 def test_welch_and_bands(spark):
     x = tone(15000, noise=0.1, sf=250.0)
     n = 1000
