@@ -291,8 +291,9 @@ def cycle_features(psr_rows: DataFrame, stats: DataFrame, keys: list[str], n_har
 def subject_features(feat: DataFrame, stats: DataFrame, rec: list[str], channel: str, n_sub: int = 200, seed: int = 20260809,
                      n_harmonics: int = 5) -> tuple[DataFrame, DataFrame]:
     """(wide feature rows, per-subject status). Channels below the cycle floor
-    are dropped; a subject losing more than half of them, or whose kept channel
-    lacks values of a metric, is excluded with a reason and the job goes on."""
+    are dropped; a subject with a kept channel of too short cycles (no rows in
+    `feat`), losing more than half of its channels, or whose kept channel lacks
+    values of a metric, is excluded with a reason and the job goes on."""
     ch = stats.withColumn("dropped", F.col("n_valid") < n_sub)
     names = [*[f"harmonic_amplitude_profile_h{h}" for h in range(2, n_harmonics + 1)], *FAMILIES]
     kept = feat.join(ch.where("not dropped").select(*rec, channel), [*rec, channel], "left_semi")
@@ -302,11 +303,13 @@ def subject_features(feat: DataFrame, stats: DataFrame, rec: list[str], channel:
     by_design = F.col("metric") == F.concat(F.lit("harmonic_amplitude_profile_h"), F.col("excluded_harmonic_index").cast("string"))
     short = (long.groupBy(*rec, channel, "metric").agg(F.count("value").alias("n"), F.bool_or(by_design).alias("design"))
              .where((F.col("n") < n_sub) & ~F.col("design")).groupBy(*rec).agg(F.count(F.lit(1)).alias("n_short")))
+    coarse = ch.where("not dropped").select(*rec, channel).join(feat.select(*rec, channel).distinct(), [*rec, channel], "left_anti").groupBy(*rec).agg(F.count(F.lit(1)).alias("n_coarse"))
     excl = long.select(*rec, channel, "excluded_harmonic_index").distinct()
     st = ch.groupBy(*rec).agg(F.count(F.lit(1)).alias("n_channels"), F.count_if("dropped").alias("n_dropped"),
                               F.array_join(F.array_sort(F.collect_list(F.when(F.col("dropped"), F.col(channel).cast("string")))), ",").alias("dropped_channels"))
-    st = st.join(short, rec, "left").join(modal_value(excl, rec, "excluded_harmonic_index").select(*rec, F.col("mode").alias("excluded_harmonic_index")), rec, "left")
-    reason = (F.when(F.col("n_dropped") > F.col("n_channels") / 2, "too few channels with enough valid cycles")
+    st = st.join(short, rec, "left").join(coarse, rec, "left").join(modal_value(excl, rec, "excluded_harmonic_index").select(*rec, F.col("mode").alias("excluded_harmonic_index")), rec, "left")
+    reason = (F.when(F.col("n_coarse") > 0, "modal cycle length of a channel too short")
+              .when(F.col("n_dropped") > F.col("n_channels") / 2, "too few channels with enough valid cycles")
               .when(F.col("n_short") > 0, "too few defined values of a metric"))
     st = st.select(*rec, "excluded_harmonic_index", "dropped_channels", (F.col("n_channels") - F.col("n_dropped")).alias("n_roi_channels_used"), reason.alias("excluded_reason"))
     s = fixed_count_summary(long, [*rec, channel, "metric"], "start_i", "value", n_sub, seed, strict=False)

@@ -338,6 +338,23 @@ def test_subject_features(spark):
     assert why[1] is None and "too few" in why[2]
 
 
+def test_subjects_with_short_cycles(spark):
+    """Recordings of 40 to 60 and of 25 to 35 samples a cycle: the short one is excluded with its reason, its channel keeps
+    its statistics, and the other's features are as without it."""
+    r = np.random.default_rng(5)
+    rows = [(rec, "c", i, n, [float(v) for v in np.cos(2 * np.pi * np.arange(n) / n) + 0.1 * r.normal(size=n)], 2.0, n / 500, True)
+            for rec, lo in ((1, 45), (2, 25)) for i in range(60) for n in [lo + i % 3]]
+    v = spark.createDataFrame(rows, "rec int, channel string, start_i long, len long, wave array<double>, amp double, period_s double, valid boolean").cache()
+    st = cy.cycle_stats(v, KEYS).cache()
+    f = cy.cycle_features(cy.psr(v, KEYS, strict=False).where("wave_p is not null"), st, KEYS).cache()
+    alone = cy.cycle_features(cy.psr(v.where("rec = 1"), KEYS), st, KEYS).cache()
+    wide, status = cy.subject_features(f, st, ["rec"], "channel", 40)
+    assert wide.collect() == cy.subject_features(alone, st, ["rec"], "channel", 40)[0].collect() and wide.count() == 1
+    assert {x.rec: x.excluded_reason for x in status.collect()} == {1: None, 2: "modal cycle length of a channel too short"}
+    per = {x.rec: x for x in cy.channel_features(f, st, KEYS, 40).collect()}
+    assert per[2].n_valid == 60 and per[2].rise_decay_ratio is None and per[1].rise_decay_ratio is not None
+
+
 def test_preprocess_chain(spark):
     """Mains removed, the broken channel repaired, the rate reduced."""
     from cohortwave.operators.workflow import preprocess
