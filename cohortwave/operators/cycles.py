@@ -93,10 +93,10 @@ def _locked(cross: DataFrame, keys: list[str], blocks_per_chunk: int, window: in
     # one narrow row per chunk goes through this window, the arrays do not
     seq = c.select(*keys, "chunk").withColumn("seq", F.row_number().over(w)).withColumn(
         "n_seq", F.count(F.lit(1)).over(W.partitionBy(*keys)))
-    c = cut_lineage(c.join(seq, [*keys, "chunk"]).drop("chunk"), "crossings")
+    c = cut_lineage(c.join(seq.hint("merge"), [*keys, "chunk"]).drop("chunk"), "crossings")
     nxt = c.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(ahead))).alias("d"), "seq", "cross")
     nxt = nxt.groupBy(*keys, (F.col("seq") - F.col("d")).alias("seq")).agg(F.flatten(F.array_sort(F.collect_list("cross"))).alias("after"))
-    rows = cut_lineage(c.join(nxt, [*keys, "seq"], "left").select(
+    rows = cut_lineage(c.join(nxt.hint("merge"), [*keys, "seq"], "left").select(
         *keys, "seq", "cross", F.coalesce("after", F.array().cast("array<bigint>")).alias("after"),
         (F.col("seq") + ahead < F.col("n_seq")).alias("more")), "chunks")
     longs = T.ArrayType(T.LongType())
@@ -131,12 +131,13 @@ def _locked(cross: DataFrame, keys: list[str], blocks_per_chunk: int, window: in
         if not state.where("short").isEmpty():
             return None
         hand = state.select(*keys, (F.col("seq") + 1).alias("seq"), F.col("exit_t").alias("new_t"), F.col("exit_gaps").alias("new_gaps"))
-        j = state.join(hand, [*keys, "seq"], "left")
+        # merged in every round: as many broadcasts of a whole state would pass the driver
+        j = state.join(hand.hint("merge"), [*keys, "seq"], "left")
         fresh = (F.col("seq") > 1) & ~(F.col("new_t").eqNullSafe(F.col("entry_t")) & F.col("new_gaps").eqNullSafe(F.col("entry_gaps")))
         j = j.withColumn("fresh", fresh)
         if j.where("fresh").isEmpty():
             break
-        state = cut_lineage(j.join(rows, [*keys, "seq"]).mapInPandas(scan, schema), "scan")
+        state = cut_lineage(j.join(rows.hint("merge"), [*keys, "seq"]).mapInPandas(scan, schema), "scan")
     z = state.select(*keys, F.explode(F.arrays_zip("starts", "ends")).alias("z"))
     return z.select(*keys, F.col("z.starts").alias("start_i"), F.col("z.ends").alias("end_i"))
 

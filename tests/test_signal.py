@@ -196,6 +196,20 @@ def test_dft_resample(spark):
     assert abs(np.fft.fft(even)[25]) < 1e-9     # the middle bin is zeroed for even lengths
 
 
+def test_boundary_scan_sends_no_state_to_the_driver(spark):
+    """No join of a round is a broadcast: here any broadcast is an error."""
+    rows = [(rec, "c", b, [b * 100 + 7 * i + rec for i in range(14)]) for rec in range(3) for b in range(6)]
+    c = spark.createDataFrame(rows, "rec int, channel string, block_id long, cross array<long>")
+    want = sorted(map(tuple, cy.phase_locked_cycles(c, KEYS, 100).collect()))
+    before = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    try:
+        got = sorted(map(tuple, cy.phase_locked_cycles(c, KEYS, 1).collect()))
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", before)
+    assert got == want and len(got) > 100
+
+
 def test_psr_needs_long_cycles(spark):
     df = spark.createDataFrame([(1, "c", i, 30, [0.0] * 30, True) for i in range(5)], "rec int, channel string, start_i long, len long, wave array<double>, valid boolean")
     with pytest.raises(Exception, match="modal cycle length"):
