@@ -149,3 +149,36 @@ def test_fits_that_do_not_converge_are_reported():
     x = np.random.default_rng(0).normal(size=(30, 3))
     with pytest.raises(ArithmeticError):
         cv._fit(x, (x[:, 0] > 0).astype(float), np.array([1.0]), steps=1)
+
+
+def test_fit_holds_less_than_its_matrix():
+    """Beside the matrix, a fit of several C holds blocks of rows and numbers per row."""
+    import tracemalloc
+    r = np.random.default_rng(8)
+    x = r.normal(size=(60000, 64))
+    y = (x[:, 0] + r.normal(size=60000) > 0).astype(float)
+    tracemalloc.start()
+    try:
+        cv._fit(x, y, np.array([0.01, 0.1, 1.0, 10.0]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < x.nbytes
+
+
+def test_scaled_rows_equal_a_scaled_copy():
+    """Fold by fold, with missing cells, a feature without values in training and a constant one."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(9000, 5)) * [1, 10, 100, 1, 0] + 3
+    x[r.random((9000, 5)) < 0.2] = np.nan
+    fold = np.arange(9000) % 3
+    x[fold != 2, 3] = np.nan
+    x[:, 4] = 7.0
+    mine, holes = x.copy(), cv._holes(x)
+    for f in range(3):
+        tr, te = cv._scaled(mine, holes, fold != f)
+        med = [np.median(v) if len(v) else 0.0 for v in (c[~np.isnan(c)] for c in x[fold != f].T)]
+        full = np.where(np.isnan(x), med, x)
+        sd = full[fold != f].std(axis=0)
+        want = (full - full[fold != f].mean(axis=0)) / np.where(sd > 0, sd, 1.0)
+        assert np.allclose(tr.dense(), want[fold != f], atol=1e-9) and np.allclose(te.dense(), want[fold == f], atol=1e-9)
