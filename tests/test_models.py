@@ -182,3 +182,16 @@ def test_scaled_rows_equal_a_scaled_copy():
         sd = full[fold != f].std(axis=0)
         want = (full - full[fold != f].mean(axis=0)) / np.where(sd > 0, sd, 1.0)
         assert np.allclose(tr.dense(), want[fold != f], atol=1e-9) and np.allclose(te.dense(), want[fold == f], atol=1e-9)
+
+
+def test_unfolded_draws_are_the_folded_ones(spark):
+    """Effects read every drawn row once: a row drawn three times is three rows; ids and strata may be null or repeat."""
+    from collections import Counter
+    from cohortwave.operators import resample as rs
+    rows = [(i % 37 if i % 11 else None, "ab"[i % 2] if i % 13 else None) for i in range(60)]
+    d = spark.createDataFrame(rows, "id long, s string")
+    fold = {(r.draw, r.id, r.s): 0 for r in rs.bootstrap(d, "id", 5, 3, ["s"]).collect()}
+    for r in rs.bootstrap(d, "id", 5, 3, ["s"]).collect():
+        fold[r.draw, r.id, r.s] += r.mult
+    flat = rs.bootstrap(d, "id", 5, 3, ["s"], folded=False).collect()
+    assert Counter((r.draw, r.id, r.s) for r in flat) == fold and {r.mult for r in flat} == {1} and len(flat) > 200
