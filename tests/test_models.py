@@ -195,3 +195,86 @@ def test_unfolded_draws_are_the_folded_ones(spark):
         fold[r.draw, r.id, r.s] += r.mult
     flat = rs.bootstrap(d, "id", 5, 3, ["s"], folded=False).collect()
     assert Counter((r.draw, r.id, r.s) for r in flat) == fold and {r.mult for r in flat} == {1} and len(flat) > 200
+
+
+def labelled_tables(spark, at, n=24):
+    r = np.random.default_rng(5)
+    vec = [(i, [float(v) for v in r.normal(size=64)], i % 3) for i in range(n)]
+    spark.createDataFrame(vec, "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
+    spark.createDataFrame([(i, "t", "en", "s" * (1 + i % 4), 50 + i) for i in range(n)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(n)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["md3_primary_set"])
+def test_analyses_take_every_repeat_draw_and_strength(spark, tmp_path, monkeypatch, name):
+    """10 repeats, 1000 permutations, 2000 bootstrap draws and 11 strengths, as the reference declares them; every row goes in."""
+    import inspect
+    from cohortwave.plans import QUERIES
+    seen, how = [], inspect.signature(md.run_analyses)
+
+    def spy(rows, **settings):
+        seen.append(how.bind(rows, **settings))
+        seen[-1].apply_defaults()
+        m = rows.groupBy("analysis").agg(F.count(F.lit(1)).alias("n"))
+        return {"metrics": m.select("analysis", F.lit(0.5).alias("auc"), F.lit(0.5).alias("p_value"), "n")}
+
+    monkeypatch.setattr(md, "run_analyses", spy)
+    got = QUERIES[name](spark, labelled_tables(spark, tmp_path)).collect()
+    assert len(got) == 3 and {r["n"] for r in got} == {24}
+    a = seen[0].arguments
+    assert len(seen) == 1 and (a["n_repeats"], a["n_permutations"], a["n_bootstrap"]) == (10, 1000, 2000)
+    assert a["c_grid"] == [0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0]
+
+
+def test_draws_that_name_rows_give_the_aucs_of_drawn_rows(spark):
+    """Draws without features against nested CV over draws written out row by row; ids repeat, groups hold several rows and
+    values are missing. Above the size bound the other layout gives the same."""
+    from cohortwave.operators import resample as rs
+    d = xy(spark, n=40, p=4).unionByName(xy(spark, n=30, p=3, seed=3, shift=0.0, name="b"))
+    d = d.withColumn("row_id", F.when((F.col("analysis") == "b") & (F.col("row_id") == "7"), "6").otherwise(F.col("row_id"))).withColumn("grp", (F.col("grp").cast("int") / 2).cast("int").cast("string"))
+    how = dict(c_grid=[0.1, 10.0], seed=4)
+    nulls = md.run_analyses(d, n_repeats=1, n_permutations=3, n_bootstrap=3, **how)["nulls"]
+    by = ["analysis", "kind", "draw"]
+    rows = d.withColumn("pos", F.col("row_id").cast("long") * 1000 + F.length("analysis") + F.size("x") * 10 + F.col("y")).localCheckpoint()
+    perm = rs.permute_labels(rows, "row_id", "y", 3, 4, ["analysis"]).withColumn("kind", F.lit("permutation")).withColumn("mult", F.lit(1))
+    boot = rs.bootstrap(rows, "row_id", 3, 5, ["analysis", "y"]).withColumn("kind", F.lit("bootstrap"))
+    cols = [*by, "pos", "row_id", "grp", "y", "mult", "x"]
+    drawn = perm.select(*cols).unionByName(boot.select(*cols)).localCheckpoint()
+    copies = drawn.withColumn("c", F.explode(F.sequence(F.lit(1), F.col("mult").cast("int")))).withColumn("row_id", F.concat_ws("#", "row_id", "c"))
+    pred = cv.nested_cv(copies.select(*by, "row_id", "grp", "y", "x"), by, **how)[0]
+    want = {tuple(r[:3]): r["auc"] for r in st.auc(pred, by, "y", "proba").select(*by, "auc").collect()}
+    named = drawn.select(*by, "pos", "y", "mult")
+    got = {tuple(r[:3]): r["auc"] for r in cv.nested_cv_auc(named, rows, by, 160, 6, **how).drop("rep").collect()}
+    assert len(got) == 12 and got == pytest.approx(want, abs=1e-9)
+    assert {("a", r["draw"]): r["auc"] for r in nulls.where("analysis = 'a'").collect()} == pytest.approx({("a", k[2]): v for k, v in want.items() if k[:2] == ("a", "permutation")}, abs=1e-9)
+    one = named.where("kind = 'bootstrap' and draw = 1 and analysis = 'b'")
+    far = cv.nested_cv_auc(one, rows, by, 160, 1, c_grid=[1.0], seed=4, n_splits=2, max_cells=1).first()["auc"]
+    near = cv.nested_cv_auc(one, rows, by, 160, 1, c_grid=[1.0], seed=4, n_splits=2).first()["auc"]
+    assert far == pytest.approx(near, abs=1e-9)
+
+
+def test_counted_rows_fit_as_copies():
+    """Against plain Newton steps on copied rows, near-separable and over several blocks of rows."""
+    r = np.random.default_rng(2)
+    for n, p in ((40, 30), (9000, 5)):
+        x, k = r.normal(size=(n, p)), r.integers(0, 4, n).astype(float)
+        y = (x[:, 0] + 0.3 * r.normal(size=n) > 0.5).astype(float)
+        at = np.repeat(np.arange(n), k.astype(int))
+        cs = np.array(cv.C_GRID)
+        got = cv._fit(x, y, cs, k=k)
+        assert np.allclose(got, cv._fit(x[at], y[at], cs), atol=1e-8)
+        a = np.column_stack([np.ones(len(at)), x[at]])
+        for b, c in zip(got, cs):
+            grad = a.T @ (1 / (1 + np.exp(-a @ b)) - y[at]) + np.r_[0, b[1:]] / c
+            assert np.abs(grad).max() < 1e-6
+
+
+def test_hashes_in_a_task_equal_the_column(spark):
+    from cohortwave.functions.rng import HashTails, hash_int
+    tails = ["", "7", "12", "é", "x" * 20, "y" * 60, "z" * 200]
+    d = spark.createDataFrame([(t,) for t in tails], "t string")
+    for head in (("outer", "a", 3), ("a" * 70, None, 0), ("b", 12345)):
+        cols = [F.lit(v) for v in head]
+        want = {r["t"]: r["h"] for r in d.select("t", hash_int(9, *cols, F.col("t")).alias("h")).collect()}
+        assert HashTails(tails).hashes(9, *head).tolist() == [want[t] for t in tails]
