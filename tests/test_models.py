@@ -206,7 +206,7 @@ def labelled_tables(spark, at, n=24):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["md3_primary_set"])
+@pytest.mark.parametrize("name", ["md3_primary_set", "md4_secondary_set_holm"])
 def test_analyses_take_every_repeat_draw_and_strength(spark, tmp_path, monkeypatch, name):
     """10 repeats, 1000 permutations, 2000 bootstrap draws and 11 strengths, as the reference declares them; every row goes in."""
     import inspect
