@@ -278,3 +278,34 @@ def test_hashes_in_a_task_equal_the_column(spark):
         cols = [F.lit(v) for v in head]
         want = {r["t"]: r["h"] for r in d.select("t", hash_int(9, *cols, F.col("t")).alias("h")).collect()}
         assert HashTails(tails).hashes(9, *head).tolist() == [want[t] for t in tails]
+
+
+@pytest.mark.parametrize("clip", [False, True])
+def test_effects_counted_in_tasks_are_those_of_drawn_rows(spark, monkeypatch, clip):
+    """Ids repeat or are null, values tie, are NaN or null, a class is undeclared or null, and a variable has one class or no number."""
+    r = np.random.default_rng(1)
+    rows = [("a", i % 31 if i % 9 else None, ["x", "y", "z", "w", None][i % 5], float(r.integers(0, 6)) if i % 7 else float("nan") if i % 2 else None) for i in range(90)]
+    rows += [("b", i, "y", float(i)) for i in range(6)] + [("c", i, "xy"[i % 2], float("nan")) for i in range(6)] + [(m, i, "xyz"[i % 3], float(r.normal())) for m in (None, "d") for i in range(40)]
+    d = spark.createDataFrame(rows, "m string, id long, g string, v double")
+    draws = lambda: {(x["m"], x["draw"]): x["effect"] for x in st.effect_draws(d, ["m"], "id", "g", "v", ["x", "y", "z"], 25, 8, clip=clip).collect()}
+    counted = draws()
+    monkeypatch.setattr(st, "MAX_TASK_ROWS", 0)
+    drawn = draws()
+    assert {m for m, _ in drawn} >= {"a", "d"} and counted.keys() == drawn.keys()
+    assert counted == pytest.approx(drawn, abs=1e-10)
+
+
+def test_association_takes_every_draw(spark, tmp_path, monkeypatch):
+    from cohortwave.plans import QUERIES
+    spark.createDataFrame([(i, "t", ["de", "en", "es", "fr"][i % 4], "s", 100 + 7 * i) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, whole = [], st.effect_draws
+
+    def spy(*a, **k):
+        seen.append(whole(*a, **k))
+        return seen[-1]
+
+    monkeypatch.setattr(st, "effect_draws", spy)
+    got = QUERIES["st1_association_table"](spark, str(tmp_path)).collect()
+    assert len(got) == 8 and all(r["ci_low"] <= r["ci_high"] for r in got)
+    per = {r["metric"]: r["n"] for r in seen[0].groupBy("metric").agg(F.countDistinct("draw").alias("n")).collect()}
+    assert len(per) == 8 and set(per.values()) == {2000}
